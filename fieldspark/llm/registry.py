@@ -2,7 +2,8 @@
 
 from .ann import OP1_SQL, op1_block_matrix_knn
 from .pii import op4_personal_data
+from .substrings import op7_repeated_passages
 from .urls import op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_block_matrix_knn, op4_personal_data, op6_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_block_matrix_knn, op4_personal_data, op6_url_filter, op7_repeated_passages)}
 SQL = {"op1_block_matrix_knn": OP1_SQL}
