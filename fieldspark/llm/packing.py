@@ -38,7 +38,7 @@ from .textkit import Chunk, Powers, chunk_bounds, gathered, mix, ragged, spaces,
 
 WINDOW = 2048
 SHARD_DOCS = 2048
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 #: Telling terms of a seed, and candidates asked for at a time.
 TERMS, ASK = 16, 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -79,7 +79,7 @@ class Encoder:
                 out[i] = self.entire(t)
             else:
                 plain.append(i)
-        for lo, hi in chunk_bounds([texts[i] for i in plain], 6 << 20):
+        for lo, hi in chunk_bounds([texts[i] for i in plain], 4 << 20):
             at = plain[lo:hi]
             flat, counts = self.units([texts[i] for i in at])
             ends = np.cumsum(counts)

@@ -35,8 +35,9 @@ from pyspark.sql import types as T
 
 from .textkit import BASE, Chunk, Powers, chunk_bounds, gathered, mix, spaces, text_bytes, utf8, with_key
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SECOND = 0xD6E8FEB86659FD93
 PACKED = "bucket int, texts binary, lens binary, docs binary, keys binary, starts binary, gone binary"
 GONE = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -94,7 +95,7 @@ def pack(table: pa.Table, width: int, buckets: int, space: np.ndarray, powers: P
     once = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
     ids, keys, texts = ids[once], keys[once], utf8(table.column("_text").take(pa.array(once)))
     parts = []
-    for lo, hi in chunk_bounds(texts, 4 << 20):
+    for lo, hi in chunk_bounds(texts, CHUNK_BYTES):
         c = Chunk(texts[lo:hi], space, powers)
         doc, h1 = c.doc_of_word(), window_hash(c.hash, width, powers, 1)
         n = len(h1)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,15 +91,18 @@ def chunk_bounds(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
 
 
 def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.Table]:
-    """Joins successive batches until their texts reach ``limit`` bytes."""
+    """Cuts and joins successive batches to about ``limit`` bytes of text each."""
     held, size = [], 0
     for b in batches:
-        if b.num_rows:
-            held.append(b)
-            size += b.column(b.schema.get_field_index(text)).nbytes
+        lens = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        lo = 0
+        for i, n in enumerate(lens.tolist()):
+            size += n
             if size >= limit:
-                yield pa.Table.from_batches(held)
-                held, size = [], 0
+                yield pa.Table.from_batches([*held, b.slice(lo, i + 1 - lo)])
+                held, size, lo = [], 0, i + 1
+        if lo < b.num_rows:
+            held.append(b.slice(lo))
     if held:
         yield pa.Table.from_batches(held)
 
