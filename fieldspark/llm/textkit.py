@@ -145,3 +145,22 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
 def with_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text", to: str = "_key") -> DataFrame:
     """Adds a never-null key of (id, text): rows that repeat both share it."""
     return df.withColumn(to, F.xxhash64(F.col(doc_id), F.col(text)))
+
+
+#: Bits of a filter of hashes; its size is fixed, so a fuller one only lets more pass.
+FILTER_BITS = 24
+
+
+def slot_filter(df: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value of a long column, by its remainder, in 64-bit words."""
+    slot = df.selectExpr(f"pmod(`{column}`, {1 << FILTER_BITS}) AS slot")
+    found = slot.selectExpr("CAST(slot DIV 64 AS INT) AS w", "shiftleft(1L, CAST(slot % 64 AS INT)) AS v").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[found.column("w").to_numpy()] = found.column("v").to_numpy()
+    return bits
+
+
+def slots(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each value may be in the filter."""
+    at = values % (1 << FILTER_BITS)
+    return bits[at >> 6] >> (at & 63) & 1 == 1
