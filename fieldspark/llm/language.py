@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import mix
+from .textkit import mix, remainder
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -178,10 +178,6 @@ def identified(df: DataFrame, model: dict | None, text: str = "text") -> Column:
     return guess(F.col(text))
 
 
-def remainder(doc_id: str, divisor: int) -> Column:
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")), F.lit(0)) % divisor
-
-
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs.filter(remainder("doc_id", 4) != 2))

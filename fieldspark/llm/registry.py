@@ -1,6 +1,7 @@
 """Queries and SQL of this subpackage."""
 
 from .ann import OP1_SQL, op1_block_matrix_knn
+from .ctw import op8_context_tree
 from .decontaminate import op10_spaced_seeds
 from .jaccard import op2_jaccard_partenum
 from .language import op5_language_id
@@ -10,5 +11,5 @@ from .substrings import op7_repeated_passages
 from .templates import OP9_SQL, op9_line_templates
 from .urls import op6_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_block_matrix_knn, op4_personal_data, op6_url_filter, op7_repeated_passages, op2_jaccard_partenum, op3_retrieval_packing, op5_language_id, op9_line_templates, op10_spaced_seeds)}
+QUERIES = {f.__name__: f for f in (op1_block_matrix_knn, op4_personal_data, op6_url_filter, op7_repeated_passages, op2_jaccard_partenum, op3_retrieval_packing, op5_language_id, op9_line_templates, op10_spaced_seeds, op8_context_tree)}
 SQL = {"op1_block_matrix_knn": OP1_SQL, "op9_line_templates": OP9_SQL}

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE = 0x9E3779B97F4A7C15
@@ -147,6 +147,11 @@ def with_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text", to: str
     return df.withColumn(to, F.xxhash64(F.col(doc_id), F.col(text)))
 
 
+def remainder(doc_id: str, divisor: int) -> Column:
+    """crc32 of the id as text modulo a divisor; a null id counts as an empty text."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")), F.lit(0)) % divisor
+
+
 #: Bits of a filter of hashes; its size is fixed, so a fuller one only lets more pass.
 FILTER_BITS = 24
 
