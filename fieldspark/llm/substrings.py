@@ -39,7 +39,9 @@ BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 2 << 20
 CHUNK_BYTES = 1 << 20
 SECOND = 0xD6E8FEB86659FD93
-PACKED = "bucket int, texts binary, lens binary, docs binary, keys binary, starts binary, gone binary"
+PACKED = "bucket int, texts binary, places binary, keys binary, gone binary"
+#: Length of a packed string, step of the document id from the one before, first word.
+PLACE = np.dtype([("len", "<i4"), ("step", "<i8"), ("start", "<i4")])
 GONE = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("end", "<i4")])
 NULL_ID = -(1 << 63)
 
@@ -126,14 +128,15 @@ def pack(table: pa.Table, width: int, buckets: int, space: np.ndarray, powers: P
         pieces = [data[p][u:v] for p, u, v in zip(part[x].tolist(), byte[x].tolist(), stop[y].tolist(), strict=True)]
         rows["bucket"].append(int(to[lo]))
         rows["texts"].append(zip_.compress(b"\n".join(pieces)))
-        rows["lens"].append(np.fromiter(map(len, pieces), np.int32, len(pieces)).tobytes())
-        rows["docs"].append(ids[doc[x]].tobytes())
-        rows["keys"].append(keys[doc[x]].tobytes())
-        rows["starts"].append(start[x].astype(np.int32).tobytes())
+        place = np.zeros(len(x), PLACE)
+        place["len"], place["start"] = list(map(len, pieces)), start[x]
+        place["step"] = np.diff(np.r_[0, ids[doc[x]]])
+        rows["places"].append(zip_.compress(b"".join(place[c].tobytes() for c in PLACE.names)))
+        rows["keys"].append(keys[doc[x]].astype(np.uint32).tobytes())
         rows["gone"].append(gone[lead == i].tobytes() if len(gone) else b"")
     if not len(cut) and len(gone):
         for k in rows:
-            rows[k].append(0 if k == "bucket" else gone.tobytes() if k == "gone" else zip_.compress(b"") if k == "texts" else b"")
+            rows[k].append(0 if k == "bucket" else gone.tobytes() if k == "gone" else zip_.compress(b"") if k != "keys" else b"")
     yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in list(rows)[1:])], names=list(rows))
 
 
@@ -145,10 +148,15 @@ def by_document(gone: np.ndarray) -> pa.Table:
     return pa.table({"_id": g["doc"][cut], "_key": g["key"][cut], "spans": pa.array([spans[u:v].tobytes() for u, v in zip(cut, np.r_[cut[1:], len(g)][: len(cut)], strict=True)], pa.binary())})
 
 
+def short_key(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """with_key() in 32 bits: it only tells texts of one id apart."""
+    return with_key(df, doc_id, text).withColumn("_key", F.col("_key").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 20) -> DataFrame:
     """Spans of words to remove: _id, _key (see with_key), spans (binary pairs of int32: first word, end)."""
     buckets = max(12, text_bytes(df, text) // BUCKET_BYTES)
-    docs = with_key(df, doc_id, text).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), "_key", F.col(text).alias("_text"))
+    docs = short_key(df, doc_id, text).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), "_key", F.col(text).alias("_text"))
     space = spaces()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +167,14 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     def count(table: pa.Table) -> pa.Table:
         found, powers, unzip = [np.frombuffer(x, GONE) for x in table.column("gone").to_pylist()], Powers(), zstandard.ZstdDecompressor()
         pieces, docs, keys, starts = [], [], [], []
-        for r in table.select(["texts", "lens", "docs", "keys", "starts"]).to_pylist():
-            whole, ends = unzip.decompress(r["texts"]), np.cumsum(np.frombuffer(r["lens"], np.int32) + 1) - 1
+        for r in table.select(["texts", "places", "keys"]).to_pylist():
+            whole, key, place = unzip.decompress(r["texts"]), np.frombuffer(r["keys"], np.uint32).astype(np.int64), unzip.decompress(r["places"])
+            n = len(key)
+            ends = np.cumsum(np.frombuffer(place, np.int32, n) + 1) - 1
             pieces += [whole[u:v] for u, v in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=False)]
-            docs.append(np.frombuffer(r["docs"], np.int64))
-            keys.append(np.frombuffer(r["keys"], np.int64))
-            starts.append(np.frombuffer(r["starts"], np.int32))
+            docs.append(np.cumsum(np.frombuffer(place, np.int64, n, 4 * n)))
+            keys.append(key)
+            starts.append(np.frombuffer(place, np.int32, n, 12 * n))
         if pieces:
             c = Chunk(pieces, space, powers)
             own = c.doc_of_word()
@@ -192,7 +202,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     """Replaces ``text`` by its kept words and adds n_words and n_removed."""
     kept = [c for c in df.columns if c not in ("n_words", "n_removed")]
     spans = repeated_spans(df, doc_id, text, width).groupBy("_id", "_key").agg(F.collect_list("spans").alias("_spans"))
-    docs = with_key(df.select(*kept), doc_id, text).withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)))
+    docs = short_key(df.select(*kept), doc_id, text).withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)))
     joined = docs.join(spans, ["_id", "_key"], "left").select(*kept, "_spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
