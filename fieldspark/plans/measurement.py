@@ -14,9 +14,9 @@ TOLERANCE_MS = 120_000
 c = F.col
 
 
-def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 8, **own: int) -> DataFrame:
     """Doubles to a fixed number of digits (and no negative zero), for comparison."""
-    return df.select([(F.round(n, digits) + F.lit(0.0)).alias(n) if t == "double" else c(n) for n, t in df.dtypes])
+    return df.select([(F.round(n, own.get(n, digits)) + F.lit(0.0)).alias(n) if t == "double" else c(n) for n, t in df.dtypes])
 
 
 def magnitude(df: DataFrame) -> DataFrame:
@@ -114,13 +114,13 @@ def motion_states(spark, sf_dir):
 @query(
     f"""WITH v AS (SELECT *, list_filter([level_0_db, level_1_db], lambda x: x > -999) AS ok FROM fx_telemetry),
 a AS (SELECT *, CASE WHEN len(ok) > 0 THEN list_sum(ok) / len(ok) END AS avg_level FROM v)
-SELECT event_id, {r('avg_level', snr='avg_level - 7', score='llr_energy * least(0, greatest(-999, avg_level)) / 1000')} FROM a""",
+SELECT event_id, {r('avg_level', snr='avg_level - 7')}, round(llr_energy * least(0, greatest(-999, avg_level)) / 1000, 11) + 0.0 AS score FROM a""",
     "fx_telemetry",
 )
 def signal_levels(spark, sf_dir):
     """FLT5: mean of the levels present, a rough SNR and an energy score; null without a level."""
     t = telemetry(spark, sf_dir).withColumn("avg_level", S.array_mean(S.valid_levels(c("channel_level_db"))))
-    return rounded(t.select("event_id", "avg_level", (c("avg_level") - 7).alias("snr"), F.when(c("avg_level").isNotNull(), c("llr_energy") * S.clip(c("avg_level"), -999, 0) / 1000).alias("score")))
+    return rounded(t.select("event_id", "avg_level", (c("avg_level") - 7).alias("snr"), F.when(c("avg_level").isNotNull(), c("llr_energy") * S.clip(c("avg_level"), -999, 0) / 1000).alias("score")), score=11)
 
 
 @query(

@@ -1,6 +1,6 @@
 """All queries of the library and their SQL."""
 
-from . import measurement
+from . import field, measurement
 
-QUERIES = dict(measurement.Q)
-SQL = dict(measurement.SQL)
+QUERIES = measurement.Q | field.Q
+SQL = measurement.SQL | field.SQL
