@@ -111,7 +111,7 @@ def nearest_site(spark, sf_dir):
     return rounded(nearest(t, s, "target_id", "site_id").select("target_id", "site_id", "d_m"))
 
 
-@query(f"WITH {PLACED_SQL}, k AS (SELECT target_id, tx_height_m, {DIST} AS d_m, row_number() OVER (PARTITION BY target_id ORDER BY {DIST}, site_id) AS n FROM tp, sp) SELECT target_id, {r(height_m='sum(tx_height_m / pow(greatest(d_m, 0.25), 2)) / sum(1 / pow(greatest(d_m, 0.25), 2))')} FROM k WHERE n <= 4 GROUP BY target_id", "fx_targets", "fx_sites")
+@query(f"WITH {PLACED_SQL}, k AS (SELECT target_id, tx_height_m, {DIST} AS d_m, row_number() OVER (PARTITION BY target_id ORDER BY round({DIST}, 6), site_id) AS n FROM tp, sp) SELECT target_id, {r(height_m='sum(tx_height_m / pow(greatest(d_m, 0.25), 2)) / sum(1 / pow(greatest(d_m, 0.25), 2))')} FROM k WHERE n <= 4 GROUP BY target_id", "fx_targets", "fx_sites")
 def interpolated_height(spark, sf_dir):
     """JN16, JN17: four nearest sites, weighted by the inverse square of their distance."""
     t, s = placed(spark, sf_dir)
