@@ -1,6 +1,6 @@
 """All queries of the library and their SQL."""
 
-from . import field, measurement
+from . import field, measurement, network
 
-QUERIES = measurement.Q | field.Q
-SQL = measurement.SQL | field.SQL
+QUERIES = measurement.Q | field.Q | network.Q
+SQL = measurement.SQL | field.SQL | network.SQL
