@@ -1,6 +1,6 @@
 """All queries of the library and their SQL."""
 
-from . import field, measurement, network
+from . import field, measurement, network, obstacles
 
-QUERIES = measurement.Q | field.Q | network.Q
-SQL = measurement.SQL | field.SQL | network.SQL
+QUERIES = measurement.Q | field.Q | network.Q | obstacles.Q
+SQL = measurement.SQL | field.SQL | network.SQL | obstacles.SQL
