@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import radio as R
+from ..functions.broadcast import penetration_db
 from ..operators.intervals import with_intervals
 from ..operators.spatial import local_xy, nearest, within
 from ..sources.views import view, with_views
@@ -271,3 +272,12 @@ def close_sectors(spark, sf_dir):
 def place_keys(spark, sf_dir):
     """SPA11: integer keys of 1e-5 degrees."""
     return view(spark, sf_dir, "fx_targets").select("target_id", F.rint(c("latitude") * 1e5).cast("long").alias("lat_e5"), F.rint(c("longitude") * 1e5).cast("long").alias("lon_e5"))
+
+
+MATERIALS_SQL = "v(material, a, b) AS (VALUES ('wood', 6.0::DOUBLE, 7.0::DOUBLE), ('concrete', 10.0::DOUBLE, 12.0::DOUBLE), ('brick', 8.0::DOUBLE, 10.0::DOUBLE), ('metal', 25.0::DOUBLE, 25.0::DOUBLE), ('glass', 7.0::DOUBLE, 9.0::DOUBLE))"
+
+
+@query(f"WITH {MATERIALS_SQL} SELECT obstacle_id, {r(loss_db='(coalesce(a, 10) + (coalesce(b, 12) - coalesce(a, 10)) * (3000 - 2500) / 1000) * 0.75 - 0.5')} FROM fx_obstacles LEFT JOIN v USING (material)", "fx_obstacles")
+def obstacle_losses(spark, sf_dir):
+    """RF11: loss of each obstacle's material at 3 GHz."""
+    return rounded(view(spark, sf_dir, "fx_obstacles").select("obstacle_id", penetration_db(c("material"), F.lit(3000.0), less=0.5).alias("loss_db")))

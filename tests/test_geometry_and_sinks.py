@@ -2,6 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from fieldspark.functions import broadcast as B
 from fieldspark.functions import geo as G
 from fieldspark.functions import radio as R
 from fieldspark.operators.spatial import nearest, within
@@ -69,3 +70,12 @@ def test_sinks(spark, tmp_path):
     old, new = spark.createDataFrame([(1, 5, "x"), (2, 5, "y")], "k long, t long, v string"), spark.createDataFrame([(1, 4, "older"), (2, 5, "same")], "k long, t long, v string")
     assert {r["k"]: r["v"] for r in sinks.latest(old, new, ["k"], "t").collect()} == {1: "x", 2: "same"}
     assert sinks.missing_rows(new, old.filter("k = 1"), ["k"]).count() == 1 and sinks.purged(old, 6, "t").count() == 0
+
+
+def test_broadcast(spark):
+    p = spark.createDataFrame([([(0.0, 1.0), (90.0, 0.5), (270.0, 0.1)], None, 2.0, 3.0, None)], "p array<struct<u:double,z:double>>, erp double, h double, v double, c double")
+    loss = lambda b: B.tabulated_loss_db(F.col("p"), F.lit(float(b)), F.lit(0.0))
+    chain = F.lit(0.0)
+    got = p.select(loss(0), loss(90), loss(315), B.source_eirp_dbm(F.col("erp"), F.col("h"), F.col("v"), F.col("c"), chain), B.valid_power_basis(F.col("erp"), F.col("h"), F.col("v"), F.col("c"), chain), B.polarised_eirp_dbm(F.col("h"), F.lit(0.0), F.col("v"), F.lit(0.0)), B.penetration_db(F.lit("brick"), F.lit(100.0), scale=1.0)).first()
+    want = [0, -20 * math.log10(0.5), -20 * math.log10(0.55), 10 * math.log10(5e6) + 2.15]
+    assert all(map(lambda a, b: math.isclose(a, b, abs_tol=1e-9), got[:4], want)) and got[4] and math.isclose(got[5], want[3]) and got[6] == 5.0
