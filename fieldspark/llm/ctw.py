@@ -12,10 +12,12 @@ and Pw = KT at full depth.  A new bit is predicted by mixing the KT estimates of
 all depths on its path, with the posterior weights that the training counts give;
 counts stay frozen while texts are scored.
 
-Counts cover all training texts and come from one shuffle.  Contexts seen fewer
-than a threshold of times are leaves that their parent shares: the smallest power
-of two that leaves at most ``MODEL_ROWS`` (context, byte) rows, so the model that
-is broadcast has a fixed bound while the counts grow with the corpus.
+Counts cover all training texts and come from one shuffle; every context of the
+training texts is kept.  The tree is cut at contexts of ``STEM`` bytes: what lies
+below a stem is built from the counts of one bucket of stems, the nodes above it
+from the buckets' sums (they are broadcast; their number is bounded by the bytes
+in use, not by the corpus).  A batch of texts asks each bucket for its distinct
+grams, packed in one row, and gets their values back in the same order.
 
 The base score is a unigram model of words.  Words seen often (at most
 ``FREQUENT``, by a threshold found likewise) are scored where the text lies, the
@@ -35,13 +37,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import ASCII_LOWER, Chunk, Powers, chunk_bounds, gathered, remainder, spaces, utf8, with_key, written
 
 DEPTH = 5
-MODEL_ROWS = 1 << 18
+#: Latest bytes of a context that tell its bucket; grams of a bucket, documents for each bucket at most.
+STEM, BUCKET_GRAMS, BUCKET_DOCS = 3, 1 << 16, 1 << 12
 FREQUENT = 1 << 17
 BATCH_BYTES = 4 << 20
 END = -1
@@ -84,15 +88,25 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def level(code: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a depth (context << 8 | byte, sorted) and their counts, from codes of a greater one."""
+    found, at = np.unique(code & np.uint64((1 << (8 * depth + 8)) - 1), return_inverse=True)
+    return found, np.bincount(at, n, len(found)).astype(np.int64)
+
+
 class Tree:
     """The weighted model of (context, byte) counts, one table for each depth."""
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        """counts: for each depth the codes (context << 8 | byte, sorted) and counts of kept contexts."""
-        self.depth = len(counts) - 1
-        self.ctx, self.gram, self.value, self.node, self.w, self.q, self.rest = ([None] * len(counts) for _ in range(7))
-        held = []
-        for d, (code, n) in enumerate(counts):
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], low: int = 0, longer: tuple[np.ndarray, np.ndarray] | None = None, top: Tree | None = None):
+        """counts: for each depth from ``low`` the codes (context << 8 | byte, sorted) and counts.
+
+        longer: nodes of the last depth and sums of log Pw one depth below, if contexts go on elsewhere.
+        top: the tree of the depths below ``low``; without it only log Pw (``weighted``) is known.
+        """
+        self.low, self.depth = low, low + len(counts) - 1
+        self.ctx, self.gram, self.value, self.node, self.w, self.q = ([None] * (self.depth + 1) for _ in range(6))
+        held, above, weighted = [None] * (self.depth + 1), [None] * (self.depth + 1), None
+        for d, (code, n) in enumerate(counts, low):
             byte, keys, n0, n1 = code & np.uint64(255), [], [], []
             for k in range(8):
                 key = (code >> np.uint64(8) << np.uint64(8)) | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
@@ -105,30 +119,36 @@ class Tree:
             order = np.argsort(key)
             self.node[d], self.gram[d] = key[order], code
             self.ctx[d] = np.unique(code >> np.uint64(8))
-            held.append((np.concatenate(n0)[order], np.concatenate(n1)[order]))
-        above, weighted = [None] * len(counts), None
-        for d in range(self.depth, -1, -1):
+            held[d] = np.concatenate(n0)[order], np.concatenate(n1)[order]
+        for d in range(self.depth, low - 1, -1):
             n0, n1 = held[d]
             own = log_kt(n0, n1)
             self.q[d] = (n1 + 0.5) / (n0 + n1 + 1.0)
-            if d == self.depth:
-                weighted, self.w[d], self.rest[d] = own, np.ones(len(own)), self.q[d]
+            if d == self.depth and longer is None:
+                weighted, self.w[d] = own, np.ones(len(own))
             else:
-                up = above[d + 1]
-                c0, c1 = held[d + 1]
-                r0, r1 = n0 - np.bincount(up, c0, len(n0)), n1 - np.bincount(up, c1, len(n1))
-                split = np.bincount(up, weighted, len(n0)) + log_kt(r0, r1)
-                weighted = np.logaddexp(own, split) - np.log(2)
+                up, below = (above[d + 1], weighted) if d < self.depth else (find(self.node[d], longer[0])[0], longer[1])
+                weighted = np.logaddexp(own, np.bincount(up, below, len(n0))) - np.log(2)
                 self.w[d] = np.exp(own - np.log(2) - weighted)
-                self.rest[d] = (r1 + 0.5) / (r0 + r1 + 1.0)
-            if d:
+            if d > low:
                 keep = np.uint64((1 << (8 * d)) - 1)  # the node of the context without its oldest byte
                 above[d], _ = find(self.node[d - 1], self.node[d] & keep)
-        mass, left = np.zeros(len(self.node[0])), np.ones(len(self.node[0]))
-        for d in range(self.depth + 1):
-            if d:
+        self.weighted = weighted
+        if top is not None or not low:
+            self.spread(top, above)
+
+    def spread(self, top: Tree | None, above: list) -> None:
+        """Values of all grams, from the root down."""
+        mass, left = np.zeros(len(self.node[self.low])), np.ones(len(self.node[self.low]))
+        if self.low:
+            for own, theirs in ((self.ctx, top.ctx), (self.gram, top.gram), (self.value, top.value), (self.node, top.node), (self.w, top.w), (self.q, top.q)):
+                own[: self.low] = theirs
+            at, _ = find(top.node[-1], self.node[self.low] & np.uint64((1 << (8 * self.low)) - 1))
+            mass, left = (x[at] for x in top.after)
+        for d in range(self.low, self.depth + 1):
+            if d > self.low:
                 mass, left = (mass + left * self.w[d - 1] * self.q[d - 1])[above[d]], (left * (1 - self.w[d - 1]))[above[d]]
-            one = mass + left * (self.w[d] * self.q[d] + (1 - self.w[d]) * self.rest[d])
+            one = mass + left * (self.w[d] * self.q[d] + (1 - self.w[d]) * 0.5)
             code, total = self.gram[d], np.zeros(len(self.gram[d]))
             byte = code & np.uint64(255)
             for k in range(8):
@@ -136,8 +156,7 @@ class Tree:
                 p = one[at] if len(one) else np.zeros(0)
                 total += np.log10(np.where(byte >> np.uint64(7 - k) & np.uint64(1) == 1, p, 1 - p))
             self.value[d] = total.astype(np.float32)
-        for part in (self.w, self.q, self.rest):
-            part[:] = [x.astype(np.float32) for x in part]
+        self.after = mass + left * self.w[self.depth] * self.q[self.depth], left * (1 - self.w[self.depth])
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         """log10 of the probability of each byte after its context."""
@@ -145,17 +164,18 @@ class Tree:
         open_, unseen = np.arange(len(code)), []
         for d in range(self.depth, -1, -1):
             part = code[open_] & np.uint64((1 << (8 * d + 8)) - 1)
-            _, known = find(self.ctx[d], part >> np.uint64(8))
-            if d == 0:
-                known[:] = True
             at, seen = find(self.gram[d], part)
-            seen &= known
+            known = seen.copy()
+            known[~seen] = find(self.ctx[d], part[~seen] >> np.uint64(8))[1] if d else True
             out[open_[seen]] = self.value[d][at[seen]] if seen.any() else 0
             ends[open_[known]] = d
             unseen.append(open_[known & ~seen])
             open_ = open_[~known]
         unseen = np.concatenate(unseen)
-        out[unseen] = self.bit_by_bit(code[unseen], ends[unseen])
+        found, at = np.unique(code[unseen], return_inverse=True)
+        to = np.zeros(len(found), np.int64)
+        to[at] = ends[unseen]
+        out[unseen] = self.bit_by_bit(found, to)[at]
         return out
 
     def bit_by_bit(self, code: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -166,8 +186,8 @@ class Tree:
             for d in range(self.depth + 1):
                 key = (code >> np.uint64(8) & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8) | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
                 at, seen = find(self.node[d], key)
-                w, q, rest = (np.where(seen, t[d][at], 0.5) if len(t[d]) else np.full(len(code), 0.5) for t in (self.w, self.q, self.rest))
-                p = np.where(ends == d, mass + left * (w * q + (1 - w) * rest if d < self.depth else q), p)
+                w, q = (np.where(seen, t[d][at], 0.5) if len(t[d]) else np.full(len(code), 0.5) for t in (self.w, self.q))
+                p = np.where(ends == d, mass + left * (w * q + (1 - w) * 0.5), p)
                 mass, left = mass + left * w * q, left * (1 - w)
             total += np.log10(np.where(byte >> np.uint64(7 - k) & np.uint64(1) == 1, p, 1 - p))
         return total
@@ -223,39 +243,80 @@ def threshold(levels: list[DataFrame], column: str, most: int) -> int:
     return 1 << int(np.flatnonzero(found <= most)[0])
 
 
-def packed_tree(counts: DataFrame, depth: int, model_rows: int) -> bytes:
-    """The model, built by one task from its bounded tables; the driver only passes it on."""
-    g = counts.filter("kind = 0")
-    levels = []
-    for d in range(depth + 1):
-        rows = g.select(F.col("key").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1)).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n")).withColumn("ctx", F.shiftright("code", 8))
-        total = rows.groupBy("ctx").agg(F.sum("n").alias("total"))
-        levels.append(written(rows.join(total, "ctx").select(F.lit(d).alias("d"), "code", "n", "total")))
-    least = threshold(levels, "total", model_rows)
-    kept = levels[0]
-    for level in levels[1:]:
-        kept = kept.unionByName(level.filter(F.col("total") >= least))
+def packed(x: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as compressed steps, one plane a byte."""
+    steps = np.diff(x, prepend=x.dtype.type(0))
+    return len(x).to_bytes(8, "little") + pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [tuple(b.column(i).to_numpy() for i in range(3)) for b in batches]
-        level, code, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
-        tables = []
-        for d in range(depth + 1):
-            own = level == d
-            order = np.argsort(code[own])
-            tables.append((code[own][order].astype(np.uint64), n[own][order]))
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(Tree(tables).__dict__)]})
 
-    return bytes(kept.select("d", "code", "n").repartition(1).mapInArrow(build, "model binary").first()[0])
+def unpacked(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    planes = np.frombuffer(pa.decompress(x[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def unpacked(model: bytes) -> Tree:
+def restored(model: bytes) -> Tree:
     tree = Tree.__new__(Tree)
     tree.__dict__.update(pickle.loads(model))
     return tree
 
 
-def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, model_rows: int = MODEL_ROWS, frequent: int = FREQUENT) -> DataFrame:
+SPREAD = 2654435761
+
+
+def bucket_of(code: np.ndarray, stem: int, buckets: int) -> np.ndarray:
+    low = np.uint64((1 << 32) - 1)
+    return ((((code >> np.uint64(8) & np.uint64((1 << (8 * stem)) - 1)) * np.uint64(SPREAD) & low) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
+def bucket_column(stem: int, buckets: int) -> Column:
+    own = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * stem)) - 1))
+    return F.shiftright((own * F.lit(SPREAD)).bitwiseAND(F.lit((1 << 32) - 1)) * F.lit(buckets), 32).cast("int")
+
+
+def by_bucket(code: np.ndarray, stem: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of sorted codes by bucket, the buckets that have any, and where they start."""
+    own = bucket_of(code, stem, buckets)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])[: len(own)]
+    return order, own[start], start
+
+
+def grown(counts: DataFrame, depth: int, stem: int, buckets: int) -> DataFrame:
+    """Of each bucket: its grams and counts, the grams and sums of log Pw that the nodes above its stems need."""
+
+    def each(table: pa.Table) -> pa.Table:
+        code, n = table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy()
+        order = np.argsort(code)
+        code, n = code[order], n[order]
+        row = {"bucket": table.column("bucket")[:1], "code": [packed(code)], "n": [n.tobytes()]}
+        upper, k = level(code, n, stem - 1) if stem else (code[:0], n[:0])
+        tree = Tree([level(code, n, d) for d in range(stem, depth + 1)], stem)
+        key, at = np.unique(tree.node[stem] & np.uint64((1 << (8 * stem)) - 1), return_inverse=True)
+        sums = np.bincount(at, tree.weighted, len(key))
+        return pa.table(row | {"upper": [packed(upper)], "k": [k.tobytes()], "node": [packed(key)], "weighted": [sums.tobytes()]})
+
+    g = counts.filter("kind = 0").select(bucket_column(stem, buckets).alias("bucket"), "key", "n")
+    return written(g.groupBy("bucket").applyInArrow(each, "bucket int, code binary, n binary, upper binary, k binary, node binary, weighted binary"))
+
+
+def top_of(model: DataFrame, stem: int) -> bytes:
+    """The tree of contexts shorter than a stem, built by one task; the driver only passes it on."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [tuple(c.as_py() for c in r) for b in batches for r in zip(*b.columns, strict=True)]
+        none = np.zeros(0, np.uint64)
+        upper, node = (np.concatenate([none, *(unpacked(r[i]) for r in rows)]) for i in (0, 2))
+        k = np.concatenate([none.view(np.int64), *(np.frombuffer(r[1], np.int64) for r in rows)])
+        weighted = np.concatenate([none.view(float), *(np.frombuffer(r[3], float) for r in rows)])
+        tree = Tree([level(upper, k, d) for d in range(stem)], 0, (node, weighted))
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(tree.__dict__)]})
+
+    return bytes(model.select("upper", "k", "node", "weighted").repartition(1).mapInArrow(build, "model binary").first()[0])
+
+
+def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score, score (both log10), bits_per_byte."""
     sc = docs.sparkSession.sparkContext
     counts = counted(training, text, depth)
@@ -267,33 +328,63 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
     order = np.argsort(key)
     ends = words.filter(F.col("key") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bottom = n_all + 0.1 * (v + 1)
-    held = sc.broadcast((packed_tree(counts, depth, model_rows), key[order], n[order], np.log10((ends + 0.1) / bottom), int(ends > 0)))
+    held = sc.broadcast((key[order], n[order], np.log10((ends + 0.1) / bottom), int(ends > 0)))
+    stem = min(STEM, depth)
+    buckets = min(1 << 16, 1 + max(counts.filter("kind = 0").count() // BUCKET_GRAMS, docs.count() // BUCKET_DOCS))
+    model = grown(counts, depth, stem, buckets)
+    upper = sc.broadcast(top_of(model, stem) if stem else b"")
     space = spaces()
     keyed = with_key(docs, doc_id, text).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), "_key", F.col(text).alias("_text"))
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, key, n, end_score, end_known = held.value
-        model = unpacked(packed)
-        powers = Powers()
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row of bucket -1 with a batch's documents, and one of its distinct grams for each bucket."""
+        key, n, end_score, end_known = held.value
+        powers, batch = Powers(), TaskContext.get().partitionId() << 32
         for table in gathered(batches, "_text", BATCH_BYTES):
-            texts = utf8(table.column("_text"))
+            texts, found, columns = utf8(table.column("_text")), [], []
             for lo, hi in chunk_bounds(texts, 1 << 20):
-                code, symbols = grams(texts[lo:hi], depth)
-                at, found = pd.factorize(code)
-                starts = np.cumsum(symbols) - symbols
-                score = np.add.reduceat(model.log10(found)[at], starts)
+                found.append(pd.unique(grams(texts[lo:hi], depth)[0]))
                 c = Chunk(texts[lo:hi], space, powers, ASCII_LOWER)
                 pos, known = find(key, c.hash.view(np.int64))
                 own = np.where(known, np.log10((n[pos] + 0.1) / bottom), 0.0) if len(n) else np.zeros(len(c.hash))
                 sums = [np.bincount(c.doc_of_word(), x, hi - lo) for x in (own, known)]
-                part = table.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_id").combine_chunks(), part.column("_key").combine_chunks(), *map(pa.array, (np.diff(c.bound) + 1, np.rint(sums[1]).astype(np.int64) + end_known, sums[0] + end_score, score, -score * np.log2(10) / symbols))],
-                    names=["_id", "_key", "n_tokens", "n_known", "base", "score", "bits_per_byte"],
-                )
+                columns.append((np.diff(c.bound) + 1, np.rint(sums[1]).astype(np.int64) + end_known, sums[0] + end_score))
+            if not texts:
+                continue
+            code = np.unique(np.concatenate(found))
+            order, own, start = by_bucket(code, stem, buckets)
+            parts = np.split(code[order], start[1:])
+            data = pickle.dumps((table.column("_id").to_numpy(), table.column("_key").to_numpy(), *map(np.concatenate, zip(*columns, strict=True)), texts))
+            rows = [len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True), *map(packed, parts)]
+            yield pa.RecordBatch.from_pydict({"batch": np.full(len(rows), batch), "bucket": np.r_[np.int32(-1), own].astype(np.int32), "data": pa.array(rows, pa.binary())})
+            batch += 1
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Values of the grams that each batch asked a bucket for."""
+        if not right.num_rows:
+            return right.select(["batch", "bucket", "data"])
+        code, n = (unpacked(left.column("code")[0].as_py()), np.frombuffer(left.column("n")[0].as_py(), np.int64)) if left.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        tree = Tree([level(code, n, d) for d in range(stem, depth + 1)], stem, None, restored(upper.value) if stem else None)
+        data = [tree.log10(unpacked(x.as_py())).astype(np.float32).tobytes() for x in right.column("data")]
+        return pa.table([right.column("batch"), right.column("bucket"), pa.array(data, pa.binary())], names=["batch", "bucket", "data"])
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        blob = left.column("data")[0].as_py()
+        ids, keys, n_tokens, n_known, base, texts = pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
+        chunks = []
+        for lo, hi in chunk_bounds(texts, 1 << 20):
+            code, symbols = grams(texts[lo:hi], depth)
+            chunks.append((*pd.factorize(code), symbols))
+        code = np.unique(np.concatenate([c[1] for c in chunks]))
+        values = np.zeros(len(code), np.float32)
+        found = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True))
+        values[by_bucket(code, stem, buckets)[0]] = np.frombuffer(b"".join(found[x] for x in sorted(found)), np.float32)
+        scores = [np.add.reduceat(values[find(code, own)[0]].astype(float)[at], np.cumsum(symbols) - symbols) for at, own, symbols in chunks]
+        score, symbols = np.concatenate(scores), np.concatenate([c[2] for c in chunks])
+        return pa.table([*map(pa.array, (ids, keys, n_tokens, n_known, base, score, -score * np.log2(10) / symbols))], names=["_id", "_key", "n_tokens", "n_known", "base", "score", "bits_per_byte"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = held.value[1]
+        key = held.value[0]
         powers = Powers()
         for table in gathered(batches, "_text", BATCH_BYTES):
             texts = utf8(table.column("_text"))
@@ -309,7 +400,9 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
                 lead = np.r_[True, doc[first][1:] != doc[first][:-1]][: len(first)]
                 yield pa.RecordBatch.from_pydict({"word": h[first], "_id": ids[doc[first]], "_key": keys[doc[first]], "tf": np.diff(np.r_[first, len(h)]).astype(np.int32), "one": lead.astype(np.int32)})
 
-    near = keyed.mapInArrow(local, "_id long, _key long, n_tokens long, n_known long, base double, score double, bits_per_byte double")
+    batches = written(keyed.mapInArrow(asked, "batch long, bucket int, data binary"))
+    answers = model.groupBy("bucket").cogroup(batches.filter("bucket >= 0").groupBy("bucket")).applyInArrow(answered, "batch long, bucket int, data binary")
+    near = batches.filter("bucket = -1").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(scored, "_id long, _key long, n_tokens long, n_known long, base double, score double, bits_per_byte double")
     far = keyed.mapInArrow(rare, "word long, _id long, _key long, tf int, one int")
     c = F.coalesce(F.col("n"), F.lit(0))
     far = far.join(words.filter(F.col("n") < least), F.col("word") == F.col("key"), "left")

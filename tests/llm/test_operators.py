@@ -307,6 +307,23 @@ def test_scores_equal_brute_force(spark, docs, edge):
     assert ctw.score_texts(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_every_context_of_the_training_texts_scores(spark):
+    """More (context, byte) rows than a model of 2**18 holds: scores equal those of the tree of all counts."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "".join(map(chr, rng.integers(97, 123, 3000)))) for i in range(40)]
+    training = spark.createDataFrame([(i + 1000 * k, t) for i, t in rows for k in range(6)], DOCS)
+    code, _ = ctw.grams([t.encode() for _, t in rows] * 6, 5)
+    rows += [(100 + i, t[:1500] + "\u00e9 Zq" + t[700:900]) for i, t in rows[:5]]
+    df = spark.createDataFrame(rows, DOCS)
+    counts = [np.unique(code & np.uint64((1 << (8 * d + 8)) - 1), return_counts=True) for d in range(6)]
+    assert sum(len(c) for c, _ in counts) > 1 << 18
+    tree = ctw.Tree(counts)
+    want = {i: tree.log10(ctw.grams([t.encode()], 5)[0]).sum() for i, t in rows}
+    got = {r["doc_id"]: r["score"] for r in ctw.score_texts(df, training).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-5) for i in want)
+
+
 # 9 line templates
 
 
