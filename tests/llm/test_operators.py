@@ -339,6 +339,16 @@ def test_templates_with_edges(spark, edge):
     assert templates.drop_templates(edge.limit(0)).count() == 0
 
 
+def test_pipeline_drops_long_lines_from_two_documents_on(spark):
+    import corpus_pipeline as P
+
+    passage, short = " ".join(f"word{'abcdefgh'[i % 8]}{'klmnop'[i % 6]}" for i in range(60)), "a short line by chance"
+    rows = [(i, f"own line {'x' * i}\n{passage}\n{short}") for i in (1, 2, 3)] + [(7, f"twice\n{passage} alone\n{passage} alone")] * 2
+    df = spark.createDataFrame(rows, DOCS).withColumn("n_chars", F.lit(0).cast("long")).repartition(5)
+    got = {r["doc_id"]: r["text"] for r in P.line_dedup(spark, df, "").collect()}
+    assert got == {1: rows[0][1], 2: f"own line xx\n{short}", 3: f"own line xxx\n{short}", 7: rows[3][1]}
+
+
 def test_sql_of_llm_queries(spark, data):
     from fieldspark.llm.registry import QUERIES, SQL
 
