@@ -62,7 +62,7 @@ def clustered(rows: DataFrame, severe: int, k: int = 3) -> DataFrame:
 def coverage_gaps(spark, sf_dir):
     """AG16: clusters of rows of low mean level."""
     t = telemetry(spark, sf_dir).withColumn("level", S.array_mean(S.valid_levels(c("channel_level_db"))))
-    return clustered(t.filter("level < -80").select("latitude", "longitude"), 10)
+    return clustered(t.filter("level < -90").select("latitude", "longitude"), 10)
 
 
 @query()

@@ -24,3 +24,16 @@ def test_entry_imports():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_coverage_gaps_cover_the_rows_below_90(spark):
+    import duckdb
+
+    from fieldspark.sources.views import with_views
+
+    con, folder = duckdb.connect(), "/root/testdata/sf0.1"
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    want = con.execute(with_views("WITH l AS (SELECT list_filter([level_0_db, level_1_db], lambda v: v > -999) AS ok FROM fx_telemetry) SELECT count(*) FROM l WHERE list_sum(ok) / len(ok) < -90", "fx_telemetry")).fetchone()[0]
+    got = QUERIES["coverage_gaps"](spark, folder).collect()
+    assert want > 0 and sum(r["n"] for r in got) == want
+    assert all(r["severity"] == ("high" if r["n"] > 10 else "medium") for r in got)
