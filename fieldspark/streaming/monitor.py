@@ -78,7 +78,7 @@ def crossings(stream: DataFrame, threshold: float = 20.0) -> DataFrame:
 
 
 def matched_stream(positions: DataFrame, telemetry: DataFrame, seconds: int = 2) -> DataFrame:
-    """ST6: positions and telemetry at most some seconds apart, both with a watermark; the nearest is picked per batch."""
+    """ST6: positions and telemetry at most some seconds apart, both with a watermark: every pair; the nearest is not picked."""
     p = positions.select("gps_id", F.col("event_time").alias("gps_time")).withWatermark("gps_time", LATE)
     t = telemetry.select("event_id", "event_time", "pci").withWatermark("event_time", LATE)
     return p.join(t, F.expr(f"event_time BETWEEN gps_time - INTERVAL {seconds} SECONDS AND gps_time + INTERVAL {seconds} SECONDS"))
