@@ -8,8 +8,8 @@ from .language import op5_language_id
 from .packing import op3_retrieval_packing
 from .pii import op4_personal_data
 from .substrings import op7_repeated_passages
-from .templates import OP9_SQL, op9_line_templates
+from .templates import op9_line_templates
 from .urls import op6_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_block_matrix_knn, op4_personal_data, op6_url_filter, op7_repeated_passages, op2_jaccard_partenum, op3_retrieval_packing, op5_language_id, op9_line_templates, op10_spaced_seeds, op8_context_tree)}
-SQL = {"op1_block_matrix_knn": OP1_SQL, "op9_line_templates": OP9_SQL}
+SQL = {"op1_block_matrix_knn": OP1_SQL}

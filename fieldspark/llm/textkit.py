@@ -7,6 +7,7 @@ before, between and after them.  Words are maximal runs of bytes other than
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -118,26 +119,52 @@ def ragged(lens: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lens, lens)
 
 
+def column(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *results: str) -> list[str]:
+    """The columns that no result column replaces; names differ without regard to case, as Spark's do."""
+    return [c for c in df.columns if c.lower() not in results]
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is set only where none is."""
+    """The folder all executors share; a temporary one is set only where none is and all run on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
         held = spark.sparkContext.getCheckpointDir()
     return held
 
 
+#: Tables written by this process, until remove_tables().
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession) -> int:
+    """Deletes the tables that written() left; call it when results that read them are stored."""
+    n = len(WRITTEN)
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldspark.llm import ann, ctw, decontaminate, jaccard, language, packing, pii, substrings, templates, urls
+from fieldspark.llm import ann, ctw, decontaminate, jaccard, language, packing, pii, substrings, templates, textkit, urls
 
 DOCS = "doc_id long, text string"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
@@ -327,16 +327,88 @@ def test_every_context_of_the_training_texts_scores(spark):
 # 9 line templates
 
 
-def test_templates_with_edges(spark, edge):
-    rows = [(i, f"Page {i} of 9\nown{'x' * i} line here\n\nsame words again") for i in range(12)] + [(None, None), (20, ""), (21, "Page x of 9")]
-    df = spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit("clash"))
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in templates.drop_templates(df).collect()}
-    assert got[0] == (rows[0][1], 4, 0)
-    assert got[5] == ("ownxxxxx line here\n", 4, 2)
-    assert got[None] == (None, 0, 0) and got[20] == ("", 1, 0) and got[21] == ("Page x of 9", 1, 0)
-    assert {r["n_dropped"] for r in templates.drop_templates(df, keep_first=False).filter("doc_id < 12").collect()} == {2}
+def brute_templates(rows, min_docs=10, long_words=50, share=0.6, constants=3):
+    """Drops by the tree, for leaves of any size: exact documents, groups in the order of the lines' hashes."""
+    masked, lines, leaf = [], defaultdict(set), defaultdict(dict)
+    space, powers = textkit.spaces(), textkit.Powers()
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        w, first, count, _, no = templates.lines_in([(t or "").encode()], space, powers)
+        h1, h2 = templates.line_hashes(w, first, count)
+        for f, n, k, a, b in zip(first, count, no, h1.view(np.int64), h2.view(np.int64), strict=True):
+            line = tuple(w[f : f + n].tolist())
+            masked.append((d, t, int(k), line))
+            lines[line].add((d, t))
+            leaf[n, line[0]][int(a), int(b)] = line
+    groups = defaultdict(set)
+    for (n, _), held in leaf.items():
+        open_ = []
+        for _, line in sorted(held.items()):
+            agree = [sum(x == y != 0 for x, y in zip(g[0], line, strict=True)) for g in open_]
+            if agree and max(agree) >= max(constants, math.ceil(share * n - 1e-9)):
+                g = open_[agree.index(max(agree))]
+                g[0], _ = [x if x == y else 0 for x, y in zip(g[0], line, strict=True)], g[1].append(line)
+            else:
+                open_.append([list(line), [line]])
+        for g, who in open_:
+            if len(who) > 1:
+                groups[tuple(g)] |= set(who)
+    wanted = [({x}, 2 if len(x) > long_words else min_docs) for x in lines] + [(who | {g} & set(lines), min_docs) for g, who in groups.items()]
+    gone, order = set(), lambda x: (x[0] is not None, x[0] or 0, x[2])
+    for who, least in wanted:
+        if len(set().union(*(lines[x] for x in who))) >= least:
+            places = sorted((m for m in masked if m[3] in who), key=order)
+            gone |= {m[:3] for m in places[1:]}
+    out = []
+    for d, t in rows:
+        kept = [x for i, x in enumerate((t or "").split("\n")) if (d, t, i) not in gone]
+        out.append((d, None if t is None else "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def template_rows():
+    rng = np.random.default_rng(9)
+    people, rows = [f"p{chr(97 + i)}x" for i in range(26)], []
+    for i in range(60):
+        x, y = rng.integers(0, 26, 2)
+        own = " ".join("abcdefghij"[int(k)] * 3 for k in rng.integers(0, 10, 7))
+        rows.append((i, f"user {people[x]} logged in from {people[y]} today\n{own}\nPage {i} of 9\nPosted by {people[x]} on {people[y]}"))
+    return [*rows, (None, None), (80, ""), (81, "Page x of 9"), (82, " ".join(["long"] * 60)), (83, " ".join(["long"] * 60) + "\nmore"), (5, rows[5][1]), (5, rows[5][1])]
+
+
+def test_templates_equal_brute_force_whatever_the_partitions(spark, docs, edge):
+    rows = template_rows()
+    df = spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit("clash")).withColumn("_id", F.lit("x")).withColumn("_key", F.lit("y"))
+    want = brute_templates(rows)
+    for n in (1, 12):
+        out = templates.drop_templates(df.repartition(n))
+        assert out.columns == ["doc_id", "text", "_id", "_key", "n_lines", "n_dropped"]
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == want
+    assert sum("logged" in (t or "") for _, t in want) == 1 and sum("Posted" in (t or "") for _, t in want) == 1
+    assert [t for d, t in want if d == 83] == ["more"]
+    sample = docs.select("doc_id", "text")
+    got = sorted(((r["doc_id"], r["text"]) for r in templates.drop_templates(sample).collect()), key=str)
+    assert got == brute_templates([tuple(r) for r in sample.collect()])
     assert templates.drop_templates(edge).count() == edge.count()
     assert templates.drop_templates(edge.limit(0)).count() == 0
+    assert {r["n_dropped"] for r in templates.drop_templates(df.filter("doc_id < 20"), keep_first=False).collect()} == {3}
+
+
+def test_one_differing_word_and_one_repeated_row(spark):
+    names = "ann bob cleo dan eve fay gus hal ida jon kim leo mia ned".split()
+    df = spark.createDataFrame([(i, f"user {x} logged in to the site") for i, x in enumerate(names)], DOCS)
+    assert [r["n_dropped"] for r in templates.drop_templates(df).orderBy("doc_id").collect()] == [0] + [1] * 13
+    same = spark.createDataFrame([(1, "a line\nof one row")] * 12, DOCS)
+    for n in (1, 12):
+        assert {r["n_dropped"] for r in templates.drop_templates(same.repartition(n)).collect()} == {0}
+
+
+def test_large_leaves_are_split_from_both_ends(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    rows = [(i, " ".join(["go", *(word() for _ in range(7))])) for i in range(200)]
+    rows += [(300 + i, f"go {word()} to the place of all things") for i in range(20)] + [(400 + i, f"go away from here or stay {word()}") for i in range(20)]
+    got = {r["doc_id"]: r["n_dropped"] for r in templates.drop_templates(spark.createDataFrame(rows, DOCS), leaf_lines=30).collect()}
+    assert {d for d, n in got.items() if n} == {*range(301, 320), *range(401, 420)}
 
 
 def test_pipeline_drops_long_lines_from_two_documents_on(spark):
@@ -375,8 +447,9 @@ def test_overlaps_tolerate_substitutions_and_leave_clean_texts(spark, docs, edge
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.overlaps(df, bench).collect()}
     assert set(got) == {(1, 1), (2, 1), (None, 1), (6, 5)}
     assert (got[1, 1]["doc_start"], got[1, 1]["item_start"], got[1, 1]["matched"]) == (2, 0, 40)
-    kept = {r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()}
-    assert kept == {3, 4, 5, 7, 8}
+    clean = spark.createDataFrame([(None, "nothing of it"), (1, "shares an id only")], DOCS)
+    kept = sorted((str(r["doc_id"]) for r in decontaminate.decontaminate(df.unionByName(clean), bench).collect()))
+    assert kept == sorted(["3", "4", "5", "7", "8", "None", "1"])
     assert decontaminate.overlaps(df, bench.limit(0)).count() == 0 and decontaminate.overlaps(df.limit(0), bench).count() == 0
 
     # against exact runs of ten words, on the given tables
@@ -393,6 +466,52 @@ def test_overlaps_tolerate_substitutions_and_leave_clean_texts(spark, docs, edge
     assert want <= found and want
 
 
+def brute_overlaps(rows, items, least=10, share=0.75):
+    import re
+
+    fold = lambda t: re.sub(rb"[!-/:-@\[-`{-~]", b" ", (t or "").encode().lower()).split()
+    out = {}
+    for d, t in rows:
+        for i, x in items:
+            a, b = fold(t), fold(x)
+            for offset in range(-len(b) + 1, len(a)) if len(b) >= 5 else ():
+                lo, hi = max(0, offset), min(len(a), offset + len(b))
+                equal = np.array([a[k] == b[k - offset] for k in range(lo, hi)])
+                seeded = any(all(equal[k + j] for j, m in enumerate(mask) if m == "1") for mask in (decontaminate.MASKS if len(b) >= 6 else ["1" * len(b)]) for k in range(len(equal) - len(mask) + 1))
+                s, e = decontaminate.best_stretch(equal) if seeded else (0, 0)
+                n = int(equal[s:e].sum())
+                if n and n >= min(least, len(b)) and n >= share * (e - s):
+                    row = (-n, lo + s, lo - offset + s, e - s)
+                    out[d, i] = min(row, out.get((d, i), row))
+    return {k: (s, at, length, -n) for k, (n, s, at, length) in out.items()}
+
+
+def test_substituted_words_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    items = [(i, " ".join(f"t{rng.integers(60)}q{rng.integers(50)}" for _ in range(n))) for i, n in enumerate((5, 6, 9, 14, 30, 80, 200))]
+    rows = []
+    for d in range(60):
+        w = items[d % 7][1].split()
+        for k in range(len(w)):
+            if rng.random() < (d // 7) * 0.05:
+                w[k] = f"s{rng.integers(1 << 30)}"
+        rows.append((d, "lead " * int(rng.integers(0, 4)) + " ".join(w[int(rng.integers(0, 3)) :]) + " tail"))
+    rows += [(100, "same " * 2050), (101, None)]
+    items += [(50, "same " * 400), (51, "same,\nsame;same\tsame-same")]
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontaminate.overlaps(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_overlaps(rows[:60], items[:7])
+    assert {k: v for k, v in got.items() if k[0] != 100} == want and len(want) > 30
+    assert got[100, 50] == (0, 0, 400, 400) and got[100, 51] == (0, 0, 5, 5)
+    with pytest.MonkeyPatch.context() as m:  # more blocks and segments
+        m.setattr(decontaminate, "BLOCK_WORDS", 100)
+        m.setattr(decontaminate, "SEGMENT", 60)
+        m.setattr(decontaminate, "LAP", 20)
+        more = decontaminate.overlaps(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+        assert {(r["doc_id"], r["item_id"]) for r in more.collect()} == set(got)
+        kept = decontaminate.decontaminate(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert sorted(r["doc_id"] for r in kept) == sorted(d for d, _ in rows if d not in {k[0] for k in got})
+
+
 # the pipeline
 
 
