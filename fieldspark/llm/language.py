@@ -2,17 +2,19 @@
 
 Features are hashed 1- to 3-grams of code points; letters are lower-cased and
 runs of other characters count as one blank.  Document frequencies cover all
-training documents.  The classifier is fitted on a bounded sample: about
-``per_language`` training documents of each language, drawn by a hash of the id.
-Weights follow the regularised leader (FTRL-proximal) with an elastic net: l1
+training documents.  The classifier is fitted on a bounded sample: at most
+``per_language`` different training documents of each language, those of least hash
+of id and text, so that copies and rows of one id count once.  Weights follow the regularised leader (FTRL-proximal) with an elastic net: l1
 leaves most at exactly zero, l2 shrinks the rest.  A fifth of the sample is kept
-out of the fit and sets the temperature that divides the logits.
+out of the fit and sets the temperature that divides the logits, and the bar: the
+score of the true language that all but ``BELOW`` of these documents reach.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter,
 and for every text when nothing could be learned.  Ties go to the first language
-in order.  Rows with null lang are not learned from.  Repeated rows have repeated
-results.  Columns named as a result column are replaced; an empty table gives an
-empty result.
+in order.  Rows with null lang are not learned from; more than ``MOST_LANGUAGES``
+languages are an error.  Repeated rows have repeated results.  Texts are counted in
+slices of ``SLICE`` code points, so memory has a bound but for the text itself.
+Other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,14 +26,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .textkit import mix, remainder
 
 BITS = 15
 BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
-#: Documents counted at a time, and the most languages that are told apart.
-AT_ONCE, MOST_LANGUAGES = 32, 500
+#: Documents and code points counted at a time, and the most languages that are told apart.
+AT_ONCE, SLICE, MOST_LANGUAGES = 32, 1 << 20, 500
+#: Share of the held-out sample that lies below the bar; a bar is that much above chance at least.
+BELOW, MARGIN = 0.002, 0.05
 
 
 class Letters:
@@ -50,20 +55,56 @@ class Letters:
         return out[~(blank & np.r_[False, blank[:-1]])] if len(out) else out
 
 
+def pieces(texts: list[str], letters: Letters) -> Iterator[tuple[int, np.ndarray, int]]:
+    """Each text's codes between blanks, in pieces: the text, the codes, and how many of them lead from the piece before."""
+    for i, t in enumerate(texts):
+        tail, length = np.array([32], np.uint32), 1
+        for lo in range(0, max(1, len(t)), SLICE):
+            new = letters(t[lo : lo + SLICE])
+            if len(new) and new[0] == 32 and tail[-1] == 32:
+                new = new[1:]
+            code, lead = np.r_[tail, new], len(tail) if lo else 0
+            length += len(new)
+            if lo + SLICE >= len(t) and (code[-1] != 32 or length == 1):
+                code = np.r_[code, np.uint32(32)]
+            yield i, code, lead
+            tail = code[-2:]
+
+
+def runs(texts: list[str], letters: Letters) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Codes of some pieces, their piece, whether they lead, and the text of each piece."""
+    held, size = [], 0
+    for piece in pieces(texts, letters):
+        held.append(piece)
+        size += len(piece[1])
+        if size > SLICE:
+            yield joined(held)
+            held, size = [], 0
+    if held:
+        yield joined(held)
+
+
+def joined(held: list[tuple[int, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    lens = np.array([len(c) for _, c, _ in held])
+    piece = np.repeat(np.arange(len(held)), lens)
+    place = np.arange(len(piece)) - np.repeat(np.cumsum(lens) - lens, lens)
+    return np.concatenate([c for _, c, _ in held]), piece, place < np.repeat([n for _, _, n in held], lens), np.array([i for i, _, _ in held])
+
+
 def counts(texts: list[str], letters: Letters) -> tuple[np.ndarray, np.ndarray]:
     """n-gram counts by bucket of each text, and whether it has a letter."""
-    runs = [np.r_[np.uint32(32), letters(t), np.uint32(32)] for t in texts]
-    row = np.repeat(np.arange(len(runs)), list(map(len, runs)))
-    code = np.concatenate(runs).astype(np.uint64)
-    total = np.zeros(len(runs) * BUCKETS, np.float32)
-    for n in ORDERS:
-        m = max(0, len(code) - n + 1)
-        gram = np.full(m, n, np.uint64)
-        for j in range(n):
-            gram = (gram << np.uint64(21)) ^ code[j : j + m]
-        same = row[:m] == row[n - 1 : n - 1 + m]
-        total += np.bincount(row[:m][same] * BUCKETS + (mix(gram[same]) >> np.uint64(64 - BITS)).astype(np.int64), minlength=len(total)).astype(np.float32)
-    return total.reshape(len(runs), BUCKETS), np.array([bool((r != 32).any()) for r in runs])
+    total, some = np.zeros(len(texts) * BUCKETS, np.float32), np.zeros(len(texts), bool)
+    for code, piece, lead, owner in runs(texts, letters):
+        code = code.astype(np.uint64)
+        some[owner[piece[code != 32]]] = True
+        for n in ORDERS:
+            m = max(0, len(code) - n + 1)
+            gram = np.full(m, n, np.uint64)
+            for j in range(n):
+                gram = (gram << np.uint64(21)) ^ code[j : j + m]
+            ours = (piece[:m] == piece[n - 1 : n - 1 + m]) & ~lead[n - 1 : n - 1 + m]  # those that end in the lead were counted before
+            total += np.bincount(owner[piece[:m][ours]] * BUCKETS + (mix(gram[ours]) >> np.uint64(64 - BITS)).astype(np.int64), minlength=len(total)).astype(np.float32)
+    return total.reshape(len(texts), BUCKETS), some
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -106,7 +147,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 500) -> dict | None:
-    """The model of some labelled documents: languages, table (bucket by language), bias and temperature."""
+    """The model of some labelled documents: languages, table (bucket by language), bias, temperature and bar."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     by_language = sorted(labelled.groupBy(F.col(lang).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect())
     if len(by_language) > MOST_LANGUAGES:
@@ -128,9 +169,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     df = np.zeros(BUCKETS + 1)
     df[found.column("bucket").to_numpy()] = found.column("df").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 1
-    share = F.create_map(*[F.lit(x) for name, n in by_language for x in (name, min(1.0, per_language / n))])
-    drawn = F.pmod(F.xxhash64(F.col(doc_id), F.lit("sample")), F.lit(1_000_000)) < F.element_at(share, F.col(lang)) * 1_000_000
-    sample = labelled.filter(drawn).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.pmod(F.xxhash64(F.col(doc_id), F.lit("held")), F.lit(5)).alias("h"))
+    hashed = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(doc_id), F.col(text), F.lit("sample")).alias("d"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("d"))
+    drawn = hashed.select("l", "d").distinct().withColumn("rank", rank).filter(F.col("rank") <= per_language).select("l", "d")
+    sample = hashed.join(F.broadcast(drawn), ["l", "d"]).dropDuplicates(["l", "d"]).select("t", "l", F.pmod(F.xxhash64("d", F.lit("held")), F.lit(5)).alias("h"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()
@@ -149,12 +191,15 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         w = ftrl(rows, len(names))
         held = held or rows
         logits = np.array([x @ w[at] + w[-1] for at, x, _ in held]).reshape(len(held), len(names))
-        t = temperature(logits, np.array([y for _, _, y in held], int))
-        yield pa.RecordBatch.from_pydict({"w": [w.tobytes()], "t": [t]})
+        y = np.array([y for _, _, y in held], int)
+        t = temperature(logits, y)
+        reached = softmax(logits / t)[np.arange(len(y)), y]
+        bar = max(1 / len(names) + MARGIN, float(np.quantile(reached, BELOW, method="lower"))) if len(names) > 1 else 0.0
+        yield pa.RecordBatch.from_pydict({"w": [w.tobytes()], "t": [t], "bar": [bar]})
 
-    fitted = sample.mapInArrow(sparse, "at binary, x binary, l string, h long").repartition(1).mapInArrow(fit, "w binary, t double").first()
+    fitted = sample.mapInArrow(sparse, "at binary, x binary, l string, h long").repartition(1).mapInArrow(fit, "w binary, t double, bar double").first()
     w = np.frombuffer(fitted["w"], np.float32).reshape(-1, len(names))
-    return {"names": names, "idf": idf, "table": w[:-1], "bias": w[-1], "temperature": fitted["t"]}
+    return {"names": names, "idf": idf, "table": w[:-1], "bias": w[-1], "temperature": fitted["t"], "bar": fitted["bar"]}
 
 
 def identified(df: DataFrame, model: dict | None, text: str = "text") -> Column:

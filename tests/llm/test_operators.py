@@ -193,9 +193,45 @@ def test_language_accuracy_and_edges(spark, docs):
     assert [found[i]["lang"] for i in (1, 2, 3)] == ["und"] * 3 and [found[i]["score"] for i in (1, 2, 3)] == [0.0] * 3
     assert found[4]["lang"] != "und" and 0 <= found[4]["score"] <= 1
     assert language.train(odd.limit(0)) is None
+    rng = np.random.default_rng(2)
+    junk = spark.createDataFrame([(i, " ".join("".join(rng.choice(list("qxzjkvw"), 6)) for _ in range(60))) for i in range(30)], DOCS)
+    assert all(r["g"]["score"] < model["bar"] for r in junk.select(language.identified(junk, model).alias("g")).collect())
+    assert np.mean([r["g"]["score"] >= model["bar"] for r in rows]) > 0.98
     assert {r[0]["lang"] for r in odd.select(language.identified(odd, None)).collect()} == {"und"}
 
 
+def test_language_counts_of_long_texts_and_draw_of_repeated_rows(spark, docs):
+    from unittest import mock
+
+    texts = ["Ein, zwei -- drei!", "", " a", "x" * 50, "été ".join("abcdefg") * 9, "12 34", "a  b" * 20]
+    whole = language.counts(texts, language.Letters())
+    for size in (1, 2, 3, 7, 16):
+        with mock.patch.object(language, "SLICE", size):
+            parts = language.counts(texts, language.Letters())
+        assert (parts[0] == whole[0]).all() and (parts[1] == whole[1]).all()
+    for t, x in zip(texts, whole[0], strict=True):
+        flat = "".join(c.lower() if c.isalpha() else " " for c in t)
+        padded = " " + " ".join(flat.split()) + " " if flat.strip() else "  "
+        assert x.sum() == sum(max(0, len(padded) - n + 1) for n in (1, 2, 3)) or not flat.strip()
+    # training by hand: the sample drawn, its TF-IDF rows and the same leader give the same weights
+    many = docs.unionByName(docs.filter("doc_id = 1").crossJoin(spark.range(500)).select(*docs.columns)).withColumn("doc_id", F.lit(7))
+    model = language.train(many, per_language=20)
+    assert model["names"] == ["de", "en", "es", "fr"]
+    sample = sorted(many.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("doc_id", "text", F.lit("sample")).alias("d"), "text").distinct().collect())
+    rows, counted = [], language.counts([r["text"] for r in many.filter("lang IS NOT NULL AND text IS NOT NULL").collect()], language.Letters())[0] > 0
+    idf = (np.log((1 + len(counted)) / (1 + counted.sum(axis=0))) + 1).astype(np.float32)
+    assert np.allclose(model["idf"], idf)
+    held = dict(many.select(F.xxhash64("doc_id", "text", F.lit("sample")).alias("d")).distinct().select("d", F.pmod(F.xxhash64("d", F.lit("held")), F.lit(5))).collect())
+    for k, name in enumerate(model["names"]):
+        for r in [r for r in sample if r["lang"] == name][:20]:
+            if held[r["d"]] != 0:
+                x = language.unit(language.counts([r["text"]], language.Letters())[0][0] * model["idf"])
+                at = np.flatnonzero(x).astype(np.int32)
+                rows.append((at, x[at], k))
+    rows.sort(key=lambda r: (r[2], r[0].tobytes()))
+    assert np.allclose(language.ftrl(rows, 4), np.r_[model["table"], model["bias"][None]], atol=1e-6)
+
+
 # 6 urls
 
 
