@@ -1,12 +1,19 @@
 """Packing documents into token windows by lexical retrieval.
 
-Documents are tokenized where they lie, then dealt to shards of about
-``SHARD_DOCS`` documents by a hash.  A shard holds an inverted index: for every
-term (token id) the documents with it and their BM25 weights.  A seed document
-opens a window; the index is asked for the unused documents of its shard that
-score best for the seed's most telling terms (BM25 with the shard's document
-frequencies), and they fill the window greedily, best first.  The last document
-of a window is cut where the window is full, and its rest opens the next one,
+Documents are tokenized where they lie, then dealt to shards by content.  A
+document's key is three of its terms (token ids), each drawn by a hash in proportion
+to the terms' BM25 weights: two documents draw the same one as often as their weighted
+terms agree, so documents of one topic come to lie side by side.  The table is cut in
+the order of the keys into ranges of about ``SHARD_DOCS`` documents or ``SHARD_BYTES``
+of tokens; many documents of one key (copies) are spread by their place in the input.
+A task reads its range in order and starts another shard where one would exceed twice
+these bounds.
+
+A shard holds an inverted index: for every term the documents with it and their BM25
+weights, with the document frequencies of the whole table.  A seed document opens a
+window; the index is asked for the unused documents of the shard that score best for
+all terms of the seed, and they fill the window greedily, best first.  The last
+document of a window is cut where the window is full, and its rest opens the next one,
 so only the last window of a shard is padded.
 
 Tokens: text splits into units of white space followed by other characters.
@@ -16,31 +23,33 @@ and puts them together again.  Where that argument fails (white space beyond
 ASCII, a special token's string) the whole text is encoded by the tokenizer.
 
 Defined results: a null or empty text is one end token.  Rows of equal id are
-separate documents, told apart by a hash of their text; rows equal in both are
-separate too, in any order.  Columns other than id and text are not looked at; an
+separate documents, so are rows equal in both.  Columns other than id and text are not looked at; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Chunk, Powers, chunk_bounds, gathered, mix, ragged, spaces, utf8
+from .textkit import Chunk, Powers, chunk_bounds, column, gathered, mix, ragged, spaces, utf8, written
 
 WINDOW = 2048
-SHARD_DOCS = 2048
+SHARD_DOCS, SHARD_BYTES = 1024, 4 << 20
 BATCH_BYTES = 4 << 20
-#: Telling terms of a seed, and candidates asked for at a time.
-TERMS, ASK = 16, 8
+NULL_ID = -(1 << 63)
+VOCABULARY = 1 << 16
+KEYS = ("k1", "k2", "k3")
+#: Neighbours asked for at a time; when they are used up, the index is asked again.
+ASK = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 K1, B = 1.2, 0.75
 
@@ -132,67 +141,127 @@ class Encoder:
         return np.concatenate(out), per_doc
 
 
-def encoded(df: DataFrame, doc_id: str, text: str, shards: int, files: tuple[str, str, str], end_id: int) -> DataFrame:
-    """Rows of one shard's share of a batch: its documents' ids, lengths and tokens (uint16), packed."""
+def encoded(df: DataFrame, doc_id: str, text: str, files: tuple[str, str, str] | None, end_id: int) -> DataFrame:
+    """id, place (a hash of where the row lies) and tokens (uint16) of every document."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*files)
+        encoder, seen = Encoder(*(files or byte_bpe())), 0
+        lead = np.uint64(TaskContext.get().partitionId() << 40)
         for table in gathered(batches, "_text", BATCH_BYTES):
-            ids, shard = table.column("_id").to_numpy(), table.column("_shard").to_numpy()
             flat, counts = encoder(utf8(table.column("_text")))
             ends = np.cumsum(counts)
-            starts = ends - counts
-            order = np.argsort(shard, kind="stable")
-            cut = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0])
-            rows: list = []
-            for u, v in zip(cut, np.r_[cut[1:], len(order)], strict=True):
-                who = order[u:v]
-                tokens = [np.append(flat[starts[i] : ends[i]], np.uint16(end_id)) for i in who]
-                rows.append((int(shard[who[0]]), ids[who].tobytes(), (counts[who] + 1).tobytes(), np.concatenate(tokens).tobytes()))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["shard", "ids", "lens", "tokens"])
+            tokens = [np.append(flat[e - n : e], np.uint16(end_id)).tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            place = mix(lead + np.arange(seen, seen + len(tokens)).astype(np.uint64)).view(np.int64)
+            seen += len(tokens)
+            yield pa.RecordBatch.from_arrays([table.column("_id").combine_chunks(), pa.array(place), pa.array(tokens, pa.binary())], names=["id", "place", "tokens"])
 
-    docs = df.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), F.pmod(F.xxhash64(doc_id, text), F.lit(shards)).cast("int").alias("_shard"))
-    return docs.withColumn("_id", F.coalesce("_id", F.lit(-1 << 63))).mapInArrow(go, "shard int, ids binary, lens binary, tokens binary")
+    docs = df.select(F.coalesce(column(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), column(text).alias("_text"))
+    return docs.mapInArrow(go, "id long, place long, tokens binary")
+
+
+def byte_bpe() -> tuple[str, str, str]:
+    """The files are looked for where the task runs."""
+    import public_tokenizers as P
+
+    return P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.PATTERN
+
+
+def term_counts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count, by document then term; and each document's length."""
+    size = np.array([len(t) // 2 for t in tokens], np.int64)
+    flat = np.frombuffer(b"".join(tokens), np.uint16).astype(np.int64)
+    found, n = np.unique((np.repeat(np.arange(len(tokens)), size) << 16) | flat, return_counts=True)
+    return found >> 16, found & 0xFFFF, n, size
+
+
+def frequencies(held: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Documents of each term, documents and tokens of the whole table."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, size = np.zeros(VOCABULARY, np.int64), 0, 0
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                _, term, _, lens = term_counts(b.column(0).slice(lo, 256).to_pylist())
+                df += np.bincount(term, minlength=VOCABULARY)
+                docs, size = docs + len(lens), size + int(lens.sum())
+        term = np.r_[np.flatnonzero(df), -1, -2]
+        yield pa.RecordBatch.from_pydict({"term": term, "n": np.r_[df[df > 0], docs, size]})
+
+    found = dict(map(tuple, held.select("tokens").mapInArrow(go, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()))
+    docs, size = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(VOCABULARY, np.int64)
+    df[list(found)] = list(found.values())
+    return df, docs, size
+
+
+def bm25(term: np.ndarray, n: np.ndarray, size: np.ndarray, stats: dict) -> np.ndarray:
+    """Weights of terms that lie n times in documents of a size."""
+    df = stats["df"][term]
+    idf = np.log(1 + (stats["docs"] - df + 0.5) / (df + 0.5))
+    return (idf * n * (K1 + 1) / (n + K1 * (1 - B + B * size / stats["mean"]))).astype(np.float32)
+
+
+def keyed(held: DataFrame, stats) -> DataFrame:
+    """Adds the three terms that each document draws; terms that no other document has are drawn last."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = stats.value
+        draws = [-np.log((mix(np.arange(VOCABULARY).astype(np.uint64) + np.uint64(salt << 20)).astype(float) + 1) / 2.0**64) for salt in (1, 2, 3)]
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                t = b.slice(lo, 256)
+                doc, term, n, size = term_counts(t.column(2).to_pylist())
+                weight = bm25(term, n, size[doc], s) * np.where(s["df"][term] > 1, 1.0, 1e-9)
+                first = np.searchsorted(doc, np.arange(t.num_rows))
+                keys = []
+                for draw in draws:
+                    cost = draw[term] / np.maximum(weight, 1e-30)
+                    best = np.flatnonzero(cost == np.minimum.reduceat(cost, first)[doc])
+                    keys.append(term[best[np.searchsorted(doc[best], np.arange(t.num_rows))]])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), *t.columns], names=[*KEYS, *t.schema.names])
+
+    return held.mapInArrow(go, "k1 long, k2 long, k3 long, id long, place long, tokens binary")
 
 
 class Index:
-    """BM25 postings of a shard."""
-
-    def __init__(self, tokens: list[np.ndarray]):
-        found = [np.unique(t, return_counts=True) for t in tokens]
-        size = np.fromiter(map(len, tokens), float, len(tokens))
-        terms = np.concatenate([t for t, _ in found]).astype(np.int64)
-        freq = np.concatenate([n for _, n in found])
-        doc = np.repeat(np.arange(len(tokens)), [len(t) for t, _ in found])
-        df = np.bincount(terms, minlength=1 << 16)
-        idf = np.log(1 + (len(tokens) - df + 0.5) / (df + 0.5))
-        weight = (idf[terms] * freq * (K1 + 1) / (freq + K1 * (1 - B + B * size[doc] / max(1.0, size.mean())))).astype(np.float32)
-        ends = np.cumsum([len(t) for t, _ in found])
-        self.telling = []
-        for (t, _), e in zip(found, ends.tolist(), strict=True):
-            w = weight[e - len(t) : e]
-            best = np.argpartition(-w, TERMS - 1)[:TERMS] if len(t) > TERMS else slice(None)
-            self.telling.append(t[best].astype(np.int64))
-        order = np.argsort(terms, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.at = np.r_[0, np.cumsum(df)]
+    """BM25 postings of a shard; those of used documents are left out once they are half of all."""
+
+    def __init__(self, tokens: list[bytes], stats: dict):
+        doc, term, n, size = term_counts(tokens)
+        weight = bm25(term, n, size[doc], stats)
+        self.terms = np.split(term, np.searchsorted(doc, np.arange(1, len(tokens))))
+        order = np.argsort(term, kind="stable")
+        self.doc, self.term, self.weight = doc[order].astype(np.int32), term[order], weight[order]
         self.free = np.ones(len(tokens), bool)
+        self.left = self.held = len(tokens)
+        self.sort()
+
+    def sort(self) -> None:
+        self.at = np.searchsorted(self.term, np.arange(VOCABULARY + 1))
+
+    def use(self, doc: int) -> None:
+        self.free[doc] = False
+        self.left -= 1
+        if self.left * 2 < self.held:
+            keep = self.free[self.doc]
+            self.doc, self.term, self.weight, self.held = self.doc[keep], self.term[keep], self.weight[keep], self.left
+            self.sort()
 
     def neighbours(self, seed: int, most: int) -> list[int]:
-        """Unused documents that share a telling term with the seed, best first."""
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.telling[seed]]
-        docs = np.concatenate([self.doc[s] for s in spans])
-        weights = np.concatenate([self.weight[s] for s in spans])
-        free = self.free[docs]
-        score = np.bincount(docs[free], weights[free], len(self.free))
+        """Unused documents that share a term with the seed, best first; ties to the earlier."""
+        lo = self.at[self.terms[seed]]
+        n = self.at[self.terms[seed] + 1] - lo
+        at = np.repeat(lo, n) + ragged(n)
+        score = np.bincount(self.doc[at], self.weight[at], len(self.free)) * self.free
         hit = np.flatnonzero(score)
-        return heapq.nsmallest(most, hit.tolist(), key=lambda d: (-score[d], d))
+        if len(hit) > most:
+            hit = hit[score[hit] >= np.partition(score[hit], len(hit) - most)[len(hit) - most]]
+        return hit[np.lexsort((hit, -score[hit]))][:most].tolist()
 
 
-def fill(tokens: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int, int, int]]:
+def fill(tokens: list[bytes], window: int, stats: dict) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece."""
-    index, sequence, room = Index(tokens), 0, window
+    index, sequence, room = Index(tokens, stats), 0, window
     fresh, queue = 0, []
     seed = None
     while True:
@@ -208,12 +277,12 @@ def fill(tokens: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int,
             doc, fresh = (fresh if index.free[fresh] else None), fresh + 1
         if doc is None:
             return
-        index.free[doc] = False
+        index.use(doc)
         if room == window:
             seed, queue = doc, []
-        done = 0
-        while done < len(tokens[doc]):
-            n = min(room, len(tokens[doc]) - done)
+        done, whole = 0, len(tokens[doc]) // 2
+        while done < whole:
+            n = min(room, whole - done)
             yield doc, done, n, sequence, window - room
             done, room = done + n, room - n
             if not room:  # the rest of the document is the next window's seed
@@ -224,29 +293,34 @@ def fill(tokens: list[np.ndarray], window: int) -> Iterator[tuple[int, int, int,
 
 def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, files: tuple[str, str, str] | None = None, end_id: int = 1) -> DataFrame:
     """Pieces of all documents; files: ranks, JSON file and split pattern of one byte-level BPE of under 2**16 ids."""
-    if files is None:
-        import public_tokenizers as P
-
-        files = (P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.PATTERN)
-    shards = max(1, -(-df.count() // SHARD_DOCS))
-
-    def shard(table: pa.Table) -> pa.Table:
-        ids, tokens = [], []
-        for r in table.to_pylist():
-            ids.append(np.frombuffer(r["ids"], np.int64))
-            ends = np.cumsum(np.frombuffer(r["lens"], np.int64))
-            tokens += np.split(np.frombuffer(r["tokens"], np.uint16), ends[:-1])
-        ids = np.concatenate(ids)
-        order = np.lexsort(([zlib.crc32(t.tobytes()) for t in tokens], ids))
-        ids, tokens = ids[order], [tokens[i] for i in order]
-        wide = [t.astype("<u4") for t in tokens]
-        base = table.column("shard")[0].as_py() << 32
-        rows = [(ids[d], s, n, zlib.crc32(wide[d][s : s + n].tobytes()), len(wide[d]), base + q, o) for d, s, n, q, o in fill(tokens, window)]
-        return pa.table([pa.array(np.array(c, np.int64)) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
-
-    held = encoded(df, doc_id, text, shards, files, end_id)
-    pieces = held.groupBy("shard").applyInArrow(shard, PIECES)
-    return pieces.withColumn("doc_id", F.when(F.col("doc_id") != -1 << 63, F.col("doc_id")))
+    held = written(encoded(df, doc_id, text, files, end_id))
+    df_, docs, size = frequencies(held)
+    stats = df.sparkSession.sparkContext.broadcast({"df": df_, "docs": docs, "mean": max(1.0, size / max(1, docs))})
+    ranges = max(1, -(-docs // SHARD_DOCS), -(-2 * size // SHARD_BYTES))
+    names = [f.split()[0] for f in PIECES.split(", ")]
+
+    def shard(ids: list[int], tokens: list[bytes], number: int) -> pa.RecordBatch:
+        wide = [np.frombuffer(t, np.uint16).astype("<u4") for t in tokens]
+        base = TaskContext.get().partitionId() << 40 | number << 24
+        rows = [(ids[d], s, n, zlib.crc32(wide[d][s : s + n].tobytes()), len(wide[d]), base + q, o) for d, s, n, q, o in fill(tokens, window, stats.value)]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*rows, strict=True)], names=names)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tokens, bytes_, number = [], [], 0, 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if tokens and (len(tokens) >= 2 * SHARD_DOCS or bytes_ + len(t) > 2 * SHARD_BYTES):
+                    yield shard(ids, tokens, number)
+                    ids, tokens, bytes_, number = [], [], 0, number + 1
+                ids.append(i)
+                tokens.append(t)
+                bytes_ += len(t)
+        if tokens:
+            yield shard(ids, tokens, number)
+
+    order = [*KEYS, "place"]
+    pieces = keyed(held, stats).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("id", "tokens").mapInArrow(go, PIECES)
+    return pieces.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
 def op3_retrieval_packing(spark, sf_dir: str) -> DataFrame:

@@ -149,6 +149,68 @@ def test_packing_round_trip(spark, docs, edge):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def packed_rows(df):
+    found = defaultdict(list)
+    for r in packing.pack(df).collect():
+        found[r["sequence_id"]].append(r)
+    return found
+
+
+def test_packing_of_repeated_rows_and_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    rows = [(7, "the same text again and again")] * 130 + [(None, None)] * 90
+    found = packed_rows(spark.createDataFrame(rows, DOCS).repartition(3))
+    counts = Counter(r["doc_id"] for held in found.values() for r in held if r["start"] == 0)
+    assert counts == {7: 130, None: 90}
+    assert max(Counter(s >> 24 for s, held in found.items() for r in held if r["start"] == 0).values()) <= 40
+
+
+def test_retrieval_equals_brute_force():
+    rng = np.random.default_rng(6)
+    tokens = [np.r_[rng.zipf(1.3, rng.integers(1, 400)) % 500, 1].astype(np.uint16) for _ in range(80)]
+    df = Counter(int(x) for t in tokens for x in set(t.tolist()))
+    mean = sum(map(len, tokens)) / len(tokens)
+    stats = {"df": np.array([df[i] for i in range(1 << 16)]), "docs": 80, "mean": mean}
+    index = packing.Index([t.tobytes() for t in tokens], stats)
+
+    def brute(seed, used):
+        score = {}
+        for d, t in enumerate(tokens):
+            n = Counter(t.tolist())
+            if d not in used:
+                score[d] = sum(math.log(1 + (80 - df[x] + 0.5) / (df[x] + 0.5)) * n[x] * 2.2 / (n[x] + 1.2 * (0.25 + 0.75 * len(t) / mean)) for x in set(tokens[seed].tolist()) if n[x])
+        return sorted((d for d in score if score[d] > 0), key=lambda d: (-round(score[d], 3), d)), score
+
+    used = set()
+    for seed in rng.permutation(80)[:60].tolist():
+        if seed not in used:
+            index.use(seed)
+            used.add(seed)
+        want, score = brute(seed, used)
+        got = index.neighbours(seed, 10)
+        assert len(got) == min(10, len(want))
+        assert all(abs(score[a] - score[b]) < 1e-2 for a, b in zip(got, want, strict=False))
+    # a window is filled by the seed's neighbours, best first
+    filled = list(packing.fill([t.tobytes() for t in tokens], 2048, stats))
+    first = [d for d, s, n, q, o in filled if q == 0]
+    fresh = packing.Index([t.tobytes() for t in tokens], stats)
+    fresh.use(0)
+    assert first == [0, *fresh.neighbours(0, len(first) - 1)]
+
+
+def test_copies_lie_in_one_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 5)))
+    vocabulary = [[word() for _ in range(40)] for _ in range(20)]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 20], 60))) for i in range(400)]
+    found = packed_rows(spark.createDataFrame(rows, DOCS).repartition(5))
+    shard = {r["doc_id"]: s >> 24 for s, held in found.items() for r in held if r["start"] == 0}
+    together = np.mean([shard[a] == shard[b] for a in range(400) for b in range(a + 20, 400, 20)])
+    apart = np.mean([shard[a] == shard[a + 1] for a in range(399)])
+    assert together > 4 * max(apart, 0.02)
+
+
 # 4 personal data
 
 
