@@ -4,10 +4,10 @@ Documents are tokenized where they lie, then dealt to shards by content.  A
 document's key is three of its terms (token ids), each drawn by a hash in proportion
 to the terms' BM25 weights: two documents draw the same one as often as their weighted
 terms agree, so documents of one topic come to lie side by side.  The table is cut in
-the order of the keys into ranges of about ``SHARD_DOCS`` documents or ``SHARD_BYTES``
-of tokens; many documents of one key (copies) are spread by their place in the input.
-A task reads its range in order and starts another shard where one would exceed twice
-these bounds.
+the order of the keys into ranges; many documents of one key (copies) are spread by
+their place in the input.  A task reads its range in order and cuts it into shards of
+``SHARD_DOCS`` documents (the last has up to twice as many), or fewer where they hold
+``SHARD_BYTES`` of tokens.
 
 A shard holds an inverted index: for every term the documents with it and their BM25
 weights, with the document frequencies of the whole table.  A seed document opens a
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .textkit import Chunk, Powers, chunk_bounds, column, gathered, mix, ragged, spaces, utf8, written
 
 WINDOW = 2048
-SHARD_DOCS, SHARD_BYTES = 1024, 4 << 20
+SHARD_DOCS, SHARD_BYTES, RANGE_BYTES = 1024, 8 << 20, 4 << 20
 BATCH_BYTES = 4 << 20
 NULL_ID = -(1 << 63)
 VOCABULARY = 1 << 16
@@ -224,35 +224,32 @@ def keyed(held: DataFrame, stats) -> DataFrame:
 
 
 class Index:
-    """BM25 postings of a shard; those of used documents are left out once they are half of all."""
+    """BM25 postings of a shard; terms in over a sixteenth of its documents have a row of weights instead."""
 
     def __init__(self, tokens: list[bytes], stats: dict):
         doc, term, n, size = term_counts(tokens)
         weight = bm25(term, n, size[doc], stats)
         self.terms = np.split(term, np.searchsorted(doc, np.arange(1, len(tokens))))
+        common = np.flatnonzero(np.bincount(term, minlength=VOCABULARY) * 16 > len(tokens))
+        self.row = np.full(VOCABULARY, -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(tokens)), np.float32)
+        often = self.row[term] >= 0
+        self.dense[self.row[term[often]], doc[often]] = weight[often]
+        doc, term, weight = doc[~often], term[~often], weight[~often]
         order = np.argsort(term, kind="stable")
-        self.doc, self.term, self.weight = doc[order].astype(np.int32), term[order], weight[order]
+        self.doc, self.weight = doc[order], weight[order]
+        self.at = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
         self.free = np.ones(len(tokens), bool)
-        self.left = self.held = len(tokens)
-        self.sort()
-
-    def sort(self) -> None:
-        self.at = np.searchsorted(self.term, np.arange(VOCABULARY + 1))
-
-    def use(self, doc: int) -> None:
-        self.free[doc] = False
-        self.left -= 1
-        if self.left * 2 < self.held:
-            keep = self.free[self.doc]
-            self.doc, self.term, self.weight, self.held = self.doc[keep], self.term[keep], self.weight[keep], self.left
-            self.sort()
 
     def neighbours(self, seed: int, most: int) -> list[int]:
         """Unused documents that share a term with the seed, best first; ties to the earlier."""
-        lo = self.at[self.terms[seed]]
-        n = self.at[self.terms[seed] + 1] - lo
+        terms = self.terms[seed]
+        rows = self.row[terms]
+        lo = self.at[terms]
+        n = self.at[terms + 1] - lo
         at = np.repeat(lo, n) + ragged(n)
-        score = np.bincount(self.doc[at], self.weight[at], len(self.free)) * self.free
+        score = (np.bincount(self.doc[at], self.weight[at], len(self.free)) + self.dense[rows[rows >= 0]].sum(axis=0)) * self.free
         hit = np.flatnonzero(score)
         if len(hit) > most:
             hit = hit[score[hit] >= np.partition(score[hit], len(hit) - most)[len(hit) - most]]
@@ -277,7 +274,7 @@ def fill(tokens: list[bytes], window: int, stats: dict) -> Iterator[tuple[int, i
             doc, fresh = (fresh if index.free[fresh] else None), fresh + 1
         if doc is None:
             return
-        index.use(doc)
+        index.free[doc] = False
         if room == window:
             seed, queue = doc, []
         done, whole = 0, len(tokens[doc]) // 2
@@ -296,7 +293,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
     held = written(encoded(df, doc_id, text, files, end_id))
     df_, docs, size = frequencies(held)
     stats = df.sparkSession.sparkContext.broadcast({"df": df_, "docs": docs, "mean": max(1.0, size / max(1, docs))})
-    ranges = max(1, -(-docs // SHARD_DOCS), -(-2 * size // SHARD_BYTES))
+    ranges = max(1, -(-2 * size // RANGE_BYTES))
     names = [f.split()[0] for f in PIECES.split(", ")]
 
     def shard(ids: list[int], tokens: list[bytes], number: int) -> pa.RecordBatch:
@@ -309,9 +306,11 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int
         ids, tokens, bytes_, number = [], [], 0, 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if tokens and (len(tokens) >= 2 * SHARD_DOCS or bytes_ + len(t) > 2 * SHARD_BYTES):
-                    yield shard(ids, tokens, number)
-                    ids, tokens, bytes_, number = [], [], 0, number + 1
+                n = SHARD_DOCS if len(tokens) >= 2 * SHARD_DOCS else len(tokens) if bytes_ + len(t) > SHARD_BYTES else 0
+                if n:
+                    yield shard(ids[:n], tokens[:n], number)
+                    ids, tokens, number = ids[n:], tokens[n:], number + 1
+                    bytes_ = sum(map(len, tokens))
                 ids.append(i)
                 tokens.append(t)
                 bytes_ += len(t)
