@@ -1,7 +1,10 @@
 """Removal of repeated word windows, by super-k-mer partitioning.
 
 A window is ``width`` consecutive words of one document.  Its minimiser is the
-smallest hash among its pairs of adjacent words.  Consecutive windows with the
+smallest hash among its pairs of adjacent words, where pairs that make up over a
+``FREQUENT``-th of all words come after all others (at most ``MOST_FREQUENT`` of them;
+they are counted first, and any list would do): a frequent pair draws only windows
+that have no other.  Consecutive windows with the
 same minimiser share most of their words, so they travel as one packed string
 (a super-k-mer) to the bucket of that minimiser; equal windows have equal
 minimisers and so meet.  In a bucket, sorting brings equal windows together:
@@ -33,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import BASE, Chunk, Powers, chunk_bounds, gathered, mix, spaces, text_bytes, utf8, with_key
+from .textkit import BASE, Chunk, Powers, chunk_bounds, column, gathered, mix, others, spaces, text_bytes, utf8, written
 
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 2 << 20
 CHUNK_BYTES = 1 << 20
 SECOND = 0xD6E8FEB86659FD93
+FREQUENT, MOST_FREQUENT = 20_000, 1 << 16
 PACKED = "bucket int, texts binary, places binary, keys binary, gone binary"
 #: Length of a packed string, step of the document id from the one before, first word.
 PLACE = np.dtype([("len", "<i4"), ("step", "<i8"), ("start", "<i4")])
@@ -64,13 +68,45 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def minimisers(h: np.ndarray, width: int) -> np.ndarray:
+def word_pairs(h: np.ndarray) -> np.ndarray:
+    return mix(h[:-1] * np.uint64(BASE) + h[1:] * np.uint64(SECOND)) >> np.uint64(1)
+
+
+def minimisers(h: np.ndarray, width: int, frequent: np.ndarray) -> np.ndarray:
     if width < 2 or len(h) < width:
         return mix(h[: max(0, len(h) - width + 1)])
-    pairs = mix(h[:-1] * np.uint64(BASE) + h[1:] * np.uint64(SECOND))
+    pairs = word_pairs(h)
+    if len(frequent):
+        often = frequent[np.minimum(np.searchsorted(frequent, pairs), len(frequent) - 1)] == pairs
+        pairs[often] |= np.uint64(1 << 63)
     return sliding_min(pairs, width - 1)
 
 
+def frequent_pairs(docs: DataFrame) -> np.ndarray:
+    """Pairs of words that a table (text in _text) holds most often, sorted; a batch names those with a fair share of it."""
+    space = spaces()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for table in gathered(batches, "_text", BATCH_BYTES):
+            texts, size = utf8(table.column("_text")), 0
+            parts = []
+            for lo, hi in chunk_bounds(texts, CHUNK_BYTES):
+                c = Chunk(texts[lo:hi], space, powers)
+                doc, pairs = c.doc_of_word(), word_pairs(c.hash)
+                parts.append(pairs[doc[1:] == doc[:-1]])
+                size += len(c.hash)
+            values, n = np.unique(np.concatenate(parts), return_counts=True)
+            often = n >= max(4, size // (2 * FREQUENT))
+            yield pa.RecordBatch.from_pydict({"pair": np.r_[values[often].view(np.int64), -1], "n": np.r_[n[often], size]})
+
+    counted = docs.select("_text").mapInArrow(go, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = written(counted)
+    words = counted.filter("pair = -1").agg(F.sum("n")).first()[0] or 0
+    found = counted.filter((F.col("pair") >= 0) & (F.col("n") * FREQUENT > words)).orderBy(F.desc("n"), "pair").limit(MOST_FREQUENT).select("pair").toArrow()
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
+
+
 def repeats(h1: np.ndarray, h2: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
     """Marks windows with an equal one of smaller rank; of equal rank, none.  rank: by default the position."""
     order = np.argsort(h1, kind="stable") if rank is None else np.lexsort((rank, h2, h1))
@@ -91,7 +127,7 @@ def runs(starts: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, np.r_[at[1:], len(starts)][: len(at)] - 1
 
 
-def pack(table: pa.Table, width: int, buckets: int, space: np.ndarray, powers: Powers) -> Iterator[pa.RecordBatch]:
+def pack(table: pa.Table, width: int, buckets: int, space: np.ndarray, powers: Powers, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     table = table.sort_by([("_id", "ascending"), ("_key", "ascending")])
     ids, keys = table.column("_id").to_numpy(), table.column("_key").to_numpy()
     once = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
@@ -103,7 +139,7 @@ def pack(table: pa.Table, width: int, buckets: int, space: np.ndarray, powers: P
         n = len(h1)
         at = np.flatnonzero(doc[:n] == doc[width - 1 : width - 1 + n])
         local = at - c.bound[doc[at]]
-        parts.append((h1[at], window_hash(c.hash, width, powers, 2)[at], minimisers(c.hash, width)[at], doc[at] + lo, local, c.start[at], c.end[at + width - 1], np.full(len(at), len(parts)), c.data))
+        parts.append((h1[at], window_hash(c.hash, width, powers, 2)[at], minimisers(c.hash, width, frequent)[at], doc[at] + lo, local, c.start[at], c.end[at + width - 1], np.full(len(at), len(parts)), c.data))
     texts = None
     h1, h2, least, doc, start, byte, stop, part = (np.concatenate([p[i] for p in parts]) for i in range(8))
     data = [p[8] for p in parts]
@@ -121,7 +157,7 @@ def pack(table: pa.Table, width: int, buckets: int, space: np.ndarray, powers: P
     order = np.argsort(to, kind="stable")
     a, b, to = a[order], b[order], to[order]
     cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
-    zip_, rows = zstandard.ZstdCompressor(level=1), {f.split()[0]: [] for f in PACKED.split(", ")}
+    zip_, rows = zstandard.ZstdCompressor(level=3), {f.split()[0]: [] for f in PACKED.split(", ")}
     lead = gone["doc"] * 0 + (np.arange(len(gone)) % max(1, len(cut)))
     for i, (lo, hi) in enumerate(zip(cut, np.r_[cut[1:], len(to)][: len(cut)], strict=True)):
         x, y = a[lo:hi], b[lo:hi]
@@ -148,21 +184,21 @@ def by_document(gone: np.ndarray) -> pa.Table:
     return pa.table({"_id": g["doc"][cut], "_key": g["key"][cut], "spans": pa.array([spans[u:v].tobytes() for u, v in zip(cut, np.r_[cut[1:], len(g)][: len(cut)], strict=True)], pa.binary())})
 
 
-def short_key(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """with_key() in 32 bits: it only tells texts of one id apart."""
-    return with_key(df, doc_id, text).withColumn("_key", F.col("_key").bitwiseAND(F.lit(0xFFFFFFFF)))
+def own(doc_id: str, text: str) -> list:
+    """The id, and a hash of 32 bits that only tells texts of one id apart."""
+    return [F.coalesce(column(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(column(doc_id), column(text)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("_key")]
 
 
 def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 20) -> DataFrame:
     """Spans of words to remove: _id, _key (see with_key), spans (binary pairs of int32: first word, end)."""
     buckets = max(12, text_bytes(df, text) // BUCKET_BYTES)
-    docs = short_key(df, doc_id, text).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), "_key", F.col(text).alias("_text"))
-    space = spaces()
+    docs = df.select(*own(doc_id, text), column(text).alias("_text"))
+    space, frequent = spaces(), df.sparkSession.sparkContext.broadcast(frequent_pairs(docs))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for table in gathered(batches, "_text", BATCH_BYTES):
-            yield from pack(table, width, buckets, space, powers)
+            yield from pack(table, width, buckets, space, powers, frequent.value)
 
     def count(table: pa.Table) -> pa.Table:
         found, powers, unzip = [np.frombuffer(x, GONE) for x in table.column("gone").to_pylist()], Powers(), zstandard.ZstdDecompressor()
@@ -200,15 +236,16 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 20) -> DataFrame:
     """Replaces ``text`` by its kept words and adds n_words and n_removed."""
-    kept = [c for c in df.columns if c not in ("n_words", "n_removed")]
+    kept = others(df, "n_words", "n_removed")
     spans = repeated_spans(df, doc_id, text, width).groupBy("_id", "_key").agg(F.collect_list("spans").alias("_spans"))
-    docs = short_key(df.select(*kept), doc_id, text).withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)))
-    joined = docs.join(spans, ["_id", "_key"], "left").select(*kept, "_spans")
+    docs = df.select(F.struct(*map(column, kept)).alias("_row"), *own(doc_id, text))
+    joined = docs.join(spans, ["_id", "_key"], "left").select("_row", "_spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, n_words, n_removed = [], [], []
-            for t, found in zip(b.column(kept.index(text)).cast(pa.binary()).to_pylist(), b.column(len(kept)).to_pylist(), strict=True):
+            cols = b.column(0).flatten()
+            for t, found in zip(cols[kept.index(text)].cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = (t or b"").split()
                 n_words.append(len(words))
                 if found:
@@ -217,11 +254,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                     words = [w for w, cover in zip(words, np.cumsum(step).tolist(), strict=False) if not cover]
                 n_removed.append(n_words[-1] - len(words))
                 texts.append(b" ".join(words))
-            cols = [b.column(i) for i in range(len(kept))]
             cols[kept.index(text)] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*kept, "n_words", "n_removed"])
 
-    schema = T.StructType([*(f if f.name != text else T.StructField(text, T.StringType()) for f in df.select(*kept).schema), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*(f if f.name != text else T.StructField(text, T.StringType()) for f in df.select(*map(column, kept)).schema), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return joined.mapInArrow(clean, schema)
 
 
