@@ -12,7 +12,8 @@ are recomputed in double precision and kept in a heap of k; tile heaps merge.
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, neither do rows without an id or vectors of another
 length than the query's.  Repeated ids are repeated candidates, and a query
-never matches a row of its own id; repeated rows of a query id count once.
+never matches a row of its own id; of different vectors of one query id the least
+in the order of components is asked, repeated rows count once.
 Ties go to the smaller id.  A query without candidates has no rows; an empty
 table gives an empty result.  Other columns are ignored.
 """
@@ -29,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .textkit import column
+
 QUERY_BLOCK = 1024
 BASE_BLOCK = 2048
 RESULT = "query_id long, vec_id long, score double"
@@ -41,8 +44,8 @@ def usable(vector: Column) -> Column:
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales, lengths of the rounded unit vectors and of what rounding lost."""
-    top = np.abs(x).max(axis=1, keepdims=True)
-    unit = x / top
+    unit = scaled(x)
+    unit = unit / np.abs(unit).max(axis=1, keepdims=True)
     unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
     scale = np.abs(unit).max(axis=1) / 127.0
     codes = np.rint(unit / scale[:, None]).astype(np.int8)
@@ -50,8 +53,17 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return codes, scale, np.sqrt((near * near).sum(axis=1)), np.sqrt(((unit - near) ** 2).sum(axis=1))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    power = np.frexp(np.abs(x).max(axis=1, initial=0))[1]
+    return np.ldexp(x, np.where(np.abs(power) > 200, -power, 0)[:, None])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row in double precision, summed from the first component to the last."""
+    """Row by row in double precision, summed from the first component to the last.
+
+    Rows whose largest component lies beyond 2**+-200 are first scaled by a power of two, which changes
+    no digit of the cosine but keeps squares in range."""
+    a, b = scaled(a), scaled(b)
     dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for d in range(a.shape[1]):
         dot += a[:, d] * b[:, d]
@@ -102,9 +114,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
     """
 
     def ready(df: DataFrame) -> DataFrame:
-        return df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("x")).filter(F.col("id").isNotNull() & usable(F.col("x")))
+        return df.select(column(vec_id).cast("long").alias("id"), column(embedding).cast("array<double>").alias("x")).filter(F.col("id").isNotNull() & usable(F.col("x")))
 
-    base, asked = ready(vectors), ready(queries).dropDuplicates(["id", "x"])
+    base, asked = ready(vectors), ready(queries).groupBy("id").agg(F.min("x").alias("x"))
     n_base, n_asked = max(1, -(-base.count() // base_block)), max(1, -(-asked.count() // query_block))
     salt = F.xxhash64("id", F.lit(7))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
