@@ -149,7 +149,8 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 500) -> dict | None:
     """The model of some labelled documents: languages, table (bucket by language), bias, temperature and bar."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    by_language = sorted(labelled.groupBy(F.col(lang).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect())
+    drawn_by = F.xxhash64(F.col(doc_id), F.col(text), F.lit("sample"))
+    by_language = sorted(labelled.groupBy(F.col(lang).alias("lang")).agg(F.approx_count_distinct(drawn_by).alias("n")).limit(MOST_LANGUAGES + 1).collect())
     if len(by_language) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not by_language:
@@ -169,9 +170,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     df = np.zeros(BUCKETS + 1)
     df[found.column("bucket").to_numpy()] = found.column("df").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 1
-    hashed = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(doc_id), F.col(text), F.lit("sample")).alias("d"))
+    hashed = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), drawn_by.alias("d"))
+    # Hashes below a bound that about four times as many reach as are wanted, then the least of them.
+    least = F.create_map(*[F.lit(x) for name, n in by_language for x in (name, int(-(2**63) + min(1.0, 4 * per_language / max(1, n)) * (2**64 - 2**12)))])
     rank = F.row_number().over(Window.partitionBy("l").orderBy("d"))
-    drawn = hashed.select("l", "d").distinct().withColumn("rank", rank).filter(F.col("rank") <= per_language).select("l", "d")
+    drawn = hashed.filter(F.col("d") <= F.element_at(least, F.col("l"))).select("l", "d").distinct().withColumn("rank", rank).filter(F.col("rank") <= per_language).select("l", "d")
     sample = hashed.join(F.broadcast(drawn), ["l", "d"]).dropDuplicates(["l", "d"]).select("t", "l", F.pmod(F.xxhash64("d", F.lit("held")), F.lit(5)).alias("h"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

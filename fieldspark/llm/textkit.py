@@ -153,16 +153,29 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no plan reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.written_to)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    WRITTEN.remove(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def remove_tables(spark: SparkSession) -> int:
     """Deletes the tables that written() left; call it when results that read them are stored."""
-    n = len(WRITTEN)
-    while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    held = list(WRITTEN)
+    for path in held:
+        remove(spark, path)
+    return len(held)
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
