@@ -84,6 +84,19 @@ def velocity_quality(best_db: Column, freq_hz: Column, timing_us: Column, freq_s
     return clip(level_score(best_db) * 0.5 + falling(F.abs(freq_hz), freq_scale) * 0.3 + falling(F.abs(timing_us), 100) * 0.2)
 
 
+def energy_score(llr: Column, best_db: Column) -> Column:
+    return clip((llr + F.abs(best_db)) / 100)
+
+
+def energy_velocity_quality(llr: Column, best_db: Column, freq_hz: Column, timing_us: Column) -> Column:
+    return energy_score(llr, best_db) * 0.5 + falling(F.abs(freq_hz), 1000) * 0.3 + falling(F.abs(timing_us), 100) * 0.2
+
+
+def level_confidence(mean_db: Column) -> Column:
+    """Null without a level."""
+    return F.when(mean_db.isNotNull(), clip((mean_db + 100) / 100, 0.1, 1))
+
+
 def motion_state(magnitude_us: Column, slow: float = 10, fast: float = 20) -> Column:
     return F.when(magnitude_us < slow, "stationary").when(magnitude_us < fast, "slow_motion").otherwise("fast_motion")
 

@@ -10,16 +10,23 @@ from pyspark.sql.window import Window
 def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_ms: int, left_ms: str, right_ms: str, left_id: str, right_id: str) -> DataFrame:
     """Each left row with the right row of least time difference within the tolerance.
 
-    Both sides are cut into buckets as long as the tolerance, so a match lies in the
-    same bucket or one beside it: an equi-join on (bucket), with no pair outside three
-    buckets.  Ties go to the earlier right row, then to its smaller id.  The right side
-    is reduced to one row per instant first: of equal instants only the smallest id can win.
+    Time is cut into buckets as long as the tolerance; a right row also goes to the buckets
+    beside its own.  In a bucket all rows are sorted once each way, and a left row takes the
+    last right row before it or the first after it: no pairs are formed.  Ties go to the
+    earlier right row, then to its smaller id.
     """
-    # (start, end) of the tie order: all else equal, the earlier instant.
     at_instant = Window.partitionBy(right_ms).orderBy(right_id)
-    one = right.withColumn("_n", F.row_number().over(at_instant)).filter("_n = 1").drop("_n")
-    lo = left.withColumn("_b", F.explode(F.expr(f"transform(sequence(-1, 1), d -> floor({left_ms} / {tolerance_ms}) + d)")))
-    ro = one.withColumn("_b", F.expr(f"floor({right_ms} / {tolerance_ms})"))
-    near = lo.join(ro, "_b").withColumn("dt_ms", F.abs(F.col(left_ms) - F.col(right_ms))).filter(F.col("dt_ms") <= tolerance_ms)
-    order = Window.partitionBy(left_id).orderBy("dt_ms", right_ms, right_id)
-    return near.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_b")
+    one = right.withColumn("_n", F.row_number().over(at_instant)).filter("_n = 1").drop("_n")  # of equal instants only the smallest id can win
+    sides = [F.struct(*d.columns).alias(n) for d, n in ((left, "l"), (one, "r"))]
+    none = [F.lit(None).cast(d.select(s).schema[0].dataType).alias(n) for d, s, n in zip((left, one), sides, "lr", strict=True)]
+    bucket = lambda ms: F.floor(F.col(ms) / tolerance_ms)
+    rows = left.select(bucket(left_ms).alias("b"), F.col(left_ms).alias("t"), sides[0], none[1]).unionByName(
+        one.select(F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: bucket(right_ms) + d)).alias("b"), F.col(right_ms).alias("t"), none[0], sides[1])
+    )
+    by = Window.partitionBy("b")
+    before = F.last("r", True).over(by.orderBy("t", F.col("l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("r", True).over(by.orderBy(F.desc("t"), F.col("l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.select("l", "t", before.alias("p"), after.alias("q")).filter(F.col("l").isNotNull())
+    gap = lambda side: F.coalesce(F.abs(F.col("t") - F.col(f"{side}.{right_ms}")), F.lit(1 << 62))
+    best = found.select("l", F.least(gap("p"), gap("q")).alias("dt_ms"), F.when(gap("p") <= gap("q"), F.col("p")).otherwise(F.col("q")).alias("r"))
+    return best.filter(F.col("dt_ms") <= tolerance_ms).select("l.*", "r.*", "dt_ms")

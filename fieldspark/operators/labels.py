@@ -9,8 +9,11 @@ from pyspark.sql.window import Window
 from ..functions.text import folded_name
 
 # Priority of road classes; those up to MAJOR are major.
-PRIORITY = {"motorway": 1, "trunk": 2, "primary": 3, "secondary": 4, "tertiary": 5, "unclassified": 6, "residential": 7, "living_street": 8, "service": 9}
-MAJOR = 4
+PRIORITY = {
+    "motorway": 0, "motorway_link": 1, "trunk": 2, "trunk_link": 3, "primary": 4, "primary_link": 5, "secondary": 6, "secondary_link": 7,
+    "tertiary": 8, "tertiary_link": 9, "residential": 10, "unclassified": 11, "living_street": 12, "service": 13, "road": 14,
+}
+MAJOR = 9
 
 
 def ranked_labels(roads: DataFrame, major_limit: int = 24, minor_limit: int = 40) -> DataFrame:

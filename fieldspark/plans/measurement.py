@@ -126,17 +126,34 @@ def signal_levels(spark, sf_dir):
 @query(
     f"""SELECT event_id, {r(v_radial='300000000.0::DOUBLE * cfo_est / 3562860606.0::DOUBLE', v_fine='cfo_est * 300000000.0::DOUBLE / dl_carrier_freq',
     v_energy="CASE WHEN (llr_energy + abs(level_0_db)) / 100 > 0.5 THEN 0.7 ELSE 0.3 END * (cfo_est * 300000000.0::DOUBLE / dl_carrier_freq) + CASE WHEN (llr_energy + abs(level_0_db)) / 100 > 0.5 THEN 0.3 ELSE 0.7 END * 2",
-    rsrp_q='0.4 * least(1, greatest(0, (level_1_db + 100) / 50)) + 0.3 * least(1, greatest(0, (level_1_db + 140) / 60)) + 0.3',
     timing_confidence='greatest(0.1, 1 - abs(current_timing_offset_us) / 100)')}
 FROM fx_telemetry WHERE timestamp_ms <> 0 AND pci <> 0""",
     "fx_telemetry",
 )
 def radial_velocities(spark, sf_dir):
-    """FLT6, SC9, SC13, SC16, SC31, SC33: velocities from fine offsets and their confidence."""
+    """FLT6, SC9, SC13, SC31, SC33: velocities from fine offsets and their confidence."""
     t = view(spark, sf_dir, "fx_telemetry").filter("timestamp_ms <> 0 AND pci <> 0")
     fine = S.doppler_velocity(c("cfo_est"), c("dl_carrier_freq"), S.ROUND_LIGHT)
-    rsrp = 0.4 * S.level_score(c("level_1_db")) + 0.3 * S.clip((c("level_1_db") + 140) / 60) + 0.3
-    return rounded(t.select("event_id", S.radial_velocity(c("cfo_est")).alias("v_radial"), fine.alias("v_fine"), S.fused_by_energy(fine, F.lit(2.0), c("llr_energy"), c("level_0_db")).alias("v_energy"), rsrp.alias("rsrp_q"), F.greatest(F.lit(0.1), 1 - F.abs("current_timing_offset_us") / 100).alias("timing_confidence")))
+    return rounded(t.select("event_id", S.radial_velocity(c("cfo_est")).alias("v_radial"), fine.alias("v_fine"), S.fused_by_energy(fine, F.lit(2.0), c("llr_energy"), c("level_0_db")).alias("v_energy"), F.greatest(F.lit(0.1), 1 - F.abs("current_timing_offset_us") / 100).alias("timing_confidence")))
+
+
+@query(
+    f"""WITH p AS (
+  SELECT t.event_id, t.pci, t.llr_energy, greatest(t.level_0_db, t.level_1_db) AS best, greatest(0, 1 - abs(g.timestamp_ms - t.timestamp_ms) / 120000.0) AS match_quality,
+    row_number() OVER (PARTITION BY t.event_id ORDER BY abs(g.timestamp_ms - t.timestamp_ms), g.timestamp_ms, g.gps_id) AS n
+  FROM fx_telemetry t JOIN fx_gps g ON g.timestamp_ms BETWEEN t.timestamp_ms - 120000 AND t.timestamp_ms + 120000),
+s AS (SELECT *, least(1, greatest(0, (llr_energy + abs(best)) / 100)) AS signal_quality, least(1, greatest(0, (-140 + 140) / 60)) AS rsrp_quality FROM p WHERE n = 1 AND match_quality > 0)
+SELECT event_id, pci, {r('signal_quality', 'rsrp_quality', 'match_quality', quality_score='0.4 * signal_quality + 0.3 * rsrp_quality + 0.3 * match_quality')} FROM s""",
+    "fx_gps",
+    "fx_telemetry",
+)
+def position_quality_rows(spark, sf_dir):
+    """SC16, JN2: signal, reference power (-140 dBm where, as here, none is measured) and match quality of each placed row."""
+    gps = view(spark, sf_dir, "fx_gps").select("gps_id", c("timestamp_ms").alias("gps_ms"))
+    tel = telemetry(spark, sf_dir).select("event_id", "pci", "timestamp_ms", "llr_energy", F.array_max("channel_level_db").alias("best"))
+    m = nearest_in_time(tel, gps, TOLERANCE_MS, "timestamp_ms", "gps_ms", "event_id", "gps_id").withColumn("match_quality", S.falling(c("dt_ms"), float(TOLERANCE_MS))).filter("match_quality > 0")
+    m = m.withColumn("signal_quality", S.energy_score(c("llr_energy"), c("best"))).withColumn("rsrp_quality", S.clip((F.lit(-140.0) + 140) / 60))
+    return rounded(m.select("event_id", "pci", "signal_quality", "rsrp_quality", "match_quality", (0.4 * c("signal_quality") + 0.3 * c("rsrp_quality") + 0.3 * c("match_quality")).alias("quality_score")))
 
 
 @query(
@@ -311,21 +328,24 @@ def energy_histogram(spark, sf_dir):
     return t.crossJoin(F.broadcast(b)).groupBy(F.least(F.lit(29), F.floor((c("llr_energy") - c("lo")) / (c("hi") - c("lo")) * 30)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query(
-    f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY pci ORDER BY timestamp_ms DESC, event_id DESC) AS back, count(*) OVER (PARTITION BY pci) AS rows_of FROM fx_telemetry),
+LOCATION_SQL = """o AS (SELECT *, row_number() OVER (PARTITION BY pci ORDER BY timestamp_ms DESC, event_id DESC) AS back, count(*) OVER (PARTITION BY pci) AS rows_of FROM fx_telemetry),
 k AS (SELECT pci, var_pop(greatest(level_0_db, level_1_db)) AS vs, var_pop(current_timing_offset_us) AS vt, count(*) AS k FROM o WHERE back <= 10 GROUP BY pci),
 a AS (SELECT o.*, CASE WHEN k > 1 THEN greatest(0, 1 - vs / 100) ELSE 0.5 END AS signal_stability, CASE WHEN k > 1 THEN greatest(0, 1 - vt / 1000) ELSE 0.5 END AS timing_stability,
   greatest(level_0_db, level_1_db) - (-174 + 10 * log10(40000000)) AS snr,
   (least(1, greatest(0, (level_0_db + 100) / 50)) + least(1, greatest(0, 1 - abs(current_timing_offset_us) / 100))) / 2 AS geometric,
-  least(1, abs(level_0_db - level_1_db) / 20) AS diversity, least(1, abs(current_timing_offset_us - initial_timing_offset_us) / 20) AS impact,
+  least(1, abs(level_0_db - level_1_db) / 20) AS diversity, greatest(0, 1 - pow((event_id % 10) / 20.0::DOUBLE, 2)) AS mrc_quality, least(1, abs(current_timing_offset_us - initial_timing_offset_us) / 20) AS impact,
   greatest(1, abs(current_timing_offset_us) * (1 + (level_0_db + 100) / 50)) AS timing_accuracy FROM o JOIN k USING (pci) WHERE rows_of >= 3),
-sc AS (SELECT *, least(1, greatest(0, 0.25 * (signal_stability + greatest(0, snr + 20) / 40) / 2 + 0.25 * timing_stability + 0.2 * geometric + 0.15 * diversity / 2 + 0.15 * (1 - impact))) AS location_score FROM a)
-SELECT event_id, pci, {r('signal_stability', 'timing_stability', 'snr', 'geometric', 'diversity', 'timing_accuracy', 'location_score', confidence='geometric * 0.8')} FROM sc""",
+sc AS (SELECT *, least(1, greatest(0, 0.25 * (signal_stability + greatest(0, snr + 20) / 40) / 2 + 0.25 * timing_stability + 0.2 * geometric + 0.15 * (diversity + mrc_quality) / 2 + 0.15 * (1 - impact))) AS location_score FROM a)"""
+
+
+@query(
+    f"""WITH {LOCATION_SQL}
+SELECT event_id, pci, {r('signal_stability', 'timing_stability', 'snr', 'geometric', 'diversity', 'mrc_quality', 'timing_accuracy', 'location_score', confidence='geometric * 0.8')} FROM sc""",
     "fx_telemetry",
 )
 def location_quality(spark, sf_dir):
     """JOB17, WIN5, SC17-SC19, SC21: location score; stabilities are those of the last ten rows of the cell."""
-    return rounded(location_scores(spark, sf_dir).select("event_id", "pci", "signal_stability", "timing_stability", "snr", "geometric", "diversity", "timing_accuracy", "location_score", (c("geometric") * 0.8).alias("confidence")))
+    return rounded(location_scores(spark, sf_dir).select("event_id", "pci", "signal_stability", "timing_stability", "snr", "geometric", "diversity", "mrc_quality", "timing_accuracy", "location_score", (c("geometric") * 0.8).alias("confidence")))
 
 
 def location_scores(spark, sf_dir) -> DataFrame:
@@ -337,22 +357,31 @@ def location_scores(spark, sf_dir) -> DataFrame:
     stable = lambda v, scale: F.when(c("k") > 1, S.falling(c(v), scale)).otherwise(0.5)
     a = a.withColumn("signal_stability", stable("vs", 100)).withColumn("timing_stability", stable("vt", 1000)).withColumn("snr", c("best_db") - (-174 + 10 * F.log10(F.lit(40e6))))
     a = a.withColumn("geometric", (S.level_score(c("level_0_db")) + S.clip(1 - F.abs("current_timing_offset_us") / 100)) / 2).withColumn("diversity", F.least(F.lit(1.0), (F.array_max("channel_level_db") - F.array_min("channel_level_db")) / 20))
+    a = a.withColumn("mrc_quality", F.greatest(F.lit(0.0), 1 - S.array_variance(c("mrc_weights"))))
     a = a.withColumn("timing_accuracy", F.greatest(F.lit(1.0), F.abs("current_timing_offset_us") * (1 + (c("level_0_db") + 100) / 50)))
     impact = F.least(F.lit(1.0), F.abs(c("current_timing_offset_us") - c("initial_timing_offset_us")) / 20)
     signal = (c("signal_stability") + F.greatest(F.lit(0.0), c("snr") + 20) / 40) / 2
-    return a.withColumn("location_score", S.clip(0.25 * signal + 0.25 * c("timing_stability") + 0.20 * c("geometric") + 0.15 * c("diversity") / 2 + 0.15 * (1 - impact)))
+    return a.withColumn("location_score", S.clip(0.25 * signal + 0.25 * c("timing_stability") + 0.20 * c("geometric") + 0.15 * (c("diversity") + c("mrc_quality")) / 2 + 0.15 * (1 - impact)))
 
 
 @query(
-    f"""WITH s AS (SELECT pci, timestamp_ms // 1000 AS sec, avg(latitude) AS lat, avg(longitude) AS lon, avg(current_timing_offset_us) AS timing, avg(llr_energy) AS llr, max_by([level_0_db, level_1_db], (timestamp_ms, event_id)) AS lv, count(*) AS n FROM fx_telemetry GROUP BY 1, 2)
-SELECT pci, CAST(sec AS BIGINT) AS sec, CAST(n AS BIGINT) AS n, {r('lat', 'lon', 'timing', 'llr', last_level='lv[1]', timing_confidence='greatest(0.1, 1 - abs(timing) / 100)')} FROM s""",
+    f"""WITH k AS (SELECT pci FROM fx_telemetry GROUP BY pci HAVING count(*) >= 3),
+s AS (SELECT pci, timestamp_ms // 1000 AS sec, avg(latitude) AS lat, avg(longitude) AS lon, avg(altitude) AS alt, avg(current_timing_offset_us) AS timing, avg(llr_energy) AS llr, avg(abs(current_timing_offset_us - initial_timing_offset_us)) AS motion, max_by([level_0_db, level_1_db], (timestamp_ms, event_id)) AS lv, count(*) AS n
+  FROM fx_telemetry JOIN k USING (pci) GROUP BY 1, 2),
+c AS (SELECT *, greatest(0.1, 1 - abs(timing) / 100) AS timing_confidence, list_filter(lv, lambda x: x > -999) AS ok FROM s),
+d AS (SELECT *, CASE WHEN len(ok) > 0 THEN greatest(0.1, least(1, (list_sum(ok) / len(ok) + 100) / 100)) END AS level_confidence FROM c)
+SELECT pci, CAST(sec AS BIGINT) AS sec, CAST(n AS BIGINT) AS n, {r('lat', 'lon', 'alt', 'timing', 'llr', 'motion', 'timing_confidence', 'level_confidence', confidence='CASE WHEN level_confidence IS NULL THEN timing_confidence ELSE sqrt(timing_confidence * level_confidence) END')},
+  CASE WHEN level_confidence IS NULL THEN 'timing_based' ELSE 'hybrid' END AS method, CASE WHEN motion < 5 THEN 'stationary' WHEN motion < 20 THEN 'slow_motion' ELSE 'fast_motion' END AS state FROM d""",
     "fx_telemetry",
 )
 def second_positions(spark, sf_dir):
-    """JOB18: means per cell and second, with the last level list; seconds without rows have none."""
+    """JOB18, SC22, SC23: means per cell of three rows or more and second, with the last level list; timing and level estimates at one place combine to it, with the geometric mean of their confidences."""
     t = telemetry(spark, sf_dir)
-    s = t.groupBy("pci", F.floor(c("timestamp_ms") / 1000).alias("sec")).agg(F.count("*").alias("n"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), F.avg("current_timing_offset_us").alias("timing"), F.avg("llr_energy").alias("llr"), F.max_by("channel_level_db", F.struct("timestamp_ms", "event_id")).alias("lv"))
-    return rounded(s.select("pci", "sec", "n", "lat", "lon", "timing", "llr", c("lv")[0].alias("last_level"), F.greatest(F.lit(0.1), 1 - F.abs("timing") / 100).alias("timing_confidence")))
+    t = t.join(t.groupBy("pci").count().filter("count >= 3").select("pci"), "pci")
+    s = t.groupBy("pci", F.floor(c("timestamp_ms") / 1000).alias("sec")).agg(F.count("*").alias("n"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), F.avg("altitude").alias("alt"), F.avg("current_timing_offset_us").alias("timing"), F.avg("llr_energy").alias("llr"), F.avg(F.abs(c("current_timing_offset_us") - c("initial_timing_offset_us"))).alias("motion"), F.max_by("channel_level_db", F.struct("timestamp_ms", "event_id")).alias("lv"))
+    s = s.withColumn("timing_confidence", F.greatest(F.lit(0.1), 1 - F.abs("timing") / 100)).withColumn("level_confidence", S.level_confidence(S.array_mean(S.valid_levels(c("lv")))))
+    s = s.withColumn("confidence", F.coalesce(F.sqrt(c("timing_confidence") * c("level_confidence")), c("timing_confidence"))).withColumn("method", F.when(c("level_confidence").isNull(), "timing_based").otherwise("hybrid"))
+    return rounded(s.select("pci", "sec", "n", "lat", "lon", "alt", "timing", "llr", "motion", "timing_confidence", "level_confidence", "confidence", "method", S.motion_state(c("motion"), 5, 20).alias("state")))
 
 
 @query(
@@ -371,9 +400,46 @@ def latest_rows(spark, sf_dir):
     return view(spark, sf_dir, "fx_telemetry").select("event_id", "timestamp_ms", "pci").orderBy(F.desc("timestamp_ms"), F.desc("event_id")).limit(100)
 
 
-@query("SELECT event_id, pci, timestamp_ms FROM fx_telemetry WHERE pci = 3 AND timestamp_ms >= (SELECT max(timestamp_ms) FROM fx_telemetry) - 86400000", "fx_telemetry")
+def recent(df: DataFrame, minutes: float, as_of_ms: int | None = None) -> DataFrame:
+    """FLT1: rows of the last minutes before an instant; by default now."""
+    as_of = F.unix_millis(F.current_timestamp()) if as_of_ms is None else F.lit(as_of_ms)
+    return df.filter(c("timestamp_ms") >= as_of - int(minutes * 60_000))
+
+
+@query("SELECT event_id, pci, timestamp_ms FROM fx_telemetry WHERE pci = 3 AND timestamp_ms >= 1704067200000 - 60 * 60000", "fx_telemetry")
 def recent_cell_rows(spark, sf_dir):
-    """FLT1, FLT2: one cell's rows of the day before an instant, here that of the last row."""
-    t = view(spark, sf_dir, "fx_telemetry").select("event_id", "pci", "timestamp_ms")
-    last = t.agg(F.max("timestamp_ms").alias("as_of"))
-    return t.filter("pci = 3").join(F.broadcast(last), c("timestamp_ms") >= c("as_of") - 86_400_000).select("event_id", "pci", "timestamp_ms")
+    """FLT1, FLT2: one cell's rows of the hour before a given instant, and later."""
+    return recent(view(spark, sf_dir, "fx_telemetry").select("event_id", "pci", "timestamp_ms").filter("pci = 3"), 60, 1_704_067_200_000)
+
+
+@query(f"WITH {TOP_SQL}, a AS (SELECT count(*) AS n, avg(overall_q) AS q, sqrt(pow((max(gps_lat) - min(gps_lat)) * 111000, 2) + pow((max(gps_lon) - min(gps_lon)) * 111000, 2)) AS spread FROM top) SELECT n, {r(spread_m='spread', quality='CASE WHEN n < 3 THEN 0 ELSE greatest(0, least(1, 0.3 * least(n / 10, 1) + 0.3 * greatest(0, least(1, 1 - abs(spread - 1000) / 1000)) + 0.3 * q + 0.1)) END')} FROM a", "fx_gps", "fx_telemetry")
+def triangulation_quality(spark, sf_dir):
+    """AG11: from the number, spread and mean quality of the best positions; fewer than three have none."""
+    a = best_positions(matched(spark, sf_dir)).agg(F.count("*").alias("n"), F.avg("overall_q").alias("q"), F.sqrt(F.pow((F.max("gps_lat") - F.min("gps_lat")) * 111_000, 2) + F.pow((F.max("gps_lon") - F.min("gps_lon")) * 111_000, 2)).alias("spread_m"))
+    q = S.clip(0.3 * F.least(c("n") / 10, F.lit(1.0)) + 0.3 * S.clip(1 - F.abs(c("spread_m") - 1000) / 1000) + 0.3 * c("q") + 0.1)
+    return rounded(a.select("n", "spread_m", F.when(c("n") < 3, 0.0).otherwise(q).alias("quality")))
+
+
+@query(f"WITH v AS (SELECT 300000000.0::DOUBLE * cfo_est / 3562860606.0::DOUBLE AS fine, 300000000.0::DOUBLE * freq_offset_hz / 3562860606.0::DOUBLE AS coarse FROM fx_telemetry) SELECT count(*) AS n, {r(mean_fine='avg(fine)', std_fine='stddev_pop(fine)', min_fine='min(fine)', max_fine='max(fine)', mean_coarse='avg(coarse)', std_coarse='stddev_pop(coarse)', ratio='CASE WHEN stddev_pop(fine) > 0.001 THEN stddev_pop(coarse) / stddev_pop(fine) END')} FROM v", "fx_telemetry")
+def field_comparison(spark, sf_dir):
+    """AG14: velocities by the fine and the coarse offset, and the ratio of their deviations where the fine one has any."""
+    t = view(spark, sf_dir, "fx_telemetry").select(S.radial_velocity(c("cfo_est")).alias("fine"), S.radial_velocity(c("freq_offset_hz")).alias("coarse"))
+    sd = F.stddev_pop
+    return rounded(t.agg(F.count("*").alias("n"), F.avg("fine").alias("mean_fine"), sd("fine").alias("std_fine"), F.min("fine").alias("min_fine"), F.max("fine").alias("max_fine"), F.avg("coarse").alias("mean_coarse"), sd("coarse").alias("std_coarse"), F.when(sd("fine") > 0.001, sd("coarse") / sd("fine")).alias("ratio")))
+
+
+@query(
+    """WITH h(name, x, bins) AS (
+  SELECT 'energy', llr_energy, 30 FROM fx_telemetry UNION ALL SELECT 'frequency offset', freq_offset_hz, 20 FROM fx_telemetry
+  UNION ALL SELECT 'magnitude', abs(current_timing_offset_us - initial_timing_offset_us)::DOUBLE, 15 FROM fx_telemetry UNION ALL SELECT 'level', level_1_db, 20 FROM fx_telemetry),
+b AS (SELECT name, min(x) AS lo, max(x) AS hi FROM h GROUP BY name)
+SELECT name, CAST(least(bins - 1, floor((x - lo) / (hi - lo) * bins)) AS INT) AS bin, count(*) AS n FROM h JOIN b USING (name) GROUP BY 1, 2""",
+    "fx_telemetry",
+)
+def histograms(spark, sf_dir):
+    """AG35: equal bins between the least and largest value, the last with its upper edge; four measures at once."""
+    t = view(spark, sf_dir, "fx_telemetry")
+    parts = F.array(*[F.struct(F.lit(n).alias("name"), x.cast("double").alias("x"), F.lit(k).alias("bins")) for n, x, k in (("energy", c("llr_energy"), 30), ("frequency offset", c("freq_offset_hz"), 20), ("magnitude", F.abs(c("current_timing_offset_us") - c("initial_timing_offset_us")), 15), ("level", c("level_1_db"), 20))])
+    h = t.select(F.explode(parts).alias("h")).select("h.*")
+    b = h.groupBy("name").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return h.join(F.broadcast(b), "name").groupBy("name", F.least(c("bins") - 1, F.floor((c("x") - c("lo")) / (c("hi") - c("lo")) * c("bins"))).cast("int").alias("bin")).agg(F.count("*").alias("n"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import score as S
+from ..operators.lineage import cut
 from ..sources.views import telemetry, view, with_views
-from .measurement import HAVERSINE, MATCH_SQL, matched, r, rounded
+from .measurement import EVENTS_SQL, HAVERSINE, LOCATION_SQL, MATCH_SQL, TOP_SQL, best_positions, location_scores, matched, motion_events, r, rounded
 
 Q, SQL = {}, {}
 c = F.col
@@ -26,7 +27,7 @@ def query(sql: str | None = None, *names: str):
     return add
 
 
-SITE_SQL = """st AS (SELECT site_id AS pci, latitude AS la, longitude AS lo FROM fx_sites WHERE site_id <= 5),
+SITE_SQL = """st AS (SELECT site_id AS pci, latitude AS la, longitude AS lo FROM fx_sites),
 mean AS (SELECT pci, avg(latitude) AS mla, avg(longitude) AS mlo FROM fx_telemetry GROUP BY pci),
 x AS (SELECT t.*, coalesce(st.la, mean.mla) AS la, coalesce(st.lo, mean.mlo) AS lo, list_filter([level_0_db, level_1_db], lambda v: v > -999) AS ok FROM fx_telemetry t JOIN mean USING (pci) LEFT JOIN st USING (pci))"""
 
@@ -39,13 +40,41 @@ SELECT pci, n, {r('radius_m', 'mean_level', snr='mean_level + 174')}, CASE WHEN
 )
 def cell_coverage(spark, sf_dir):
     """JN3, AG2, SC25: mean distance to the cell's site (its rows' mean place where none is known), level and SNR over the thermal floor."""
-    t = telemetry(spark, sf_dir)
-    sites = view(spark, sf_dir, "fx_sites").filter("site_id <= 5").select(c("site_id").alias("pci"), c("latitude").alias("sla"), c("longitude").alias("slo"))
+    sites = view(spark, sf_dir, "fx_sites").select(c("site_id").alias("pci"), c("latitude").alias("sla"), c("longitude").alias("slo"))
+    return rounded(coverage(telemetry(spark, sf_dir), sites))
+
+
+def coverage(t: DataFrame, sites: DataFrame) -> DataFrame:
     mean = t.groupBy("pci").agg(F.avg("latitude").alias("mla"), F.avg("longitude").alias("mlo"))
     place = mean.join(sites, "pci", "left").select("pci", F.coalesce("sla", "mla").alias("la"), F.coalesce("slo", "mlo").alias("lo"))
     x = t.join(place, "pci").withColumn("km", S.haversine_km(c("la"), c("lo"), c("latitude"), c("longitude"))).withColumn("level", S.array_mean(S.valid_levels(c("channel_level_db"))))
     a = x.groupBy("pci").agg(F.count("*").alias("n"), (F.avg("km") * 1000).alias("radius_m"), F.avg("level").alias("mean_level")).filter("n >= 5").withColumn("snr", c("mean_level") + 174)
-    return rounded(a.withColumn("quality", F.when(c("snr") > 20, "excellent").when(c("snr") > 15, "good").when(c("snr") > 10, "fair").otherwise("poor")))
+    return a.withColumn("quality", F.when(c("snr") > 20, "excellent").when(c("snr") > 15, "good").when(c("snr") > 10, "fair").otherwise("poor"))
+
+
+def weak_rows(t: DataFrame, below_db: float = -90.0) -> DataFrame:
+    """AG16: rows whose mean level lies below a bar."""
+    return t.withColumn("level", S.array_mean(S.valid_levels(c("channel_level_db")))).filter(c("level") < below_db)
+
+
+def uneven_rows(t: DataFrame, above: float = 100.0) -> DataFrame:
+    """AG17: rows whose levels present vary by more (population variance)."""
+    return t.withColumn("variance", F.coalesce(S.array_variance(S.valid_levels(c("channel_level_db"))), F.lit(0.0))).filter(c("variance") > above)
+
+
+ROWS_SQL = "l AS (SELECT *, list_filter([level_0_db, level_1_db], lambda v: v > -999) AS ok FROM fx_telemetry)"
+
+
+@query(f"WITH {ROWS_SQL} SELECT event_id, pci, {r('latitude', 'longitude', level='list_sum(ok) / len(ok)')} FROM l WHERE list_sum(ok) / len(ok) < -88", "fx_telemetry")
+def weak_places(spark, sf_dir):
+    """AG16: the rows that coverage gaps are made of, here below -88 dB."""
+    return rounded(weak_rows(telemetry(spark, sf_dir), -88.0).select("event_id", "pci", "latitude", "longitude", "level"))
+
+
+@query(f"WITH {ROWS_SQL} SELECT event_id, pci, {r('latitude', 'longitude', variance='list_var_pop(ok)')} FROM l WHERE list_var_pop(ok) > 100", "fx_telemetry")
+def uneven_places(spark, sf_dir):
+    """AG17: the rows that interference areas are made of."""
+    return rounded(uneven_rows(telemetry(spark, sf_dir)).select("event_id", "pci", "latitude", "longitude", "variance"))
 
 
 def clustered(rows: DataFrame, severe: int, k: int = 3) -> DataFrame:
@@ -61,15 +90,13 @@ def clustered(rows: DataFrame, severe: int, k: int = 3) -> DataFrame:
 @query()
 def coverage_gaps(spark, sf_dir):
     """AG16: clusters of rows of low mean level."""
-    t = telemetry(spark, sf_dir).withColumn("level", S.array_mean(S.valid_levels(c("channel_level_db"))))
-    return clustered(t.filter("level < -90").select("latitude", "longitude"), 10)
+    return clustered(weak_rows(telemetry(spark, sf_dir)).select("latitude", "longitude"), 10)
 
 
 @query()
 def interference_areas(spark, sf_dir):
     """AG17: clusters of rows whose levels vary by more than 100 (population variance)."""
-    t = telemetry(spark, sf_dir).withColumn("v", S.array_variance(c("channel_level_db")))
-    return clustered(t.filter("v > 100").select("latitude", "longitude"), 5)
+    return clustered(uneven_rows(telemetry(spark, sf_dir)).select("latitude", "longitude"), 5)
 
 
 @query()
@@ -81,35 +108,54 @@ def network_report(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind", "severity").count()
 
 
-VQ = "least(1, greatest(0, (greatest(level_0_db, level_1_db) + 100) / 50)) * 0.5 + greatest(0, 1 - abs(freq_offset_hz) / 1000) * 0.3 + greatest(0, 1 - abs(current_timing_offset_us) / 100) * 0.2"
+VQ = "least(1, greatest(0, (llr_energy + abs(greatest(level_0_db, level_1_db))) / 100)) * 0.5 + greatest(0, 1 - abs(freq_offset_hz) / 1000) * 0.3 + greatest(0, 1 - abs(current_timing_offset_us) / 100) * 0.2"
+WINDOW_SQL = f"""v AS (SELECT *, cfo_est * 300000000.0::DOUBLE / dl_carrier_freq AS v_cfo, {VQ} AS q, (current_timing_offset_us - initial_timing_offset_us) * 0.000001::DOUBLE * 300000000.0::DOUBLE AS drift, least(1, greatest(0, (llr_energy + abs(greatest(level_0_db, level_1_db))) / 100)) AS es FROM fx_telemetry)"""
+
+
+def quality_of(t: DataFrame) -> DataFrame:
+    best = F.array_max("channel_level_db")
+    t = t.withColumn("v_cfo", S.doppler_velocity(c("cfo_est"), c("dl_carrier_freq"), S.ROUND_LIGHT)).withColumn("q", S.energy_velocity_quality(c("llr_energy"), best, c("freq_offset_hz"), c("current_timing_offset_us")))
+    return t.withColumn("drift", (c("current_timing_offset_us") - c("initial_timing_offset_us")) * 1e-6 * S.ROUND_LIGHT).withColumn("es", S.energy_score(c("llr_energy"), best))
+
+
+def integrated(t: DataFrame, span_ms: int) -> DataFrame:
+    """WIN7, SC11, SC15, SC32: over the rows of the cell in the time after each row, means of both velocities and of the quality.
+
+    The timing velocity of a row in the window is its drift over the time since the window's start, 0 at the start; the first
+    row's energy weighs the two velocities.  A window of one row is that row's own estimate.
+    """
+    w = Window.partitionBy("pci").orderBy("timestamp_ms").rangeBetween(0, span_ms)
+    t = quality_of(t).withColumn("held", F.collect_list(F.struct("timestamp_ms", "drift")).over(w)).withColumn("samples", F.count("*").over(w)).withColumn("mean_cfo", F.avg("v_cfo").over(w)).withColumn("quality", F.avg("q").over(w))
+    since = lambda h: F.when(h["timestamp_ms"] > c("timestamp_ms"), h["drift"] / ((h["timestamp_ms"] - c("timestamp_ms")) / 1000.0)).otherwise(0.0)
+    t = t.withColumn("mean_timing", F.aggregate("held", F.lit(0.0), lambda s, h: s + since(h)) / c("samples"))
+    weight = F.when(c("es") > 0.5, 0.7).otherwise(0.3)
+    return t.withColumn("combined", weight * c("mean_cfo") + (1 - weight) * c("mean_timing"))
 
 
 @query(
-    f"""SELECT event_id, pci, CAST(count(*) OVER w AS BIGINT) AS samples, {r(mean_v='avg(cfo_est * 300000000.0::DOUBLE / dl_carrier_freq) OVER w', quality=f'avg({VQ}) OVER w')}
-FROM fx_telemetry WINDOW w AS (PARTITION BY pci ORDER BY timestamp_ms RANGE BETWEEN CURRENT ROW AND 3600000 FOLLOWING)""",
+    f"""WITH {WINDOW_SQL}, p AS (SELECT a.event_id, any_value(a.pci) AS pci, any_value(a.es) AS es, count(*) AS samples, avg(b.v_cfo) AS mean_cfo, avg(b.q) AS quality, sum(CASE WHEN b.timestamp_ms > a.timestamp_ms THEN b.drift / ((b.timestamp_ms - a.timestamp_ms) / 1000.0) ELSE 0 END) / count(*) AS mean_timing
+  FROM v a JOIN v b ON a.pci = b.pci AND b.timestamp_ms BETWEEN a.timestamp_ms AND a.timestamp_ms + 600000 GROUP BY a.event_id)
+SELECT event_id, pci, samples, {r('mean_cfo', 'quality')}, round(mean_timing, 6) + 0.0 AS mean_timing, round(CASE WHEN es > 0.5 THEN 0.7 * mean_cfo + 0.3 * mean_timing ELSE 0.3 * mean_cfo + 0.7 * mean_timing END, 6) + 0.0 AS combined FROM p""",
     "fx_telemetry",
 )
 def integrated_velocity(spark, sf_dir):
-    """WIN7, SC15, SC32: mean velocity and quality of the rows of the same cell in the time after each row."""
-    t = telemetry(spark, sf_dir).withColumn("v", S.doppler_velocity(c("cfo_est"), c("dl_carrier_freq"), S.ROUND_LIGHT))
-    t = t.withColumn("q", S.velocity_quality(F.array_max("channel_level_db"), c("freq_offset_hz"), c("current_timing_offset_us"), 1000))
-    w = Window.partitionBy("pci").orderBy("timestamp_ms").rangeBetween(0, 3_600_000)
-    return rounded(t.select("event_id", "pci", F.count("*").over(w).alias("samples"), F.avg("v").over(w).alias("mean_v"), F.avg("q").over(w).alias("quality")))
+    """WIN7, SC11, SC15, SC32: integrated velocities over ten minutes (rows here are minutes apart)."""
+    return rounded(integrated(telemetry(spark, sf_dir), 600_000).select("event_id", "pci", "samples", "mean_cfo", "quality", "mean_timing", "combined"), mean_timing=6, combined=6)
 
 
 @query(
-    f"""WITH f AS (SELECT min(timestamp_ms) AS t0 FROM fx_telemetry), h AS (SELECT unnest([1, 6, 24, 72]) AS hours),
-s AS (SELECT hours, avg({VQ}) * least(1, count(*) / 10) AS score FROM fx_telemetry, f, h WHERE timestamp_ms <= t0 + hours * 3600000 GROUP BY hours)
-SELECT CAST(hours AS INT) AS hours, {r('score')} FROM s ORDER BY score DESC, hours LIMIT 1""",
+    f"""WITH {WINDOW_SQL}, h AS (SELECT unnest([100, 200, 500, 1000, 2000, 3000, 5000]) AS t), f AS (SELECT min(timestamp_ms) AS t0 FROM v), s AS (SELECT t, avg(q) * least(1, count(*) / 10) AS score FROM v, f, h WHERE timestamp_ms <= t0 + t GROUP BY t)
+SELECT CAST(coalesce((SELECT t FROM s WHERE score > 0 ORDER BY score DESC, t LIMIT 1), 1000) AS INT) AS integration_ms""",
     "fx_telemetry",
 )
 def best_integration_time(spark, sf_dir):
-    """WIN8: the window from the first row whose mean quality, scaled by its number of rows, is best; the shortest of equals."""
-    t = telemetry(spark, sf_dir).withColumn("q", S.velocity_quality(F.array_max("channel_level_db"), c("freq_offset_hz"), c("current_timing_offset_us"), 1000))
+    """WIN8, SC15: of seven windows from the first row on, the one whose mean quality, scaled by its number of rows up to ten, is best; the shortest of equals, 1000 ms without any."""
+    t = quality_of(telemetry(spark, sf_dir)).select("timestamp_ms", "q")
     first = t.agg(F.min("timestamp_ms").alias("t0"))
-    x = t.crossJoin(F.broadcast(first)).withColumn("hours", F.explode(F.filter(F.array(*map(F.lit, (1, 6, 24, 72))), lambda h: c("timestamp_ms") <= c("t0") + h * F.lit(3_600_000))))
-    s = x.groupBy("hours").agg((F.avg("q") * F.least(F.lit(1.0), F.count("*") / 10)).alias("score"))
-    return rounded(s.orderBy(F.desc("score"), "hours").limit(1))
+    times = F.array(*map(F.lit, (100, 200, 500, 1000, 2000, 3000, 5000)))
+    x = t.crossJoin(F.broadcast(first)).filter(c("timestamp_ms") <= c("t0") + 5000).withColumn("t", F.explode(F.filter(times, lambda h: c("timestamp_ms") <= c("t0") + h)))
+    s = x.groupBy("t").agg((F.avg("q") * F.least(F.lit(1.0), F.count("*") / 10)).alias("score")).filter("score > 0")
+    return s.agg(F.coalesce(F.max_by("t", F.struct("score", -c("t"))), F.lit(1000)).alias("integration_ms"))
 
 
 @query(
@@ -126,14 +172,14 @@ def replay_statistics(spark, sf_dir):
 
 
 @query(
-    f"""WITH {MATCH_SQL}, e AS (SELECT v_fused - speed AS err, v_fused, speed FROM m WHERE speed > 0)
+    f"""WITH {MATCH_SQL}, e AS (SELECT v_fused - speed AS err, v_fused, speed FROM m WHERE speed > 0 AND 1 - dt_ms / 120000.0 > 0.5)
 SELECT count(*) AS n, {r(mean_error='avg(err)', rmse='sqrt(avg(err * err))', correlation='corr(v_fused, speed)')}, count(*) FILTER (abs(v_fused) > 0.1) AS n_moving, count(*) FILTER (v_fused > 0.1) AS n_towards FROM e""",
     "fx_gps",
     "fx_telemetry",
 )
 def velocity_accuracy(spark, sf_dir):
     """AG42, FLT7, FLT8: estimated against positioned speed, rows that move and their direction."""
-    m = matched(spark, sf_dir).filter("speed > 0").withColumn("err", c("v_fused") - c("speed"))
+    m = matched(spark, sf_dir).filter((c("speed") > 0) & (1 - c("dt_ms") / 120_000.0 > 0.5)).withColumn("err", c("v_fused") - c("speed"))
     return rounded(m.agg(F.count("*").alias("n"), F.avg("err").alias("mean_error"), F.sqrt(F.avg(c("err") * c("err"))).alias("rmse"), F.corr("v_fused", "speed").alias("correlation"), F.count_if(F.abs("v_fused") > 0.1).alias("n_moving"), F.count_if(c("v_fused") > 0.1).alias("n_towards")))
 
 
@@ -144,11 +190,16 @@ def velocity_accuracy(spark, sf_dir):
 def place_groups(spark, sf_dir):
     """AG37: rows grouped by coordinate, numbered from 1 in order of latitude and longitude."""
     g = view(spark, sf_dir, "fx_targets").groupBy(F.round("latitude", 8).alias("latitude"), F.round("longitude", 8).alias("longitude")).agg(F.count("*").alias("n"), F.min("target_id").alias("first_id"))
-    # A place's number is its rank within its latitude after the places of smaller latitudes.
-    by_lat = g.groupBy("latitude").agg(F.count("*").alias("k"))
-    before = by_lat.withColumn("before", F.sum("k").over(Window.orderBy("latitude").rowsBetween(Window.unboundedPreceding, -1))).select("latitude", F.coalesce("before", F.lit(0)).alias("before"))
-    out = g.join(before, "latitude").withColumn("place", (c("before") + F.row_number().over(Window.partitionBy("latitude").orderBy("longitude"))).cast("int"))
-    return rounded(out.select("place", "latitude", "longitude", "n", "first_id"))
+    return rounded(numbered(g, ["latitude", "longitude"], "place").select("place", "latitude", "longitude", "n", "first_id"))
+
+
+def numbered(df: DataFrame, order: list[str], to: str) -> DataFrame:
+    """Numbers distinct rows from 1 in order: each range of the sorted table is numbered by itself, after the rows of the ranges before it."""
+    rows = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_k"))  # one row per range
+    before = counts.select("_range", (F.sum("_k").over(Window.orderBy("_range")) - c("_k")).alias("_before"))
+    place = c("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.join(F.broadcast(before), "_range").withColumn(to, place.cast("int")).drop("_range", "_before")
 
 
 @query(
@@ -158,3 +209,156 @@ def place_groups(spark, sf_dir):
 def distinct_places(spark, sf_dir):
     """SET2, SET4: the first row of each place."""
     return view(spark, sf_dir, "fx_targets").groupBy("latitude", "longitude").agg(F.min("target_id").alias("target_id")).select("target_id")
+
+
+@query(
+    f"""WITH {MATCH_SQL} SELECT gps_id, event_id, {r('v_fused')}, CASE WHEN v_fused > 0 THEN 'towards' ELSE 'away' END AS direction FROM m WHERE abs(v_fused) > 0.1""",
+    "fx_gps",
+    "fx_telemetry",
+)
+def significant_motion(spark, sf_dir):
+    """FLT7: rows whose velocity is more than 0.1 m/s, with its direction."""
+    return rounded(matched(spark, sf_dir).filter(F.abs("v_fused") > 0.1).select("gps_id", "event_id", "v_fused", F.when(c("v_fused") > 0, "towards").otherwise("away").alias("direction")))
+
+
+@query(
+    f"""WITH {LOCATION_SQL} SELECT count(*) AS n, {r(mean_q='avg(location_score)', std_q='stddev_pop(location_score)', min_q='min(location_score)', max_q='max(location_score)')}, count(*) FILTER (location_score >= 0.8) AS n_excellent, count(*) FILTER (location_score >= 0.6 AND location_score < 0.8) AS n_good, count(*) FILTER (location_score >= 0.4 AND location_score < 0.6) AS n_fair, count(*) FILTER (location_score < 0.4) AS n_poor FROM sc""",
+    "fx_telemetry",
+)
+def location_distribution(spark, sf_dir):
+    """AG8: distribution of the location score."""
+    q = c("location_score")
+    return rounded(location_scores(spark, sf_dir).agg(F.count("*").alias("n"), F.avg(q).alias("mean_q"), F.stddev_pop(q).alias("std_q"), F.min(q).alias("min_q"), F.max(q).alias("max_q"), *S.bands(q)))
+
+
+@query(f"WITH {LOCATION_SQL} SELECT event_id, pci, {r('location_score')} FROM sc WHERE location_score >= 0.7 ORDER BY round(location_score, 9) DESC, event_id LIMIT 10", "fx_telemetry")
+def best_locations(spark, sf_dir):
+    """TOP2: the ten best rows of a score of 0.7 or more; scores alike to nine digits are equal, the smaller id first."""
+    return rounded(location_scores(spark, sf_dir).filter("location_score >= 0.7").select("event_id", "pci", "location_score").orderBy(F.desc(F.round("location_score", 9)), "event_id").limit(10))
+
+
+SYNC_SQL = "g AS (SELECT min(timestamp_ms) AS g0, max(timestamp_ms) AS g1 FROM fx_gps), t AS (SELECT min(timestamp_ms) AS t0, max(timestamp_ms) AS t1 FROM fx_telemetry)"
+
+
+@query(f"WITH {SYNC_SQL} SELECT CASE WHEN t0 >= g0 - 300000 AND t1 <= g1 + 300000 THEN 'direct' WHEN t0 - 28800000 >= g0 - 300000 AND t1 - 28800000 <= g1 + 300000 THEN 'shifted' ELSE 'mismatch' END AS sync FROM g, t", "fx_gps", "fx_telemetry")
+def time_synchronisation(spark, sf_dir):
+    """SC29: whether telemetry lies in the time of the positions, as it is or shifted by a zone of eight hours."""
+    g = view(spark, sf_dir, "fx_gps").agg(F.min("timestamp_ms").alias("g0"), F.max("timestamp_ms").alias("g1"))
+    t = view(spark, sf_dir, "fx_telemetry").agg(F.min("timestamp_ms").alias("t0"), F.max("timestamp_ms").alias("t1"))
+    return g.crossJoin(t).select(synchronised(-8 * 3_600_000).alias("sync"))
+
+
+def synchronised(zone_ms: int, slack_ms: int = 300_000):
+    inside = lambda by: (c("t0") + by >= c("g0") - slack_ms) & (c("t1") + by <= c("g1") + slack_ms)
+    return F.when(inside(0), "direct").when(inside(zone_ms), "shifted").otherwise("mismatch")
+
+
+@query(f"WITH {MATCH_SQL}, g AS (SELECT count(*) FILTER (sqrt(velocity_x * velocity_x + velocity_y * velocity_y + velocity_z * velocity_z) > 1) AS n_moving FROM fx_gps), e AS (SELECT count(*) FILTER (abs(v_fused) > 0.1) AS n_events FROM m) SELECT n_moving, n_events, NOT (n_moving > 10 AND n_events = 0) AS plausible FROM g, e", "fx_gps", "fx_telemetry")
+def detection_check(spark, sf_dir):
+    """SC30: positions that move without any motion found are not plausible."""
+    g = view(spark, sf_dir, "fx_gps").agg(F.count_if(S.speed(c("velocity_x"), c("velocity_y"), c("velocity_z")) > 1).alias("n_moving"))
+    e = matched(spark, sf_dir).agg(F.count_if(F.abs("v_fused") > 0.1).alias("n_events"))
+    return g.crossJoin(e).select("n_moving", "n_events", (~((c("n_moving") > 10) & (c("n_events") == 0))).alias("plausible"))
+
+
+# The messages of the replay's rules.
+REPLAY_RULES = (
+    ("excellent", "Consider collecting more high-quality measurements for better gNB estimation"),
+    ("poor", "High number of poor quality positions detected - check GPS accuracy and signal conditions"),
+    ("triangulation", "Low triangulation quality - consider collecting measurements from more diverse locations"),
+    ("confidence", "Low gNB position confidence - use more high-quality UE positions for estimation"),
+    ("match", "Low GPS-telemetry match rate - check time synchronization between devices"),
+    ("signal", "Weak signal strength detected - consider moving UE closer to gNB or improving antenna"),
+)
+
+
+@query(
+    f"""WITH {TOP_SQL}, d AS (SELECT count(*) AS n, count(*) FILTER (overall_q >= 0.8) AS n_excellent, count(*) FILTER (overall_q < 0.4) AS n_poor, avg(best_db) AS level, 100.0 * count(*) / (SELECT count(*) FROM fx_gps) AS rate FROM m),
+a AS (SELECT count(*) AS k, avg(overall_q) AS q, sqrt(pow((max(gps_lat) - min(gps_lat)) * 111000, 2) + pow((max(gps_lon) - min(gps_lon)) * 111000, 2)) AS spread FROM top),
+x AS (SELECT *, CASE WHEN k < 3 THEN 0 ELSE greatest(0, least(1, 0.3 * least(k / 10, 1) + 0.3 * greatest(0, least(1, 1 - abs(spread - 1000) / 1000)) + 0.3 * q + 0.1)) END AS tri, CASE WHEN k < 3 THEN 0 ELSE q * (1 - least(spread / 1000, 0.5)) END AS conf FROM d, a)
+SELECT unnest(list_filter([CASE WHEN n_excellent < 5 THEN 'excellent' END, CASE WHEN n_poor > n * 0.3 THEN 'poor' END, CASE WHEN tri < 0.6 THEN 'triangulation' END, CASE WHEN conf < 0.7 THEN 'confidence' END, CASE WHEN rate < 50 THEN 'match' END, CASE WHEN level < -80 THEN 'signal' END], lambda r: r IS NOT NULL)) AS rule FROM x""",
+    "fx_gps",
+    "fx_telemetry",
+)
+def replay_rules(spark, sf_dir):
+    """SC27: the rules of a replay that apply; REPLAY_RULES has their messages."""
+    return replay_messages(spark, sf_dir).select("rule")
+
+
+def replay_messages(spark, sf_dir) -> DataFrame:
+    m, top = matched(spark, sf_dir), best_positions(matched(spark, sf_dir))
+    d = m.agg(F.count("*").alias("n"), F.count_if(c("overall_q") >= 0.8).alias("n_excellent"), F.count_if(c("overall_q") < 0.4).alias("n_poor"), F.avg("best_db").alias("level"))
+    a = top.agg(F.count("*").alias("k"), F.avg("overall_q").alias("q"), F.sqrt(F.pow((F.max("gps_lat") - F.min("gps_lat")) * 111_000, 2) + F.pow((F.max("gps_lon") - F.min("gps_lon")) * 111_000, 2)).alias("spread"))
+    x = d.crossJoin(a).crossJoin(view(spark, sf_dir, "fx_gps").agg(F.count("*").alias("n_gps")))
+    few = c("k") < 3
+    triangulation = F.when(few, 0.0).otherwise(S.clip(0.3 * F.least(c("k") / 10, F.lit(1.0)) + 0.3 * S.clip(1 - F.abs(c("spread") - 1000) / 1000) + 0.3 * c("q") + 0.1))
+    sure = F.when(few, 0.0).otherwise(c("q") * (1 - F.least(c("spread") / 1000, F.lit(0.5))))
+    holds = (c("n_excellent") < 5, c("n_poor") > c("n") * 0.3, triangulation < 0.6, sure < 0.7, 100.0 * c("n") / c("n_gps") < 50, c("level") < -80)
+    each = F.array(*[F.when(h, F.struct(F.lit(n).alias("rule"), F.lit(t).alias("message"))) for h, (n, t) in zip(holds, REPLAY_RULES, strict=True)])
+    return x.select(F.explode(F.filter(each, lambda e: e.isNotNull())).alias("e")).select("e.*")
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, f AS (SELECT avg(list_sum(ok) / len(ok) - 7) AS snr FROM (SELECT list_filter([level_0_db, level_1_db], lambda v: v > -999) AS ok FROM fx_telemetry) WHERE len(ok) > 0), k AS (SELECT count(*) AS n FROM ev),
+wk AS (SELECT count(*) AS n FROM (SELECT list_filter([level_0_db, level_1_db], lambda v: v > -999) AS ok FROM fx_telemetry) WHERE list_sum(ok) / len(ok) < -90)
+SELECT unnest(list_filter([CASE WHEN f.snr < 10 THEN 'signal_quality' END, CASE WHEN k.n > 10 THEN 'motion_detection' END, CASE WHEN wk.n >= 3 THEN 'coverage' END], lambda r: r IS NOT NULL)) AS type FROM f, k, wk""",
+    "fx_telemetry",
+)
+def recommendations(spark, sf_dir):
+    """SC26, SC28: rules on the telemetry as a whole; three weak rows are enough for coverage gaps."""
+    t = telemetry(spark, sf_dir)
+    f = t.agg(F.avg(S.array_mean(S.valid_levels(c("channel_level_db"))) - 7).alias("snr"))
+    k, w = motion_events(t).agg(F.count("*").alias("events")), weak_rows(t).agg(F.count("*").alias("weak"))
+    x = f.crossJoin(k).crossJoin(w)
+    each = F.array(F.when(c("snr") < 10, F.lit("signal_quality")), F.when(c("events") > 10, F.lit("motion_detection")), F.when(c("weak") >= 3, F.lit("coverage")))
+    return x.select(F.explode(F.filter(each, lambda e: e.isNotNull())).alias("type"))
+
+
+@query(
+    f"""WITH cv AS (SELECT pci, {r('latitude', 'longitude')} FROM (SELECT pci, avg(latitude) AS latitude, avg(longitude) AS longitude, count(*) AS n FROM fx_telemetry GROUP BY pci) WHERE n >= 5),
+ce AS (SELECT pci, avg(latitude) AS la, avg(longitude) AS lo, count(*) AS n FROM fx_telemetry GROUP BY pci),
+b AS (SELECT pci, max_by(struct_pack(e := event_id, x := llr_energy, la := latitude, lo := longitude), (llr_energy, -timestamp_ms, -event_id)) AS best FROM fx_telemetry GROUP BY pci),
+j AS (SELECT ce.pci, min(cv.pci) AS area FROM ce JOIN cv ON {HAVERSINE.replace('latitude', 'cv.latitude').replace('longitude', 'cv.longitude')} < 1000 WHERE ce.n >= 3 GROUP BY ce.pci)
+SELECT pci, area, best.e AS event_id, {r(lat='best.la', lon='best.lo', confidence='least(1, best.x / 1000 * 0.9)')} FROM j JOIN b USING (pci)""",
+    "fx_telemetry",
+)
+def placements(spark, sf_dir):
+    """JN4, TOP3: per cell of three rows or more the row of most energy, with the first coverage area less than 1,000 km from the cell's mean place.
+
+    Areas (one a cell) are found through cells of ten degrees: an area looks into those around its own, as far as 1,000 km reach.
+    """
+    t = view(spark, sf_dir, "fx_telemetry")
+    cells = t.groupBy("pci").agg(F.avg("latitude").alias("la"), F.avg("longitude").alias("lo"), F.count("*").alias("n"), F.max_by(F.struct("event_id", "llr_energy", "latitude", "longitude"), F.struct("llr_energy", -c("timestamp_ms"), -c("event_id"))).alias("best"))
+    areas = cells.filter("n >= 5").select(c("pci").alias("area"), c("la").alias("ala"), c("lo").alias("alo"))
+    at = lambda x, d=0: F.floor(x / 10) + d
+    steps = lambda: F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    near = areas.withColumn("dy", steps()).withColumn("dx", steps()).select("area", "ala", "alo", (at(c("ala")) + c("dy")).alias("y"), (at(c("alo")) + c("dx")).alias("x"))
+    j = cells.filter("n >= 3").withColumn("y", at(c("la"))).withColumn("x", at(c("lo"))).join(near, ["y", "x"]).filter(S.haversine_km(c("la"), c("lo"), c("ala"), c("alo")) < 1000)
+    out = j.groupBy("pci").agg(F.min("area").alias("area"), F.first("best").alias("best"))
+    return rounded(out.select("pci", "area", "best.event_id", c("best.latitude").alias("lat"), c("best.longitude").alias("lon"), F.least(F.lit(1.0), c("best.llr_energy") / 1000 * 0.9).alias("confidence")))
+
+
+def cluster_placement(t: DataFrame, k: int = 3) -> DataFrame:
+    """AG19: per cell of three rows or more, the cluster of places whose mean energy times mean level is best.
+
+    Clusters are those of a few rounds of k-means from the first places by id, one group per (cell, cluster) and round;
+    a cell's rows are never in one task.
+    """
+    rows = t.withColumn("level", S.array_mean(S.valid_levels(c("channel_level_db")))).select("pci", "event_id", "latitude", "longitude", "altitude", "llr_energy", "level")
+    first = rows.groupBy("pci", "latitude", "longitude").agg(F.min("event_id").alias("e"))
+    rank = F.row_number().over(Window.partitionBy("pci").orderBy("e"))
+    centres = first.withColumn("cluster", rank).filter(c("cluster") <= k).select("pci", "cluster", c("latitude").alias("cla"), c("longitude").alias("clo"))
+    for _ in range(5):
+        far = F.pow(c("latitude") - c("cla"), 2) + F.pow(c("longitude") - c("clo"), 2)
+        held = rows.join(centres, "pci").groupBy("pci", "event_id").agg(F.min(F.struct(far.alias("d"), "cluster")).alias("x"), *[F.first(n).alias(n) for n in rows.columns if n not in ("pci", "event_id")]).withColumn("cluster", c("x.cluster")).drop("x")
+        centres = cut(held.groupBy("pci", "cluster").agg(F.avg("latitude").alias("cla"), F.avg("longitude").alias("clo")))
+    a = held.groupBy("pci", "cluster").agg(F.count("*").alias("n"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.avg("altitude").alias("altitude"), (F.avg("llr_energy") * (F.avg("level") + 100) / 1000).alias("q"))
+    enough = rows.groupBy("pci").count().filter("count >= 3").select("pci")
+    best = a.join(enough, "pci").groupBy("pci").agg(F.max_by(F.struct("latitude", "longitude", "altitude", "n", "q"), F.struct("q", -c("cluster"))).alias("b")).select("pci", "b.*")
+    return best.withColumn("confidence", F.least(c("q"), F.lit(1.0))).withColumn("quality", F.when(c("confidence") > 0.5, "good").otherwise("fair")).drop("q")
+
+
+@query()
+def cluster_placements(spark, sf_dir):
+    """AG19: see cluster_placement."""
+    return cluster_placement(telemetry(spark, sf_dir))

@@ -1,6 +1,7 @@
 """All queries of the library and their SQL."""
 
-from . import field, measurement, network, obstacles
+from . import field, losses, measurement, network, obstacles, sensing
 
-QUERIES = measurement.Q | field.Q | network.Q | obstacles.Q
-SQL = measurement.SQL | field.SQL | network.SQL | obstacles.SQL
+MODULES = (measurement, field, network, obstacles, losses, sensing)
+QUERIES = {name: f for m in MODULES for name, f in m.Q.items()}
+SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -70,14 +70,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Telemetry with its two levels as an array."""
-    return view(spark, sf_dir, "fx_telemetry").selectExpr("*", "array(level_0_db, level_1_db) AS channel_level_db")
+    """Telemetry with its two levels, and weights, as arrays."""
+    return view(spark, sf_dir, "fx_telemetry").selectExpr("*", "array(level_0_db, level_1_db) AS channel_level_db", "array(0.5D + (event_id % 10) / 20.0D, 0.5D - (event_id % 10) / 20.0D) AS mrc_weights")
 
 
 def with_views(query: str, *names: str) -> str:
     """DuckDB SQL with the views as common table expressions."""
     if "fx_sectors" in names and "fx_sites" not in names:
         names = ("fx_sites", *names)
+    if not names:
+        return query.strip()
     head = ", ".join(f"{n} AS ({_filled(n, DUCKDB)})" for n in names)
     body = query.strip()
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
