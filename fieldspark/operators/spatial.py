@@ -16,6 +16,11 @@ def local_xy(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column
     return F.radians(lon - lon0) * F.cos(F.radians(F.lit(lat0))) * RADIUS_M, F.radians(lat - lat0) * RADIUS_M
 
 
+def local_latlon(x: Column, y: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
+    """Back from metres to degrees."""
+    return lat0 + F.degrees(y / RADIUS_M), lon0 + F.degrees(x / (RADIUS_M * F.cos(F.radians(F.lit(lat0)))))
+
+
 def within(points: DataFrame, sites: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of points (px, py) and sites (sx, sy) at most radius_m apart, with d_m.
 

@@ -1,7 +1,7 @@
 """All queries of the library and their SQL."""
 
-from . import field, losses, measurement, network, obstacles, sensing
+from . import field, losses, maps, measurement, network, obstacles, sensing
 
-MODULES = (measurement, field, network, obstacles, losses, sensing)
+MODULES = (measurement, field, network, obstacles, losses, sensing, maps)
 QUERIES = {name: f for m in MODULES for name, f in m.Q.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
