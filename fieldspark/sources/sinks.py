@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import building_height_m, building_material
+
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -27,13 +29,66 @@ def write_replay(positions: DataFrame, estimate: DataFrame, summary: DataFrame,
     summary.write.mode("overwrite").json(f"{folder}/summary")
 
 
+def write_analysis(telemetry: DataFrame, motion: DataFrame, quality: DataFrame, statistics: DataFrame, folder: str) -> None:
+    """The set of an analysis: three CSV tables and the statistics as JSON."""
+    for part, name in ((telemetry, "telemetry"), (motion, "motion"), (quality, "quality")):
+        write_csv(part, f"{folder}/{name}")
+    statistics.write.mode("overwrite").json(f"{folder}/statistics")
+
+
+def write_velocities(df: DataFrame, path: str) -> None:
+    """History of velocities: time, velocity and offset."""
+    write_csv(df.select("timestamp_ms", "velocity_mps", "cfo_est"), path)
+
+
+#: Columns of a sensing product, in their order.
+PRODUCT = (
+    "latitude_deg", "longitude_deg", "z_ground_m", "tx_range_m", "rx_range_m", "excess_delay_s", "angle_deg", "doppler_east", "doppler_north", "doppler_up", "doppler_hz", "sensitivity", "min_speed_mps",
+    "echo_dbm", "snr_db", "margin_db", "direct_margin_db", "cancellation_db", "dynamic_margin_db", "power_margin_db", "min_rcs_m2", "return_loss_db", "failure", "screening", "qualified",
+)
+
+
+def as_product(df: DataFrame, product_id: str) -> DataFrame:
+    """The product's columns that the table has, in order."""
+    return df.select(F.lit(product_id).alias("product_id"), *[n for n in PRODUCT if n in df.columns])
+
+
+def build_region(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (source_id, kind, tags, ring): features once by (id, kind, ring), with their box, height and material; and counts by kind, skipped ones included."""
+    lon, lat = (F.transform("ring", lambda p: p[i]) for i in (0, 1))  # noqa: B023
+    good = features.filter(F.col("kind").isin("building", "landuse") & (F.size("ring") >= 4))
+    once = good.dropDuplicates(["source_id", "kind", "ring"])
+    held = once.select("*", F.array_min(lon).alias("min_lon"), F.array_min(lat).alias("min_lat"), F.array_max(lon).alias("max_lon"), F.array_max(lat).alias("max_lat"), building_height_m(F.col("tags")).alias("height_m"), building_material(F.col("tags")).alias("material"))
+    kinds = features.select(F.when(F.col("kind").isin("building", "landuse") & (F.size("ring") >= 4), F.col("kind")).otherwise("skipped").alias("kind"))
+    return held, kinds.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def write_profiles(df: DataFrame, folder: str) -> None:
+    """Profiles by their key; those of a key that comes again are replaced."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("profile_key").parquet(folder)
+
+
 def write_product(df: DataFrame, metadata: DataFrame, folder: str) -> None:
     """A product's points by product_id, layers as floats; other products in the folder stay."""
+    if df.select("product_id").distinct().join(metadata, "product_id", "left_anti").limit(1).count():
+        raise ValueError("a product without metadata")
     layers = [F.col(f.name).cast("float").alias(f.name) if f.dataType == T.DoubleType() and not f.name.endswith("_deg") else F.col(f.name) for f in df.schema]
     for part, name in ((df.select(layers), "points"), (metadata, "metadata")):
+        # Spark's committer moves finished files in at the end of the job, so readers see the old product or the new one.
         part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("product_id").parquet(f"{folder}/{name}")
 
 
+def manifest(df: DataFrame) -> DataFrame:
+    """Rows of each product, and its layers with their types."""
+    layers = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type")) for f in df.schema if f.name != "product_id"])
+    return df.groupBy("product_id").agg(F.count("*").alias("n")).withColumn("layers", layers)
+
+
+def lacking(present: DataFrame, required: list[str], name: str = "name") -> DataFrame:
+    """Required members that a table of names doesn't hold."""
+    return present.sparkSession.createDataFrame([(n,) for n in required], f"{name} string").join(present.select(name), name, "left_anti")
+
+
 def audit_product(df: DataFrame, required: list[str]) -> DataFrame:
     """One row for each required column: whether it is there and numeric, and how many rows lack it."""
     kinds = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema}
@@ -57,3 +112,30 @@ def purged(df: DataFrame, oldest: int, stamp: str) -> DataFrame:
 def missing_rows(wanted: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not held yet."""
     return wanted.join(held.select(*keys), keys, "left_anti")
+
+
+def stitched(segments: DataFrame) -> DataFrame:
+    """SPA12: member lines of relations (relation_id, segment_no, points) joined end to end to closed rings; what doesn't close is left out.
+
+    One relation's members go to one task: they are the outline of one feature.
+    """
+
+    def join(pdf):
+        import pandas as pd
+
+        left = [[tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in x] for x in pdf.sort_values("segment_no")["points"] if len(x) > 1]
+        rings = []
+        while left:
+            ring, grew = left.pop(0), True
+            while grew and ring[0] != ring[-1]:
+                grew = False
+                for i, line in enumerate(left):
+                    if ring[-1] in (line[0], line[-1]):
+                        ring, grew = ring + (line if line[0] == ring[-1] else line[::-1])[1:], True
+                        del left[i]
+                        break
+            if len(ring) >= 4 and ring[0] == ring[-1]:
+                rings.append([{"x": x, "y": y} for x, y in ring])
+        return pd.DataFrame({"relation_id": pd.Series([pdf["relation_id"].iloc[0]] * len(rings), dtype="int64"), "ring_no": pd.Series(range(len(rings)), dtype="int32"), "ring": pd.Series(rings, dtype=object)})
+
+    return segments.groupBy("relation_id").applyInPandas(join, "relation_id long, ring_no int, ring array<struct<x:double,y:double>>")
