@@ -67,6 +67,17 @@ def crossings(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> C
     return F.array_sort(F.filter(F.transform(edges(ring), lambda e: F.when(F.coalesce(crossing(e, x0, y0, x1, y1), F.lit(-1.0)) >= 0, crossing(e, x0, y0, x1, y1))), lambda t: t.isNotNull()))
 
 
+def meeting(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """How far along the link (0 to 1) it first meets an edge, ends included, also where both lie on one line; else null."""
+    rx, ry, ex, ey = x1 - x0, y1 - y0, e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+    ox, oy = e["p"]["x"] - x0, e["p"]["y"] - y0
+    cross, off, n = rx * ey - ry * ex, ox * ry - oy * rx, rx * rx + ry * ry
+    t, u = F.try_divide(ox * ey - oy * ex, cross), F.try_divide(off, cross)
+    a, b = F.try_divide(ox * rx + oy * ry, n), F.try_divide((ox + ex) * rx + (oy + ey) * ry, n)
+    along = F.when((F.abs(off) < 1e-12) & (n >= 1e-12) & (F.greatest(a, b) >= 0) & (F.least(a, b) <= 1), F.greatest(F.lit(0.0), F.least(a, b)))
+    return F.when(F.abs(cross) < 1e-12, along).otherwise(F.when(t.between(0, 1) & u.between(0, 1), t))
+
+
 def interpolated(profile: Column, at: Column) -> Column:
     """A value in a profile of (u, z), sorted by u, held at its ends."""
     before, after = F.filter(profile, lambda p: p["u"] <= at), F.filter(profile, lambda p: p["u"] > at)

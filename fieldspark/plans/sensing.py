@@ -62,7 +62,8 @@ def sensed(t: DataFrame, rcs=10.0, speed=SPEED, heading=HEADING, climb=CLIMB, ne
     bar = max(1 / TIME_S, NOTCH_HZ)
     t = t.withColumn("min_speed_mps", F.when(c("sensitivity") > 1e-9, bar / c("sensitivity")))
     t = t.withColumn("excess_delay_s", (c("tx_range_m") + c("rx_range_m") - c("direct_m")) / R.LIGHT)
-    back = 20 * F.log10(4 * math.pi * F.greatest(c("rx_range_m"), F.lit(1.0)) / (R.LIGHT / HZ))
+    # A return loss that the table brings stands.
+    back = c("return_loss_db") if "return_loss_db" in t.columns else 20 * F.log10(4 * math.pi * F.greatest(c("rx_range_m"), F.lit(1.0)) / (R.LIGHT / HZ))
     echo = c("incident_power_dbm") - back + RX_GAIN - RX_FEED + R.scattering_db(c("_rcs"), F.lit(HZ))
     t = t.withColumn("return_loss_db", back).withColumn("echo_dbm", echo)
     gain = 10 * math.log10(BAND_HZ * TIME_S) if gain_db is None else gain_db
@@ -75,13 +76,13 @@ def sensed(t: DataFrame, rcs=10.0, speed=SPEED, heading=HEADING, climb=CLIMB, ne
     return t.drop(*[n for n in t.columns if n.startswith("_")])
 
 
-def sensed_sql(source: str = "fx_targets", rcs: str = "10", height: str = "30", speed: str = "20", need: str = "10", qualified: bool = False) -> str:
+def sensed_sql(source: str = "fx_targets", rcs: str = "10", height: str = "30", speed: str = "20", need: str = "10", qualified: bool = False, back: str = "20 * log10(4 * pi() * greatest(rx_range_m, 1) / (299792458.0::DOUBLE / 3500000000.0::DOUBLE))") -> str:
     k = "(-3500000000.0::DOUBLE / 299792458.0::DOUBLE)"
     unit = ", ".join(f"(t{x} - a{x}) / tx_range_m + (t{x} - c{x}) / rx_range_m AS s{x}" for x in "xyz")
     return f"""e AS (SELECT *, radians(latitude) AS la, radians(longitude) AS lo, {_ecef_sql('t', 'latitude', 'longitude', f'(z_ground_m + {height})')}, {_ecef_sql('a', '38.002::DOUBLE', '-121.499::DOUBLE', '40.0::DOUBLE')}, {_ecef_sql('c', '38.02::DOUBLE', '-121.48::DOUBLE', '12.0::DOUBLE')} FROM {source}),
 g AS (SELECT *, {_far('t', 'a')} AS tx_range_m, {_far('t', 'c')} AS rx_range_m, {_far('a', 'c')} AS direct_m FROM e), u AS (SELECT *, {unit} FROM g),
 d AS (SELECT *, {k} * (-sin(lo) * sx + cos(lo) * sy) AS doppler_east, {k} * (-sin(la) * cos(lo) * sx - sin(la) * sin(lo) * sy + cos(la) * sz) AS doppler_north, {k} * (cos(la) * cos(lo) * sx + cos(la) * sin(lo) * sy + sin(la) * sz) AS doppler_up,
-  incident_power_dbm - 20 * log10(4 * pi() * greatest(rx_range_m, 1) / (299792458.0::DOUBLE / 3500000000.0::DOUBLE)) + 12 - 1 + 10 * log10({rcs}) + 10 * log10(4 * pi()) - 20 * log10(299792458.0::DOUBLE / 3500000000.0::DOUBLE) AS echo_dbm FROM u),
+  incident_power_dbm - {back} + 12 - 1 + 10 * log10({rcs}) + 10 * log10(4 * pi()) - 20 * log10(299792458.0::DOUBLE / 3500000000.0::DOUBLE) AS echo_dbm FROM u),
 h AS (SELECT *, doppler_east * {speed} * sin(radians(60)) + doppler_north * {speed} * cos(radians(60)) + doppler_up * 1 AS doppler_hz, sqrt(pow(doppler_east, 2) + pow(doppler_north, 2) + pow(doppler_up, 2)) AS sensitivity, (tx_range_m + rx_range_m - direct_m) / 299792458.0::DOUBLE AS excess_delay_s,
   echo_dbm - (-174 + 10 * log10(20000000) + 5) + {'60' if qualified else '10 * log10(20000000 * 0.1)'} AS snr_db, echo_dbm + 105 + 3 AS direct_margin_db, greatest(0, -55 - echo_dbm - 3) AS cancellation_db, 90 - (-55 - echo_dbm) AS dynamic_margin_db FROM d),
 m AS (SELECT *, snr_db - {need} AS margin_db, least(snr_db - {need}, direct_margin_db, dynamic_margin_db) AS power_margin_db FROM h),

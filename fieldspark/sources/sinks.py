@@ -69,11 +69,12 @@ def write_profiles(df: DataFrame, folder: str) -> None:
 
 
 def write_product(df: DataFrame, metadata: DataFrame, folder: str) -> None:
-    """A product's points by product_id, layers as floats; other products in the folder stay."""
+    """A product's points by product_id, layers as floats, its metadata and its manifest; other products in the folder stay."""
     if df.select("product_id").distinct().join(metadata, "product_id", "left_anti").limit(1).count():
         raise ValueError("a product without metadata")
     layers = [F.col(f.name).cast("float").alias(f.name) if f.dataType == T.DoubleType() and not f.name.endswith("_deg") else F.col(f.name) for f in df.schema]
-    for part, name in ((df.select(layers), "points"), (metadata, "metadata")):
+    points = df.select(layers)
+    for part, name in ((points, "points"), (metadata, "metadata"), (manifest(points), "manifest")):
         # Spark's committer moves finished files in at the end of the job, so readers see the old product or the new one.
         part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("product_id").parquet(f"{folder}/{name}")
 
