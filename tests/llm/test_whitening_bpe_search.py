@@ -92,11 +92,11 @@ def own_texts():
 def test_encoding_equals_the_library(spark, library):
     rows = list(enumerate(own_texts())) + [(None, "no id here"), (1000, "twice over"), (1000, "twice over")]
     df = spark.createDataFrame(rows, DOCS).withColumn("IDS", F.lit("clash")).withColumn("a.b", F.lit(1)).repartition(3)
-    got = bpe.decode(bpe.encode(df)).collect()
+    got = bpe.decode(bpe.encode(df, back="BACK")).collect()
     assert len(got) == len(rows)
     for r in got:
         assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(r["text"] or "")
-        assert bytes(r["decoded"]) == (r["text"] or "").encode() and r["a.b"] == 1
+        assert bytes(r["decoded"]) == bytes(r["BACK"]) == (r["text"] or "").encode() and r["a.b"] == 1
     assert bpe.encode(df.limit(0)).count() == 0
     assert bpe.decode(spark.createDataFrame([(None,)], "ids binary")).first()["decoded"] is None
 
