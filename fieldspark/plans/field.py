@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import radio as R
 from ..functions.broadcast import penetration_db
-from ..operators.intervals import with_intervals
+from ..operators.intervals import swept
 from ..operators.spatial import local_xy, nearest, within
 from ..sources.views import view, with_views
 from .measurement import r, rounded
@@ -85,13 +85,8 @@ FROM j GROUP BY site_id, bearing_bin, distance_m""",
 )
 def obstacle_states(spark, sf_dir):
     """JN9, WIN6, RF12, JOB2: obstacles a sample lies in or behind, and the loss that lingers behind them."""
-    s = samples(spark, sf_dir)
-    hit = with_intervals(s, view(spark, sf_dir, "fx_obstacles"), ["site_id", "bearing_bin"])
-    inside = c("end_m") > c("distance_m") + 1e-6
-    event = F.greatest(F.lit(0.0), F.least(F.lit(12.0), 4 + 10 * (c("end_m") - c("start_m")) / 100) - 2 * (c("distance_m") - c("end_m")) / 100)
-    a = hit.groupBy("site_id", "bearing_bin", "distance_m").agg(F.count_if(inside).alias("n_active"), F.count_if(~inside).alias("n_exited"), F.max(F.when(~inside, c("end_m"))).alias("last_exit_m"), F.least(F.lit(20.0), F.coalesce(F.sum(F.when(~inside, event)), F.lit(0.0))).alias("post_exit_db"), F.min(F.when(inside, F.struct("start_m", "obstacle_id", "material"))).getField("material").alias("first_material"))
-    out = s.join(a, ["site_id", "bearing_bin", "distance_m"], "left")
-    return rounded(out.select("site_id", "bearing_bin", "distance_m", F.coalesce("n_active", F.lit(0)).alias("n_active"), F.coalesce("n_exited", F.lit(0)).alias("n_exited"), "last_exit_m", F.coalesce("post_exit_db", F.lit(0.0)).alias("post_exit_db"), "first_material"))
+    x = swept(samples(spark, sf_dir), view(spark, sf_dir, "fx_obstacles"), ["site_id", "bearing_bin"], "obstacle_id", losses={"post_exit_db": (4.0, 10.0, 12.0, 20.0)}, tell=("material",))
+    return rounded(x.select("site_id", "bearing_bin", "distance_m", "n_active", "n_exited", "last_exit_m", "post_exit_db", c("first_active.material").alias("first_material")))
 
 
 def placed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -45,10 +45,18 @@ FROM part""",
   CAST(-121.5 AS DOUBLE) + (c_custkey % 77) * CAST(0.0005 AS DOUBLE) AS longitude,
   CAST(c_nationkey AS DOUBLE) AS z_ground_m, CAST(-40 AS DOUBLE) - ABS(c_acctbal) / 200 AS incident_power_dbm
 FROM customer""",
+    "fx_illumination": """SELECT c_custkey AS target_id, CAST(60 AS DOUBLE) - (CAST(88 AS DOUBLE) + c_custkey % 37 + c_custkey % 13) AS incident_power_dbm
+FROM customer WHERE c_custkey % 5 <> 0""",
+    "fx_returns": """SELECT c_custkey AS target_id, CAST(38.0 AS DOUBLE) + (c_custkey % 100) * CAST(0.0005 AS DOUBLE) AS latitude,
+  CAST(-121.5 AS DOUBLE) + (c_custkey % 77) * CAST(0.0005 AS DOUBLE) AS longitude,
+  CASE WHEN c_custkey % 29 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(92 + c_custkey % 41 AS DOUBLE) END AS path_loss_db,
+  CAST(c_custkey % 13 AS DOUBLE) AS environment_loss_db, CAST(c_custkey % 7 AS DOUBLE) / 2 AS terrain_loss_db, c_custkey % 13 = 0 AS los,
+  CASE WHEN c_custkey % 7 = 0 THEN 'los' WHEN c_custkey % 7 < 4 THEN 'fresnel' ELSE 'obstructed' END AS terrain_state, CAST(c_custkey % 11 AS DOUBLE) AS sample_error_m
+FROM customer WHERE c_custkey % 7 <> 3""",
 }
 SPARK = {"{MS}": "(unix_micros(CAST(ts AS TIMESTAMP)) DIV 1000)", "{K}": "CAST(get_json_object(props, '$.k') AS INT)"}
 DUCKDB = {"{MS}": "(epoch_us(ts) // 1000)", "{K}": "CAST(json_extract_string(props, '$.k') AS INT)"}
-BASE = {"fx_telemetry": ["events"], "fx_gps": ["events"], "fx_sites": ["supplier"], "fx_sectors": ["supplier"], "fx_obstacles": ["part", "supplier"], "fx_targets": ["customer"]}
+BASE = {"fx_telemetry": ["events"], "fx_gps": ["events"], "fx_sites": ["supplier"], "fx_sectors": ["supplier"], "fx_obstacles": ["part", "supplier"], "fx_targets": ["customer"], "fx_illumination": ["customer"], "fx_returns": ["customer"]}
 
 
 def _filled(name: str, tokens: dict[str, str]) -> str:
