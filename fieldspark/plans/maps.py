@@ -12,6 +12,7 @@ from ..functions import geo as G
 from ..functions import radio as R
 from ..functions import text as X
 from ..operators.labels import PRIORITY, point_along, ranked_labels
+from ..operators.rings import stitched
 from ..operators.spatial import within
 from ..sources.views import view, with_views
 from .field import DIST, LATTICE_SQL, PLACED_SQL, RX_M, lattice, placed
@@ -360,3 +361,28 @@ def back_projection(spark, sf_dir):
     t, _ = placed(spark, sf_dir)
     lat, lon = local_latlon(c("px"), c("py"), 38.0, -121.5)
     return rounded(t.select("target_id", F.rint(c("latitude") * 100).cast("int").alias("i"), lat.alias("lat"), lon.alias("lon")))
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT relation_id AS rel, segment_no AS no, CASE WHEN backwards THEN [[b_x, b_y], [(a_x + b_x) / 2, a_y], [a_x, a_y]] ELSE [[a_x, a_y], [(a_x + b_x) / 2, a_y], [b_x, b_y]] END AS p FROM fx_members),
+d AS (SELECT rel, 2 * no AS dart, no, p, p[1] AS a, p[3] AS z FROM l UNION ALL SELECT rel, 2 * no + 1, no, list_reverse(p), p[3], p[1] FROM l),
+nx AS (SELECT d.rel, d.dart, d.no, d.p, e.dart AS next FROM d LEFT JOIN d e ON d.rel = e.rel AND d.z = e.a AND d.no <> e.no),
+w(rel, start, dart, step, way, ended) AS (SELECT rel, dart, dart, 1, [dart], next IS NULL FROM nx
+  UNION ALL SELECT w.rel, w.start, m.dart, step + 1, list_append(way, m.dart), m.next IS NULL OR m.next = w.start FROM w JOIN nx n ON n.rel = w.rel AND n.dart = w.dart JOIN nx m ON m.rel = w.rel AND m.dart = n.next WHERE NOT ended AND n.next <> w.start),
+f AS (SELECT w.*, n.next IS NOT NULL AS closed FROM w JOIN nx n ON n.rel = w.rel AND n.dart = w.dart WHERE ended OR n.next = w.start),
+h AS (SELECT *, list_min(way) AS least FROM f WHERE closed OR NOT EXISTS (SELECT 1 FROM nx q WHERE q.rel = f.rel AND q.next = f.start)),
+k AS (SELECT rel, least, closed, list_concat(way[list_position(way, least):], way[:list_position(way, least) - 1]) AS way, way[len(way)] AS tail FROM h WHERE least % 2 = 0 AND (NOT closed OR start = least)),
+u AS (SELECT rel, least, closed, tail, unnest(way) AS dart, generate_subscripts(way, 1) AS i FROM k),
+g AS (SELECT u.rel, least, closed, count(*) AS n_lines, flatten(list(CASE WHEN NOT closed AND u.dart = tail THEN p ELSE p[:2] END ORDER BY i)) AS ring FROM u JOIN nx ON nx.rel = u.rel AND nx.dart = u.dart GROUP BY u.rel, least, closed),
+o AS (SELECT *, row_number() OVER (PARTITION BY rel ORDER BY least) - 1 AS ring_no FROM g)
+SELECT rel AS relation_id, CAST(ring_no AS INT) AS ring_no, n_lines, closed, len(ring) + 1 AS n_points, array_to_string(list_transform(list_append(ring, ring[1]), lambda q: CAST(CAST(q[1] * 2 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(q[2] AS BIGINT) AS VARCHAR)), ' ') AS way FROM o""",
+    "fx_members",
+)
+def relation_rings(spark, sf_dir):
+    """SPA12: rings stitched from the member lines of relations with hundreds of members, some of which are missing."""
+    m = view(spark, sf_dir, "fx_members")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    way = F.array(point(c("a_x"), c("a_y")), point((c("a_x") + c("b_x")) / 2, c("a_y")), point(c("b_x"), c("b_y")))
+    rings = stitched(m.select("relation_id", "segment_no", F.when(c("backwards"), F.reverse(way)).otherwise(way).alias("points")))
+    text = F.array_join(F.transform("ring", lambda p: F.concat((p["x"] * 2).cast("bigint").cast("string"), F.lit(":"), p["y"].cast("bigint").cast("string"))), " ")
+    return rings.select("relation_id", "ring_no", "n_lines", "closed", F.size("ring").cast("bigint").alias("n_points"), text.alias("way"))

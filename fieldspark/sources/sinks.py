@@ -113,30 +113,3 @@ def purged(df: DataFrame, oldest: int, stamp: str) -> DataFrame:
 def missing_rows(wanted: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not held yet."""
     return wanted.join(held.select(*keys), keys, "left_anti")
-
-
-def stitched(segments: DataFrame) -> DataFrame:
-    """SPA12: member lines of relations (relation_id, segment_no, points) joined end to end to closed rings; what doesn't close is left out.
-
-    One relation's members go to one task: they are the outline of one feature.
-    """
-
-    def join(pdf):
-        import pandas as pd
-
-        left = [[tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in x] for x in pdf.sort_values("segment_no")["points"] if len(x) > 1]
-        rings = []
-        while left:
-            ring, grew = left.pop(0), True
-            while grew and ring[0] != ring[-1]:
-                grew = False
-                for i, line in enumerate(left):
-                    if ring[-1] in (line[0], line[-1]):
-                        ring, grew = ring + (line if line[0] == ring[-1] else line[::-1])[1:], True
-                        del left[i]
-                        break
-            if len(ring) >= 4 and ring[0] == ring[-1]:
-                rings.append([{"x": x, "y": y} for x, y in ring])
-        return pd.DataFrame({"relation_id": pd.Series([pdf["relation_id"].iloc[0]] * len(rings), dtype="int64"), "ring_no": pd.Series(range(len(rings)), dtype="int32"), "ring": pd.Series(rings, dtype=object)})
-
-    return segments.groupBy("relation_id").applyInPandas(join, "relation_id long, ring_no int, ring array<struct<x:double,y:double>>")

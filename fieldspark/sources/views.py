@@ -53,10 +53,16 @@ FROM customer WHERE c_custkey % 5 <> 0""",
   CAST(c_custkey % 13 AS DOUBLE) AS environment_loss_db, CAST(c_custkey % 7 AS DOUBLE) / 2 AS terrain_loss_db, c_custkey % 13 = 0 AS los,
   CASE WHEN c_custkey % 7 = 0 THEN 'los' WHEN c_custkey % 7 < 4 THEN 'fresnel' ELSE 'obstructed' END AS terrain_state, CAST(c_custkey % 11 AS DOUBLE) AS sample_error_m
 FROM customer WHERE c_custkey % 7 <> 3""",
+    "fx_members": """SELECT p_partkey % 2 AS relation_id, (p_partkey * 7919) % 1000003 AS segment_no, p_partkey % 3 = 0 AS backwards,
+  CAST(FLOOR(p_partkey / CAST(86 AS DOUBLE)) * 1000 + FLOOR(p_partkey / CAST(2 AS DOUBLE)) % 43 AS DOUBLE) AS a_x,
+  CAST(POWER(FLOOR(p_partkey / CAST(2 AS DOUBLE)) % 43, 2) % 101 AS DOUBLE) AS a_y,
+  CAST(FLOOR(p_partkey / CAST(86 AS DOUBLE)) * 1000 + (FLOOR(p_partkey / CAST(2 AS DOUBLE)) + 1) % 43 AS DOUBLE) AS b_x,
+  CAST(POWER((FLOOR(p_partkey / CAST(2 AS DOUBLE)) + 1) % 43, 2) % 101 AS DOUBLE) AS b_y
+FROM part WHERE p_partkey % 97 <> 5""",
 }
 SPARK = {"{MS}": "(unix_micros(CAST(ts AS TIMESTAMP)) DIV 1000)", "{K}": "CAST(get_json_object(props, '$.k') AS INT)"}
 DUCKDB = {"{MS}": "(epoch_us(ts) // 1000)", "{K}": "CAST(json_extract_string(props, '$.k') AS INT)"}
-BASE = {"fx_telemetry": ["events"], "fx_gps": ["events"], "fx_sites": ["supplier"], "fx_sectors": ["supplier"], "fx_obstacles": ["part", "supplier"], "fx_targets": ["customer"], "fx_illumination": ["customer"], "fx_returns": ["customer"]}
+BASE = {"fx_telemetry": ["events"], "fx_gps": ["events"], "fx_sites": ["supplier"], "fx_sectors": ["supplier"], "fx_obstacles": ["part", "supplier"], "fx_targets": ["customer"], "fx_illumination": ["customer"], "fx_returns": ["customer"], "fx_members": ["part"]}
 
 
 def _filled(name: str, tokens: dict[str, str]) -> str:
@@ -90,4 +96,6 @@ def with_views(query: str, *names: str) -> str:
         return query.strip()
     head = ", ".join(f"{n} AS ({_filled(n, DUCKDB)})" for n in names)
     body = query.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

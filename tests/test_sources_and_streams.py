@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from fieldspark.operators.rings import stitched
 from fieldspark.functions import text
 from fieldspark.operators.asof import nearest_in_time
 from fieldspark.plans.measurement import motion_events
@@ -132,7 +133,7 @@ def test_other_writers(spark, tmp_path):
     assert sorted((r["source_id"], r["height_m"], r["max_lat"]) for r in held.filter("kind = 'building'").collect()) == [("1", 9.0, 1.0)]
     assert {r["kind"]: r["n"] for r in counts.collect()} == {"building": 2, "landuse": 1, "skipped": 2}
     lines = spark.createDataFrame([(1, 0, [(0.0, 0.0), (1.0, 0.0)]), (1, 1, [(1.0, 1.0), (1.0, 0.0)]), (1, 2, [(1.0, 1.0), (0.0, 0.0)]), (2, 0, [(0.0, 0.0), (5.0, 5.0)])], "relation_id long, segment_no int, points array<struct<x:double,y:double>>")
-    rings = sinks.stitched(lines).collect()
+    rings = stitched(lines).collect()
     assert [(r["relation_id"], len(r["ring"])) for r in rings] == [(1, 4)] and rings[0]["ring"][0] == rings[0]["ring"][-1]
     profiles = spark.createDataFrame([("k", 1)], "profile_key string, bin int")
     sinks.write_profiles(profiles, f"{tmp_path}/q")
