@@ -6,9 +6,8 @@ survives substituted words.  Seeds of documents and benchmark items are joined b
 hash; around a hit the item is laid on the document at that offset, and the best
 stretch (a point for an equal word, two off for another) is the overlap.  It counts
 when at least ``least`` words are equal (or the whole item, if shorter) and they
-make up at least ``share`` of the stretch.  A seed that comes again in a document
-is looked up at its first place only: the words around the later one that are equal
-to the item's are found there, or by seeds of their own.
+make up at least ``share`` of the stretch.  Every place of a seed in the document is
+laid against every place in the item, once for each offset between the two.
 
 The benchmark is a stated query set: it goes to the tasks in blocks of about
 ``BLOCK_WORDS`` words (as counted above), one scan of the documents for each, so what
@@ -93,10 +92,6 @@ def overlaps_in(c: Chunk, held: dict, least: int, share: float) -> list[tuple[in
         hit = hit[doc[hit] == doc[hit + len(mask) - 1]]
         lo, hi = np.searchsorted(table, h[hit], "left"), np.searchsorted(table, h[hit], "right")
         hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        order = np.lexsort((hit, h[hit], doc[hit]))
-        d, s = doc[hit][order], h[hit][order]
-        once = np.sort(order[np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])][: len(order)]])
-        hit, lo, n = hit[once], lo[once], n[once]
         rows = np.repeat(lo, n) + ragged(n)
         laid.append(np.stack([np.repeat(doc[hit], n), item[rows], np.repeat(hit, n) - at[rows]], axis=1))
     best: dict = {}

@@ -168,7 +168,7 @@ def pack(table: pa.Table, width: int, buckets: int, space: np.ndarray, powers: P
         place["len"], place["start"] = list(map(len, pieces)), start[x]
         place["step"] = np.diff(np.r_[0, ids[doc[x]]])
         rows["places"].append(zip_.compress(b"".join(place[c].tobytes() for c in PLACE.names)))
-        rows["keys"].append(keys[doc[x]].astype(np.uint32).tobytes())
+        rows["keys"].append(keys[doc[x]].tobytes())
         rows["gone"].append(gone[lead == i].tobytes() if len(gone) else b"")
     if not len(cut) and len(gone):
         for k in rows:
@@ -185,8 +185,8 @@ def by_document(gone: np.ndarray) -> pa.Table:
 
 
 def own(doc_id: str, text: str) -> list:
-    """The id, and a hash of 32 bits that only tells texts of one id apart."""
-    return [F.coalesce(column(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(column(doc_id), column(text)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("_key")]
+    """The id, and a hash of 64 bits that only tells texts of one id apart."""
+    return [F.coalesce(column(doc_id).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(column(doc_id), column(text)).alias("_key")]
 
 
 def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 20) -> DataFrame:
@@ -204,7 +204,7 @@ def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         found, powers, unzip = [np.frombuffer(x, GONE) for x in table.column("gone").to_pylist()], Powers(), zstandard.ZstdDecompressor()
         pieces, docs, keys, starts = [], [], [], []
         for r in table.select(["texts", "places", "keys"]).to_pylist():
-            whole, key, place = unzip.decompress(r["texts"]), np.frombuffer(r["keys"], np.uint32).astype(np.int64), unzip.decompress(r["places"])
+            whole, key, place = unzip.decompress(r["texts"]), np.frombuffer(r["keys"], np.int64), unzip.decompress(r["places"])
             n = len(key)
             ends = np.cumsum(np.frombuffer(place, np.int32, n) + 1) - 1
             pieces += [whole[u:v] for u, v in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=False)]

@@ -10,7 +10,7 @@ bound and the table of 2**BITS weights are all that is sent to the tasks).
 Defined results: a null url or one without ``://`` has an empty host and path,
 fits no rule that has a host, and is judged by the bias alone.  Repeated rows
 give repeated results, an empty table an empty result.  Columns named as a
-result column are replaced, others stay.
+result column (in any case) are replaced, others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import mix
+from .textkit import column, mix, others
 
 BITS = 16
 GRAMS = (2, 3, 4)
 MOST_LABELLED = 10_000
+RESULTS = ("host", "path", "rule", "block_score", "verdict")
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 LABELLED_URLS = tuple(
@@ -121,17 +122,19 @@ def judge_urls(df: DataFrame, labelled: DataFrame, url: str = "url", rules=RULES
         buckets, rows = features([h.encode() for h in host], [p.encode() for p in path])
         return pd.Series(1 / (1 + np.exp(-(mean_weight(w, buckets, rows, len(host)) + bias))))
 
-    host, path = host_path(F.col(url))
+    # the rows' own columns travel in a struct, so no name of theirs meets one of ours
+    kept = others(df, *RESULTS)
+    host, path = host_path(column(url))
+    rows = df.select(F.struct(*(column(c).alias(f"c{i}") for i, c in enumerate(kept)), F.lit(0).alias("_")).alias("row"), host.alias("host"), path.alias("path"))
     longest = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
     rule = F.lit(None).cast("string")
     said = F.lit(None).cast("string")
     for h, p, verdict in reversed(longest):
         fits = ((F.col("host") == h) | F.endswith(F.col("host"), F.lit("." + h)) if h else F.lit(True)) & F.startswith(F.col("path"), F.lit(p))
         rule, said = F.when(fits, h + p).otherwise(rule), F.when(fits, verdict).otherwise(said)
-    kept = [c for c in df.columns if c not in ("host", "path", "rule", "block_score", "verdict")]
-    out = df.select(*kept, host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("_said", said)
-    out = out.withColumn("block_score", block_score("host", "path"))
-    return out.select(*kept, "host", "path", "rule", "block_score", F.coalesce("_said", F.when(F.col("block_score") >= block_from, "block").otherwise("allow")).alias("verdict"))
+    scored = rows.select("row", "host", "path", rule.alias("rule"), said.alias("said"), block_score("host", "path").alias("block_score"))
+    verdict = F.coalesce("said", F.when(F.col("block_score") >= block_from, "block").otherwise("allow"))
+    return scored.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)), "host", "path", "rule", "block_score", verdict.alias("verdict"))
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:

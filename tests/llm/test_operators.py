@@ -518,6 +518,23 @@ def test_large_leaves_are_split_from_both_ends(spark):
     assert {d for d, n in got.items() if n} == {*range(301, 320), *range(401, 420)}
 
 
+@pytest.mark.parametrize(("n", "leaf_lines"), [(600, 500), (900, 64), (3000, 2048), (900, 7)])
+def test_fields_at_both_ends_of_a_template_of_any_number_of_lines(spark, n, leaf_lines):
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = [(i, f"user {letters(i)} has logged in from {letters(7 * i + 3)}") for i in range(n)]
+    got = templates.drop_templates(spark.createDataFrame(rows, DOCS), leaf_lines=leaf_lines).agg(F.sum("n_dropped").alias("n")).first()["n"]
+    assert got == n - 1
+
+
+def test_a_rare_template_in_a_large_leaf(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    rows = [(i, " ".join(["go", *(word() for _ in range(7))])) for i in range(1500)]
+    rows += [(2000 + i, f"go {word()} to the very same {word()} {word()}") for i in range(15)]
+    got = {r["doc_id"]: r["n_dropped"] for r in templates.drop_templates(spark.createDataFrame(rows, DOCS), leaf_lines=40).collect()}
+    assert {d for d, n in got.items() if n} == set(range(2001, 2015))
+
+
 def test_pipeline_drops_long_lines_from_two_documents_on(spark):
     import corpus_pipeline as P
 
@@ -647,3 +664,37 @@ def test_pipeline_stages(spark, data):
 def test_hash_of_kept_words(spark, data):
     out = substrings.op7_repeated_passages(spark, data).first()
     assert len(out["kept_sha256"]) == len(hashlib.sha256().hexdigest())
+
+
+def test_the_best_row_though_its_seeds_came_before(spark):
+    words = [f"q{i}w" for i in range(60)]
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    pieces = [" ".join(words[i : i + 14]) for i in range(0, 50, 7)]
+    short = [" ".join(words[i : i + 8]) for i in range(0, 56, 2)]
+    rows = [(1, " xx yy zz ".join([*pieces, " ".join(words)])), (2, " xx yy zz ".join([*short, " ".join(words)])), (3, " xx yy zz ".join(short))]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: (r["length"], r["matched"]) for r in decontaminate.overlaps(docs, item).collect()}
+    assert got == {1: (60, 60), 2: (60, 60)}
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, item).collect()] == [3]
+
+
+def test_url_judgement_with_clashing_columns(spark):
+    long = "http://a.example.com/en/" + "x" * 50_000
+    rows = [(1, "http://A.example.com/en/8?x", "p"), (1, "http://A.example.com/en/8?x", "p"), (2, None, "q"), (3, "no scheme", "q"), (4, long, "r")]
+    df = spark.createDataFrame(rows, "page_id long, url string, _said string").withColumn("Host", F.lit("h")).withColumn("a.b", F.lit(5)).withColumn("VERDICT", F.lit("x"))
+    out = urls.judge_urls(df, spark.createDataFrame(list(urls.LABELLED_URLS), "url string, label int"))
+    assert out.columns == ["page_id", "url", "_said", "a.b", "host", "path", "rule", "block_score", "verdict"]
+    got = out.collect()
+    assert sorted(r["page_id"] for r in got) == [1, 1, 2, 3, 4]
+    for r in got:
+        assert r["_said"] in "pqr" and r["a.b"] == 5
+        if r["page_id"] in (1, 4):
+            assert (r["host"], r["rule"], r["verdict"]) == ("a.example.com", "com/en/", "block")
+        else:
+            assert (r["host"], r["path"], r["rule"]) == ("", "", None)
+
+
+def test_texts_of_one_id_are_told_apart_by_64_bits(spark):
+    assert {t for n, t in spark.createDataFrame([(1, "a")], DOCS).select(*substrings.own("doc_id", "text")).dtypes} == {"bigint"}
+    keys = spark.range(60_000).selectExpr("CAST(1 AS LONG) AS doc_id", "CAST(id AS STRING) AS text").select(*substrings.own("doc_id", "text"))
+    assert keys.select("_key").distinct().count() == 60_000 and keys.filter("_key > 4294967295 OR _key < 0").count() > 0
