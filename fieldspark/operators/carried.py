@@ -59,3 +59,17 @@ def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str,
     handed = rows.groupBy("_range", *keys).agg(*carried).select("_range", *keys, *before)
     both = rows.select("*", *local).alias("r").join(handed.alias("h"), [F.col("r._range") == F.col("h._range"), *(F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys)])
     return both.select(*[F.col(f"r.{n}") for n in df.columns], *merged)
+
+
+def blocks(df: DataFrame, keys: list[str], order: list[str], before: int, after: int, rows: int = 8192) -> DataFrame:
+    """The rows of each key in blocks of ``rows`` in ``order``, each with the last ``before`` rows of the block before it and the
+    first ``after`` of the one after it: windows of such frames over (keys, _block) are right for rows whose _own is true.
+
+    Adds _i (number in the key, from 1), _block and _own; a long key is as many tasks as it has blocks.
+    """
+    if max(before, after) > rows:
+        raise ValueError("a border is longer than a block")
+    numbered = running(df, keys, order, {"_i": ("count", F.lit(1))})
+    block, place = F.floor((F.col("_i") - 1) / rows), F.pmod(F.col("_i") - 1, F.lit(rows))
+    near = F.array(block, F.when(place >= rows - before, block + 1), F.when((place < after) & (block > 0), block - 1))
+    return numbered.withColumn("_block", F.explode(F.filter(near, lambda b: b.isNotNull()))).withColumn("_own", F.col("_block") == F.floor((F.col("_i") - 1) / rows))

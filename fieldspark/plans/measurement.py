@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import score as S
 from ..operators.asof import nearest_in_time
+from ..operators.carried import blocks, running
 from ..sources.views import telemetry, view, with_views
 
 TOLERANCE_MS = 120_000
@@ -180,8 +181,9 @@ FROM d GROUP BY pci HAVING count(*) >= 2""",
 )
 def trajectories(spark, sf_dir):
     """AG3, WIN4, SC1: path length and speeds per cell, over steps in time order."""
-    w = Window.partitionBy("pci").orderBy("timestamp_ms", "event_id")
-    t = view(spark, sf_dir, "fx_telemetry").select("pci", "timestamp_ms", "latitude", "longitude", F.lag("latitude").over(w).alias("la"), F.lag("longitude").over(w).alias("lo"), F.lag("timestamp_ms").over(w).alias("lt"))
+    t = blocks(view(spark, sf_dir, "fx_telemetry").select("pci", "event_id", "timestamp_ms", "latitude", "longitude"), ["pci"], ["timestamp_ms", "event_id"], 1, 0)
+    w = Window.partitionBy("pci", "_block").orderBy("_i")
+    t = t.select("*", F.lag("latitude").over(w).alias("la"), F.lag("longitude").over(w).alias("lo"), F.lag("timestamp_ms").over(w).alias("lt")).filter("_own")
     t = t.withColumn("km", S.haversine_km(c("la"), c("lo"), c("latitude"), c("longitude"))).withColumn("hours", (c("timestamp_ms") - c("lt")) / 3_600_000.0)
     pace = F.when(c("hours") > 0, c("km") / c("hours"))
     out = t.groupBy("pci").agg(F.count("*").alias("n"), F.sum("km").alias("distance_km"), F.avg(pace).alias("mean_kmh"), F.max(pace).alias("max_kmh"), ((F.max("timestamp_ms") - F.min("timestamp_ms")) / 3_600_000.0).alias("duration_h"))
@@ -207,8 +209,8 @@ SELECT pci, {r('early', 'late')}, CASE WHEN late > early + 5 THEN 'improving' WH
 )
 def signal_trend(spark, sf_dir):
     """AG5: mean level of the first half of a cell's rows against the second."""
-    w = Window.partitionBy("pci")
-    t = view(spark, sf_dir, "fx_telemetry").select("pci", c("level_1_db").alias("x"), F.row_number().over(w.orderBy("timestamp_ms", "event_id")).alias("i"), F.count("*").over(w).alias("n"))
+    t = running(view(spark, sf_dir, "fx_telemetry").select("pci", "timestamp_ms", "event_id", c("level_1_db").alias("x")), ["pci"], ["timestamp_ms", "event_id"], {"i": ("count", F.lit(1))})
+    t = t.join(t.groupBy("pci").agg(F.count("*").alias("n")), "pci")
     half = F.floor(c("n") / 2)
     h = t.filter("n >= 10").groupBy("pci").agg(F.avg(F.when(c("i") <= half, c("x"))).alias("early"), F.avg(F.when(c("i") > half, c("x"))).alias("late"))
     return rounded(h.withColumn("trend", F.when(c("late") > c("early") + 5, "improving").when(c("late") < c("early") - 5, "degrading").otherwise("stable")))
@@ -216,9 +218,10 @@ def signal_trend(spark, sf_dir):
 
 def motion_events(df: DataFrame, threshold: float = 20.0, confidence: bool = True) -> DataFrame:
     """WIN1-WIN3: crossings of the threshold per cell, in time order; starts carry a confidence from the spread nearby."""
-    w = Window.partitionBy("pci").orderBy("timestamp_ms", "event_id")
+    w = Window.partitionBy("pci", "_block").orderBy("_i")
     near = w.rowsBetween(-5, 4)
-    m = magnitude(df).withColumn("prev", F.lag("motion_magnitude").over(w)).withColumn("spread", F.when(F.count("*").over(near) == 10, F.stddev_samp("motion_magnitude").over(near)))
+    m = blocks(magnitude(df), ["pci"], ["timestamp_ms", "event_id"], 5, 4)
+    m = m.withColumn("prev", F.lag("motion_magnitude").over(w)).withColumn("spread", F.when(F.count("*").over(near) == 10, F.stddev_samp("motion_magnitude").over(near))).filter("_own").drop("_i", "_block", "_own")
     up, down = (c("motion_magnitude") > threshold) & (c("prev") <= threshold), (c("motion_magnitude") <= threshold) & (c("prev") > threshold)
     out = m.filter(up | down).withColumn("motion_type", F.when(up, S.motion_state(c("motion_magnitude"), 5, 20)).otherwise("stationary"))
     return out.withColumn("confidence", F.when(up, S.motion_confidence(c("motion_magnitude"), c("spread"))).otherwise(0.9))

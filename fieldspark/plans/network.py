@@ -123,11 +123,16 @@ def integrated(t: DataFrame, span_ms: int) -> DataFrame:
 
     The timing velocity of a row in the window is its drift over the time since the window's start, 0 at the start; the first
     row's energy weighs the two velocities.  A window of one row is that row's own estimate.
+
+    Time is cut into blocks as long as the window: a row meets those of its own block and the next one, in a task of (cell,
+    block), and sums as it goes, so neither a cell nor a window is ever held as a whole.
     """
-    w = Window.partitionBy("pci").orderBy("timestamp_ms").rangeBetween(0, span_ms)
-    t = quality_of(t).withColumn("held", F.collect_list(F.struct("timestamp_ms", "drift")).over(w)).withColumn("samples", F.count("*").over(w)).withColumn("mean_cfo", F.avg("v_cfo").over(w)).withColumn("quality", F.avg("q").over(w))
-    since = lambda h: F.when(h["timestamp_ms"] > c("timestamp_ms"), h["drift"] / ((h["timestamp_ms"] - c("timestamp_ms")) / 1000.0)).otherwise(0.0)
-    t = t.withColumn("mean_timing", F.aggregate("held", F.lit(0.0), lambda s, h: s + since(h)) / c("samples"))
+    at = lambda ms: F.floor(c(ms) / span_ms)
+    t = quality_of(t)
+    later = t.select("pci", c("timestamp_ms").alias("_ms"), "drift", c("v_cfo").alias("_v"), c("q").alias("_q"), F.explode(F.array(at("timestamp_ms"), at("timestamp_ms") - 1)).alias("_b"))
+    pairs = t.withColumn("_b", at("timestamp_ms")).join(later.withColumnRenamed("drift", "_drift"), ["pci", "_b"]).filter((c("_ms") >= c("timestamp_ms")) & (c("_ms") <= c("timestamp_ms") + span_ms))
+    since = F.when(c("_ms") > c("timestamp_ms"), c("_drift") / ((c("_ms") - c("timestamp_ms")) / 1000.0)).otherwise(0.0)
+    t = pairs.groupBy("pci", "_b", "event_id").agg(F.first("timestamp_ms").alias("timestamp_ms"), F.first("es").alias("es"), F.count("*").alias("samples"), F.avg("_v").alias("mean_cfo"), F.avg("_q").alias("quality"), F.avg(since).alias("mean_timing"))
     weight = F.when(c("es") > 0.5, 0.7).otherwise(0.3)
     return t.withColumn("combined", weight * c("mean_cfo") + (1 - weight) * c("mean_timing"))
 
