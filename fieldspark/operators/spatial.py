@@ -60,3 +60,26 @@ def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, k:
             return found
         radius_m = min(radius_m * 4, span)
     raise ValueError("the map is too wide for the first radius")
+
+
+EARTH_KM = 6371.0
+
+
+def within_sphere(points: DataFrame, sites: DataFrame, km: float, point: tuple[str, str], site: tuple[str, str]) -> DataFrame:
+    """Pairs of points and sites (latitude, longitude columns) less than ``km`` apart on the sphere, anywhere on it.
+
+    Places become points in space and cells cubes as wide as the distance: a chord is no longer than its arc, so a partner lies
+    in one of the 27 cubes around.  Neither the turn at 180 degrees nor the poles are special.
+    """
+    from ..functions.score import haversine_km
+
+    def cube(lat: str, lon: str) -> list[Column]:
+        a, o = F.radians(lat), F.radians(lon)
+        return [F.floor(EARTH_KM * e / km) for e in (F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a))]
+
+    names = ["_cx", "_cy", "_cz"]
+    p = points.select("*", *[e.alias(n) for e, n in zip(cube(*point), names, strict=True)])
+    s = sites.select("*", *[e.alias(n) for e, n in zip(cube(*site), names, strict=True)])
+    for n in names:
+        s = s.withColumn(n, F.explode(F.sequence(F.col(n) - 1, F.col(n) + 1)))
+    return p.join(s, names).filter(haversine_km(*map(F.col, (*point, *site))) < km).drop(*names)

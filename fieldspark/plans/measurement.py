@@ -303,14 +303,18 @@ SELECT CAST(epoch_us(hour) // 1000 AS BIGINT) AS hour_ms, CAST(n AS BIGINT) AS n
 )
 def capacity_hours(spark, sf_dir):
     """AG18: hours far busier than the mean of all hours from first to last, empty ones included."""
-    t = view(spark, sf_dir, "fx_telemetry").groupBy(F.floor(c("timestamp_ms") / 3_600_000).alias("h")).agg(F.count("*").alias("n"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
+    return rounded(busy_hours(view(spark, sf_dir, "fx_telemetry")))
+
+
+def busy_hours(t: DataFrame) -> DataFrame:
+    t = t.groupBy(F.floor(c("timestamp_ms") / 3_600_000).alias("h")).agg(F.count("*").alias("n"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
     span = t.agg(F.min("h").alias("a"), F.max("h").alias("b"), F.sum("n").alias("s"), F.sum(c("n") * c("n")).alias("q"))
     hours = c("b") - c("a") + 1
     mean = c("s") / hours
     # Empty hours add nothing to the sums, only to their number.
     span = span.select(mean.alias("m"), F.sqrt((c("q") - c("s") * mean) / (hours - 1)).alias("sd"))
     out = t.crossJoin(F.broadcast(span)).filter(c("n") > c("m") + 2 * c("sd"))
-    return rounded(out.select((c("h") * 3_600_000).alias("hour_ms"), "n", "lat", "lon", F.when(c("n") > c("m") + 3 * c("sd"), "high").otherwise("medium").alias("severity")))
+    return out.select((c("h") * 3_600_000).alias("hour_ms"), "n", "lat", "lon", F.when(c("n") > c("m") + 3 * c("sd"), "high").otherwise("medium").alias("severity"))
 
 
 @query(f"WITH {MATCH_SQL} SELECT CAST(extract('hour' FROM gps_time) AS INT) AS hour, count(*) AS n, {r(mean_q='avg(overall_q)')} FROM m GROUP BY 1", "fx_gps", "fx_telemetry")

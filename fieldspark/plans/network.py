@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import score as S
 from ..operators.lineage import cut
+from ..operators.spatial import within_sphere
 from ..sources.views import telemetry, view, with_views
-from .measurement import EVENTS_SQL, HAVERSINE, LOCATION_SQL, MATCH_SQL, TOP_SQL, best_positions, location_scores, matched, motion_events, r, rounded
+from .measurement import EVENTS_SQL, HAVERSINE, LOCATION_SQL, MATCH_SQL, TOP_SQL, best_positions, busy_hours, location_scores, matched, motion_events, r, rounded
 
 Q, SQL = {}, {}
 c = F.col
@@ -77,35 +78,115 @@ def uneven_places(spark, sf_dir):
     return rounded(uneven_rows(telemetry(spark, sf_dir)).select("event_id", "pci", "latitude", "longitude", "variance"))
 
 
+CELL, STEPS = 1e-4, 5
+APART = "round((pow({a}.la - {b}.la, 2) + pow({a}.lo - {b}.lo, 2)) * 100000000, 6)"
+
+
+def apart(la, lo, kla, klo):
+    """Squared distance, to a millionth of a cell: nearer than that is equal."""
+    return F.round((F.pow(la - kla, 2) + F.pow(lo - klo, 2)) * 1e8, 6)
+
+
 def clustered(rows: DataFrame, severe: int, k: int = 3) -> DataFrame:
-    """Centres of at most k clusters of places; high severity above a number of rows.  Fewer rows than three have none."""
-    points = VectorAssembler(inputCols=["latitude", "longitude"], outputCol="features").transform(rows)
-    if len(points.select("features").distinct().take(k)) < k:
+    """Centres of at most k clusters of places; high severity above a number of rows.  Fewer rows than k have none.
+
+    Rows are first counted by cells of 1e-4 degrees.  The first centre is the fullest cell (ties to the south, then the west), each
+    other one the cell farthest from the centres so far; then a fixed number of rounds deals cells to the nearest centre (ties
+    to the first) and moves centres to the mean of their rows.  Only centres travel; the same rows give the same clusters.
+    """
+    cells = rows.groupBy(F.rint(c("latitude") / CELL).alias("gy"), F.rint(c("longitude") / CELL).alias("gx")).agg(F.count("*").alias("n"), F.avg("latitude").alias("la"), F.avg("longitude").alias("lo"))
+    cells = cut(cells)
+    if (cells.agg(F.sum("n")).first()[0] or 0) < k:
         return rows.sparkSession.createDataFrame([], "cluster int, latitude double, longitude double, n long, severity string")
-    model = KMeans(k=k, seed=42).fit(points)
-    out = model.transform(points).groupBy(c("prediction").alias("cluster")).agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.count("*").alias("n"))
-    return out.withColumn("severity", F.when(c("n") > severe, "high").otherwise("medium"))
+    first = cells.agg(F.max_by(F.struct("la", "lo"), F.struct("n", -c("gy"), -c("gx"))).alias("p")).select(F.array("p").alias("ks"))
+    for _ in range(k - 1):
+        far = F.array_min(F.transform("ks", lambda p: apart(c("la"), c("lo"), p["la"], p["lo"])))
+        more = cells.crossJoin(F.broadcast(first)).withColumn("far", far).agg(F.first("ks").alias("ks"), F.max_by(F.when(c("far") > 0, F.struct("la", "lo")), F.struct("far", -c("gy"), -c("gx"))).alias("p"))
+        first = more.select(F.when(c("p").isNull(), c("ks")).otherwise(F.concat("ks", F.array("p"))).alias("ks"))
+    centres = first.select(F.posexplode("ks").alias("cluster", "p")).select("cluster", "p.la", "p.lo")
+    for _ in range(STEPS):  # each round reads the cells once, against k rows
+        ks = centres.agg(F.collect_list(F.struct("cluster", "la", "lo")).alias("ks"))
+        near = F.array_min(F.transform("ks", lambda p: F.struct(apart(c("la"), c("lo"), p["la"], p["lo"]).alias("d"), p["cluster"].alias("cluster")))).getField("cluster")
+        dealt = cells.crossJoin(F.broadcast(ks)).select(near.alias("cluster"), "n", "la", "lo")
+        centres = dealt.groupBy("cluster").agg((F.sum(c("la") * c("n")) / F.sum("n")).alias("la"), (F.sum(c("lo") * c("n")) / F.sum("n")).alias("lo"), F.sum("n").alias("n"))
+    return centres.select("cluster", c("la").alias("latitude"), c("lo").alias("longitude"), "n", F.when(c("n") > severe, "high").otherwise("medium").alias("severity"))
 
 
-@query()
+def _clusters_sql(source: str, name: str, severe: int) -> str:
+    """The same rounds as common table expressions; ``name`` is the last one's and the others' prefix."""
+    p = name
+    out = f"""{p}_g AS (SELECT round_even(latitude / {CELL}::DOUBLE, 0) AS gy, round_even(longitude / {CELL}::DOUBLE, 0) AS gx, count(*) AS n, avg(latitude) AS la, avg(longitude) AS lo FROM {source} GROUP BY 1, 2),
+{p}_a AS (SELECT la, lo FROM {p}_g ORDER BY n DESC, gy, gx LIMIT 1), {p}_b AS (SELECT g.la, g.lo FROM {p}_g g, {p}_a a WHERE {APART.format(a='g', b='a')} > 0 ORDER BY {APART.format(a='g', b='a')} DESC, gy, gx LIMIT 1),
+{p}_c AS (SELECT g.la, g.lo FROM {p}_g g, {p}_a a, {p}_b b WHERE least({APART.format(a='g', b='a')}, {APART.format(a='g', b='b')}) > 0 ORDER BY least({APART.format(a='g', b='a')}, {APART.format(a='g', b='b')}) DESC, gy, gx LIMIT 1),
+{p}_k0 AS (SELECT 0 AS cluster, la, lo FROM {p}_a UNION ALL SELECT 1, la, lo FROM {p}_b UNION ALL SELECT 2, la, lo FROM {p}_c)"""
+    for i in range(STEPS):
+        out += f""", {p}_d{i} AS (SELECT gy, gx, any_value(g.n) AS n, any_value(g.la) AS la, any_value(g.lo) AS lo, min_by(k.cluster, ({APART.format(a='g', b='k')}, k.cluster)) AS cluster FROM {p}_g g, {p}_k{i} k GROUP BY gy, gx),
+{p}_k{i + 1} AS (SELECT cluster, sum(la * n) / sum(n) AS la, sum(lo * n) / sum(n) AS lo, CAST(sum(n) AS BIGINT) AS n FROM {p}_d{i} GROUP BY cluster)"""
+    return out + f""", {p} AS (SELECT CAST(cluster AS INT) AS cluster, la AS latitude, lo AS longitude, n, CASE WHEN n > {severe} THEN 'high' ELSE 'medium' END AS severity FROM {p}_k{STEPS} WHERE (SELECT sum(n) FROM {p}_g) >= 3)"""
+
+
+WEAK_DB = -80.0  # the fixture's levels are rarely below -90
+GAPS_SQL = f"gr AS (SELECT latitude, longitude FROM l WHERE list_sum(ok) / len(ok) < {WEAK_DB}), " + _clusters_sql("gr", "gaps", 10)
+AREAS_SQL = "ar AS (SELECT latitude, longitude FROM l WHERE list_var_pop(ok) > 100), " + _clusters_sql("ar", "areas", 5)
+
+
+def gaps_of(t: DataFrame, below_db: float = -90.0) -> DataFrame:
+    return clustered(weak_rows(t, below_db).select("latitude", "longitude"), 10)
+
+
+def areas_of(t: DataFrame) -> DataFrame:
+    return clustered(uneven_rows(t).select("latitude", "longitude"), 5)
+
+
+@query(f"WITH {ROWS_SQL}, {GAPS_SQL.replace(str(WEAK_DB), '-90.0')} SELECT cluster, {r('latitude', 'longitude')}, n, severity FROM gaps", "fx_telemetry")
 def coverage_gaps(spark, sf_dir):
-    """AG16: clusters of rows of low mean level."""
-    return clustered(weak_rows(telemetry(spark, sf_dir)).select("latitude", "longitude"), 10)
+    """AG16: clusters of rows of mean level below -90 dB."""
+    return rounded(gaps_of(telemetry(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {ROWS_SQL}, {GAPS_SQL} SELECT cluster, {r('latitude', 'longitude')}, n, severity FROM gaps", "fx_telemetry")
+def weak_areas(spark, sf_dir):
+    """AG16: clusters of the rows below another bar, of which there are many."""
+    return rounded(gaps_of(telemetry(spark, sf_dir), WEAK_DB))
+
+
+@query(f"WITH {ROWS_SQL}, {AREAS_SQL} SELECT cluster, {r('latitude', 'longitude')}, n, severity FROM areas", "fx_telemetry")
 def interference_areas(spark, sf_dir):
     """AG17: clusters of rows whose levels vary by more than 100 (population variance)."""
-    return clustered(uneven_rows(telemetry(spark, sf_dir)).select("latitude", "longitude"), 5)
+    return rounded(areas_of(telemetry(spark, sf_dir)))
 
 
-@query()
+REPORT_TEXTS = {
+    "coverage gap": "plan one more site for each of the %d places where levels are weak",
+    "interference": "levels vary widely in %d places: review tilt and azimuth of the antennas there",
+    "capacity": "%d hours were far busier than most: add capacity",
+    "none": "none of the three rules has found anything",
+}
+
+
+@query(
+    f"""WITH {ROWS_SQL}, {GAPS_SQL}, {AREAS_SQL}, hour AS (SELECT date_trunc('hour', timestamp) AS h, count(*) AS n FROM fx_telemetry GROUP BY 1), st AS (SELECT min(h) AS h0, max(h) AS h1, sum(n) AS total, sum(n * n) AS squares FROM hour),
+ms AS (SELECT total / k AS mean, sqrt((squares - total * total / k) / (k - 1)) AS sd FROM (SELECT *, date_diff('hour', h0, h1) + 1 AS k FROM st)),
+f AS (SELECT 'coverage gap' AS kind, severity FROM gaps UNION ALL SELECT 'interference', severity FROM areas UNION ALL SELECT 'capacity', CASE WHEN n > mean + 3 * sd THEN 'high' ELSE 'medium' END FROM hour, ms WHERE n > mean + 2 * sd),
+g AS (SELECT kind, count(*) FILTER (severity = 'high') AS n_high, count(*) FILTER (severity = 'medium') AS n_medium FROM f GROUP BY kind UNION ALL SELECT 'none', 0, 0 WHERE NOT EXISTS (SELECT 1 FROM f))
+SELECT kind, n_high, n_medium, CASE kind {' '.join(f"WHEN '{k}' THEN printf('{t}', n_high + n_medium)" if '%d' in t else f"WHEN '{k}' THEN '{t}'" for k, t in REPORT_TEXTS.items())} END AS message FROM g""",
+    "fx_telemetry",
+)
 def network_report(spark, sf_dir):
-    """AG36, AG41: gaps, interference and busy hours by severity."""
-    from .measurement import capacity_hours
+    """AG36, AG41, SC28: gaps, interference and busy hours by severity, each with its message; one row says so if there is nothing."""
+    t = telemetry(spark, sf_dir)
+    return report(gaps_of(t, WEAK_DB), areas_of(t), busy_hours(t))
+
 
-    parts = [coverage_gaps(spark, sf_dir).select(F.lit("coverage gap").alias("kind"), "severity"), interference_areas(spark, sf_dir).select(F.lit("interference").alias("kind"), "severity"), capacity_hours(spark, sf_dir).select(F.lit("capacity").alias("kind"), "severity")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind", "severity").count()
+def report(gaps: DataFrame, areas: DataFrame, hours: DataFrame) -> DataFrame:
+    found = [df.select(F.lit(kind).alias("kind"), "severity") for kind, df in (("coverage gap", gaps), ("interference", areas), ("capacity", hours))]
+    counted = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("kind").agg(F.count_if(c("severity") == "high").alias("n_high"), F.count_if(c("severity") == "medium").alias("n_medium"))
+    nothing = counted.agg(F.count("*").alias("k")).filter("k = 0").select(F.lit("none").alias("kind"), F.lit(0).cast("long").alias("n_high"), F.lit(0).cast("long").alias("n_medium"))
+    message = F.lit(REPORT_TEXTS["none"])
+    for kind, text in REPORT_TEXTS.items():
+        if "%d" in text:
+            message = F.when(c("kind") == kind, F.format_string(text, c("n_high") + c("n_medium"))).otherwise(message)
+    return counted.unionByName(nothing).withColumn("message", message)
 
 
 VQ = "least(1, greatest(0, (llr_energy + abs(greatest(level_0_db, level_1_db))) / 100)) * 0.5 + greatest(0, 1 - abs(freq_offset_hz) / 1000) * 0.3 + greatest(0, 1 - abs(current_timing_offset_us) / 100) * 0.2"
@@ -266,25 +347,22 @@ def detection_check(spark, sf_dir):
     return g.crossJoin(e).select("n_moving", "n_events", (~((c("n_moving") > 10) & (c("n_events") == 0))).alias("plausible"))
 
 
-# The messages of the replay's rules.
 REPLAY_RULES = (
-    ("excellent", "Consider collecting more high-quality measurements for better gNB estimation"),
-    ("poor", "High number of poor quality positions detected - check GPS accuracy and signal conditions"),
-    ("triangulation", "Low triangulation quality - consider collecting measurements from more diverse locations"),
-    ("confidence", "Low gNB position confidence - use more high-quality UE positions for estimation"),
-    ("match", "Low GPS-telemetry match rate - check time synchronization between devices"),
-    ("signal", "Weak signal strength detected - consider moving UE closer to gNB or improving antenna"),
+    ("excellent", "fewer than five positions are excellent: measure more of that kind"),
+    ("poor", "more than three in ten positions are poor: look into positioning and reception"),
+    ("triangulation", "the best positions lie badly for triangulation: spread them out"),
+    ("confidence", "the place of the transmitter is uncertain: better positions are needed"),
+    ("match", "under half of the positions have telemetry close in time: compare the clocks"),
+    ("signal", "levels are weak on average: move nearer or check the antenna"),
 )
 
-
-@query(
-    f"""WITH {TOP_SQL}, d AS (SELECT count(*) AS n, count(*) FILTER (overall_q >= 0.8) AS n_excellent, count(*) FILTER (overall_q < 0.4) AS n_poor, avg(best_db) AS level, 100.0 * count(*) / (SELECT count(*) FROM fx_gps) AS rate FROM m),
+REPLAY_SQL = f"""WITH {TOP_SQL}, d AS (SELECT count(*) AS n, count(*) FILTER (overall_q >= 0.8) AS n_excellent, count(*) FILTER (overall_q < 0.4) AS n_poor, avg(best_db) AS level, 100.0 * count(*) / (SELECT count(*) FROM fx_gps) AS rate FROM m),
 a AS (SELECT count(*) AS k, avg(overall_q) AS q, sqrt(pow((max(gps_lat) - min(gps_lat)) * 111000, 2) + pow((max(gps_lon) - min(gps_lon)) * 111000, 2)) AS spread FROM top),
 x AS (SELECT *, CASE WHEN k < 3 THEN 0 ELSE greatest(0, least(1, 0.3 * least(k / 10, 1) + 0.3 * greatest(0, least(1, 1 - abs(spread - 1000) / 1000)) + 0.3 * q + 0.1)) END AS tri, CASE WHEN k < 3 THEN 0 ELSE q * (1 - least(spread / 1000, 0.5)) END AS conf FROM d, a)
-SELECT unnest(list_filter([CASE WHEN n_excellent < 5 THEN 'excellent' END, CASE WHEN n_poor > n * 0.3 THEN 'poor' END, CASE WHEN tri < 0.6 THEN 'triangulation' END, CASE WHEN conf < 0.7 THEN 'confidence' END, CASE WHEN rate < 50 THEN 'match' END, CASE WHEN level < -80 THEN 'signal' END], lambda r: r IS NOT NULL)) AS rule FROM x""",
-    "fx_gps",
-    "fx_telemetry",
-)
+SELECT unnest(list_filter([CASE WHEN n_excellent < 5 THEN 'excellent' END, CASE WHEN n_poor > n * 0.3 THEN 'poor' END, CASE WHEN tri < 0.6 THEN 'triangulation' END, CASE WHEN conf < 0.7 THEN 'confidence' END, CASE WHEN rate < 50 THEN 'match' END, CASE WHEN level < -80 THEN 'signal' END], lambda r: r IS NOT NULL)) AS rule FROM x"""
+
+
+@query(REPLAY_SQL, "fx_gps", "fx_telemetry")
 def replay_rules(spark, sf_dir):
     """SC27: the rules of a replay that apply; REPLAY_RULES has their messages."""
     return replay_messages(spark, sf_dir).select("rule")
@@ -303,44 +381,74 @@ def replay_messages(spark, sf_dir) -> DataFrame:
     return x.select(F.explode(F.filter(each, lambda e: e.isNotNull())).alias("e")).select("e.*")
 
 
+# type: priority, message, action
+ADVICE = {
+    "signal_quality": ("high", "the mean signal-to-noise ratio is only %.1f dB", "check the antenna and the way to the transmitter"),
+    "motion_detection": ("medium", "%d motion events: measurements at rest would serve better", "keep still while measuring"),
+    "coverage": ("medium", "%d areas have weak coverage", "measure in these areas"),
+    "replay_analysis": ("medium", "%s", "go through the replay and adapt how you measure"),
+    "velocity_accuracy": ("medium", "velocities are off by %.2f m/s on average", "calibrate the equipment anew"),
+}
+
+
+def _advice_sql(kind: str, source: str) -> str:
+    priority, text, action = ADVICE[kind]
+    return f"SELECT '{kind}' AS type, '{priority}' AS priority, printf('{text}', v) AS message, '{action}' AS action FROM {source}"
+
+
 @query(
-    f"""WITH {EVENTS_SQL}, f AS (SELECT avg(list_sum(ok) / len(ok) - 7) AS snr FROM (SELECT list_filter([level_0_db, level_1_db], lambda v: v > -999) AS ok FROM fx_telemetry) WHERE len(ok) > 0), k AS (SELECT count(*) AS n FROM ev),
-wk AS (SELECT count(*) AS n FROM (SELECT list_filter([level_0_db, level_1_db], lambda v: v > -999) AS ok FROM fx_telemetry) WHERE list_sum(ok) / len(ok) < -90)
-SELECT unnest(list_filter([CASE WHEN f.snr < 10 THEN 'signal_quality' END, CASE WHEN k.n > 10 THEN 'motion_detection' END, CASE WHEN wk.n >= 3 THEN 'coverage' END], lambda r: r IS NOT NULL)) AS type FROM f, k, wk""",
+    f"""WITH snr AS (SELECT v FROM (SELECT avg(list_sum(ok) / len(ok) - 7) AS v FROM (SELECT list_filter([level_0_db, level_1_db], lambda x: x > -999) AS ok FROM fx_telemetry) WHERE len(ok) > 0) WHERE v < 10),
+mot AS (SELECT v FROM (SELECT CAST(count(*) AS INT) AS v FROM (WITH {EVENTS_SQL} SELECT * FROM ev)) WHERE v > 10),
+cov AS (SELECT v FROM (SELECT CAST(count(*) AS INT) AS v FROM (WITH {ROWS_SQL}, {GAPS_SQL} SELECT * FROM gaps)) WHERE v > 0),
+rep AS (SELECT CASE rule {' '.join(f"WHEN '{n}' THEN '{t}'" for n, t in REPLAY_RULES)} END AS v FROM ({REPLAY_SQL})),
+vel AS (SELECT v FROM (WITH {MATCH_SQL} SELECT avg(v_fused - speed) AS v FROM m WHERE speed > 0 AND 1 - dt_ms / 120000.0 > 0.5) WHERE abs(v) > 0.5)
+{" UNION ALL ".join(_advice_sql(k, s) for k, s in zip(ADVICE, ("snr", "mot", "cov", "rep", "vel"), strict=True))}""",
+    "fx_gps",
     "fx_telemetry",
 )
 def recommendations(spark, sf_dir):
-    """SC26, SC28: rules on the telemetry as a whole; three weak rows are enough for coverage gaps."""
+    """SC26: all rules on telemetry, motion, coverage, replay and velocities that apply, with priority, message and action."""
     t = telemetry(spark, sf_dir)
-    f = t.agg(F.avg(S.array_mean(S.valid_levels(c("channel_level_db"))) - 7).alias("snr"))
-    k, w = motion_events(t).agg(F.count("*").alias("events")), weak_rows(t).agg(F.count("*").alias("weak"))
-    x = f.crossJoin(k).crossJoin(w)
-    each = F.array(F.when(c("snr") < 10, F.lit("signal_quality")), F.when(c("events") > 10, F.lit("motion_detection")), F.when(c("weak") >= 3, F.lit("coverage")))
-    return x.select(F.explode(F.filter(each, lambda e: e.isNotNull())).alias("type"))
+    m = matched(spark, sf_dir).filter((c("speed") > 0) & (1 - c("dt_ms") / 120_000.0 > 0.5))
+    found = {
+        "signal_quality": t.agg(F.avg(S.array_mean(S.valid_levels(c("channel_level_db"))) - 7).alias("v")).filter("v < 10"),
+        "motion_detection": motion_events(t).agg(F.count("*").cast("int").alias("v")).filter("v > 10"),
+        "coverage": gaps_of(t, WEAK_DB).agg(F.count("*").cast("int").alias("v")).filter("v > 0"),
+        "replay_analysis": replay_messages(spark, sf_dir).select(c("message").alias("v")),
+        "velocity_accuracy": m.agg(F.avg(c("v_fused") - c("speed")).alias("v")).filter("abs(v) > 0.5"),
+    }
+    each = [df.select(F.lit(kind).alias("type"), F.lit(ADVICE[kind][0]).alias("priority"), F.format_string(ADVICE[kind][1], "v").alias("message"), F.lit(ADVICE[kind][2]).alias("action")) for kind, df in found.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _placements_sql(source: str) -> str:
+    return f"""WITH cv AS (SELECT pci, avg(latitude) AS la, avg(longitude) AS lo FROM {source} GROUP BY pci HAVING count(*) >= 5),
+ce AS (SELECT pci, avg(latitude) AS latitude, avg(longitude) AS longitude, count(*) AS n FROM {source} GROUP BY pci),
+b AS (SELECT pci, max_by(struct_pack(e := event_id, x := llr_energy, la := latitude, lo := longitude), (llr_energy, -timestamp_ms, -event_id)) AS best FROM {source} GROUP BY pci),
+j AS (SELECT ce.pci, min(cv.pci) AS area, count(*) AS n_areas FROM ce JOIN cv ON {HAVERSINE} < 1000 WHERE ce.n >= 3 GROUP BY ce.pci)
+SELECT pci, area, n_areas, best.e AS event_id, {r(lat='best.la', lon='best.lo', confidence='least(1, best.x / 1000 * 0.9)')} FROM j JOIN b USING (pci)"""
+
+
+def placed_near_areas(t: DataFrame) -> DataFrame:
+    """JN4, TOP3: per cell of three rows or more the row of most energy, with the first coverage area less than 1,000 km from the
+    cell's mean place, and how many there are.  Areas are those of cells of five rows or more."""
+    cells = t.groupBy("pci").agg(F.avg("latitude").alias("la"), F.avg("longitude").alias("lo"), F.count("*").alias("n"), F.max_by(F.struct("event_id", "llr_energy", "latitude", "longitude"), F.struct("llr_energy", -c("timestamp_ms"), -c("event_id"))).alias("best"))
+    areas = cells.filter("n >= 5").select(c("pci").alias("area"), c("la").alias("ala"), c("lo").alias("alo"))
+    j = within_sphere(cells.filter("n >= 3"), areas, 1000.0, ("la", "lo"), ("ala", "alo"))
+    out = j.groupBy("pci").agg(F.min("area").alias("area"), F.count("*").alias("n_areas"), F.first("best").alias("best"))
+    return rounded(out.select("pci", "area", "n_areas", "best.event_id", c("best.latitude").alias("lat"), c("best.longitude").alias("lon"), F.least(F.lit(1.0), c("best.llr_energy") / 1000 * 0.9).alias("confidence")))
 
 
-@query(
-    f"""WITH cv AS (SELECT pci, {r('latitude', 'longitude')} FROM (SELECT pci, avg(latitude) AS latitude, avg(longitude) AS longitude, count(*) AS n FROM fx_telemetry GROUP BY pci) WHERE n >= 5),
-ce AS (SELECT pci, avg(latitude) AS la, avg(longitude) AS lo, count(*) AS n FROM fx_telemetry GROUP BY pci),
-b AS (SELECT pci, max_by(struct_pack(e := event_id, x := llr_energy, la := latitude, lo := longitude), (llr_energy, -timestamp_ms, -event_id)) AS best FROM fx_telemetry GROUP BY pci),
-j AS (SELECT ce.pci, min(cv.pci) AS area FROM ce JOIN cv ON {HAVERSINE.replace('latitude', 'cv.latitude').replace('longitude', 'cv.longitude')} < 1000 WHERE ce.n >= 3 GROUP BY ce.pci)
-SELECT pci, area, best.e AS event_id, {r(lat='best.la', lon='best.lo', confidence='least(1, best.x / 1000 * 0.9)')} FROM j JOIN b USING (pci)""",
-    "fx_telemetry",
-)
+@query(_placements_sql("fx_telemetry"), "fx_telemetry")
 def placements(spark, sf_dir):
-    """JN4, TOP3: per cell of three rows or more the row of most energy, with the first coverage area less than 1,000 km from the cell's mean place.
+    """JN4, TOP3: placements in one town."""
+    return placed_near_areas(view(spark, sf_dir, "fx_telemetry"))
 
-    Areas (one a cell) are found through cells of ten degrees: an area looks into those around its own, as far as 1,000 km reach.
-    """
-    t = view(spark, sf_dir, "fx_telemetry")
-    cells = t.groupBy("pci").agg(F.avg("latitude").alias("la"), F.avg("longitude").alias("lo"), F.count("*").alias("n"), F.max_by(F.struct("event_id", "llr_energy", "latitude", "longitude"), F.struct("llr_energy", -c("timestamp_ms"), -c("event_id"))).alias("best"))
-    areas = cells.filter("n >= 5").select(c("pci").alias("area"), c("la").alias("ala"), c("lo").alias("alo"))
-    at = lambda x, d=0: F.floor(x / 10) + d
-    steps = lambda: F.explode(F.array(*map(F.lit, (-1, 0, 1))))
-    near = areas.withColumn("dy", steps()).withColumn("dx", steps()).select("area", "ala", "alo", (at(c("ala")) + c("dy")).alias("y"), (at(c("alo")) + c("dx")).alias("x"))
-    j = cells.filter("n >= 3").withColumn("y", at(c("la"))).withColumn("x", at(c("lo"))).join(near, ["y", "x"]).filter(S.haversine_km(c("la"), c("lo"), c("ala"), c("alo")) < 1000)
-    out = j.groupBy("pci").agg(F.min("area").alias("area"), F.first("best").alias("best"))
-    return rounded(out.select("pci", "area", "best.event_id", c("best.latitude").alias("lat"), c("best.longitude").alias("lon"), F.least(F.lit(1.0), c("best.llr_energy") / 1000 * 0.9).alias("confidence")))
+
+@query(_placements_sql("fx_roaming"), "fx_roaming")
+def roaming_placements(spark, sf_dir):
+    """JN4, TOP3: placements all over the earth, at the poles and around 180 degrees, too."""
+    return placed_near_areas(view(spark, sf_dir, "fx_roaming"))
 
 
 def cluster_placement(t: DataFrame, k: int = 3) -> DataFrame:

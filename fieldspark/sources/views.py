@@ -45,6 +45,10 @@ FROM part""",
   CAST(-121.5 AS DOUBLE) + (c_custkey % 77) * CAST(0.0005 AS DOUBLE) AS longitude,
   CAST(c_nationkey AS DOUBLE) AS z_ground_m, CAST(-40 AS DOUBLE) - ABS(c_acctbal) / 200 AS incident_power_dbm
 FROM customer""",
+    "fx_roaming": """SELECT event_id, {MS} AS timestamp_ms, CAST(user_id % 97 AS INT) AS pci, value AS llr_energy,
+  CAST(-88 + ((user_id % 97) * 37) % 177 AS DOUBLE) + value * CAST(0.001 AS DOUBLE) AS latitude,
+  CAST(-179.5 + ((user_id % 97) * 53) % 359 AS DOUBLE) + value * CAST(0.001 AS DOUBLE) AS longitude
+FROM events WHERE event_type <> 'view'""",
     "fx_illumination": """SELECT c_custkey AS target_id, CAST(60 AS DOUBLE) - (CAST(88 AS DOUBLE) + c_custkey % 37 + c_custkey % 13) AS incident_power_dbm
 FROM customer WHERE c_custkey % 5 <> 0""",
     "fx_returns": """SELECT c_custkey AS target_id, CAST(38.0 AS DOUBLE) + (c_custkey % 100) * CAST(0.0005 AS DOUBLE) AS latitude,
@@ -62,7 +66,7 @@ FROM part WHERE p_partkey % 97 <> 5""",
 }
 SPARK = {"{MS}": "(unix_micros(CAST(ts AS TIMESTAMP)) DIV 1000)", "{K}": "CAST(get_json_object(props, '$.k') AS INT)"}
 DUCKDB = {"{MS}": "(epoch_us(ts) // 1000)", "{K}": "CAST(json_extract_string(props, '$.k') AS INT)"}
-BASE = {"fx_telemetry": ["events"], "fx_gps": ["events"], "fx_sites": ["supplier"], "fx_sectors": ["supplier"], "fx_obstacles": ["part", "supplier"], "fx_targets": ["customer"], "fx_illumination": ["customer"], "fx_returns": ["customer"], "fx_members": ["part"]}
+BASE = {"fx_telemetry": ["events"], "fx_gps": ["events"], "fx_roaming": ["events"], "fx_sites": ["supplier"], "fx_sectors": ["supplier"], "fx_obstacles": ["part", "supplier"], "fx_targets": ["customer"], "fx_illumination": ["customer"], "fx_returns": ["customer"], "fx_members": ["part"]}
 
 
 def _filled(name: str, tokens: dict[str, str]) -> str:
