@@ -6,8 +6,12 @@ training documents.  The classifier is fitted on a bounded sample: at most
 ``per_language`` different training documents of each language, those of least hash
 of id and text, so that copies and rows of one id count once.  Weights follow the regularised leader (FTRL-proximal) with an elastic net: l1
 leaves most at exactly zero, l2 shrinks the rest.  A fifth of the sample is kept
-out of the fit and sets the temperature that divides the logits, and the bar: the
-score of the true language that all but ``BELOW`` of these documents reach.
+out of the fit.  Whole documents are too easy to calibrate on, so pieces of ``CUTS``
+characters of each, from a place drawn by a hash, stand beside it: together they set the
+temperature that divides the logits (the inverse of least log loss, which is convex in it).
+A bar is the score that all but ``BELOW`` of the pieces of one length reach (the longest
+together with the documents as they are), ``MOST_BAR`` at most; a text has the bar of the longest pieces that are no longer than itself, so a
+short clean text needn't be as sure as a long one (``clears``).
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter,
 and for every text when nothing could be learned.  Ties go to the first language
@@ -19,6 +23,7 @@ Other columns are not looked at; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +40,10 @@ BUCKETS = 1 << BITS
 ORDERS = (1, 2, 3)
 #: Documents and code points counted at a time, and the most languages that are told apart.
 AT_ONCE, SLICE, MOST_LANGUAGES = 32, 1 << 20, 500
-#: Share of the held-out sample that lies below the bar; a bar is that much above chance at least.
-BELOW, MARGIN = 0.002, 0.05
+#: Lengths of the held-out pieces; share of them that lies below their bar; how much a bar is above chance at least, and a bar's most.
+CUTS, BELOW, MARGIN, MOST_BAR = (20, 50, 200), 0.02, 0.05, 0.65
+#: Inverse temperatures that are looked at.
+STEEP = (0.05, 20.0)
 
 
 class Letters:
@@ -139,15 +146,32 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: i
     return weights(slice(None)).astype(np.float32)
 
 
-def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The divisor of least log loss on a grid."""
-    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 200))
-    loss = [-np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))]) if len(y) else 1.0
+def log_loss(logits: np.ndarray, y: np.ndarray) -> float:
+    top = logits.max(axis=1)
+    return float((top + np.log(np.exp(logits - top[:, None]).sum(axis=1)) - logits[np.arange(len(y)), y]).mean())
+
+
+def temperature(logits: np.ndarray, y: np.ndarray, steps: int = 80) -> float:
+    """The divisor of least log loss, by golden sections of its inverse, in which the loss is convex; 1 where nothing is better."""
+    if not len(y):
+        return 1.0
+    lo, hi, golden = *STEEP, (5**0.5 - 1) / 2
+    for _ in range(steps):
+        a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
+        lo, hi = (lo, b) if log_loss(logits * a, y) <= log_loss(logits * b, y) else (a, hi)
+    best = (lo + hi) / 2
+    return 1.0 if log_loss(logits, y) <= log_loss(logits * best, y) else float(1 / best)
+
+
+def reliability(guessed: DataFrame, truth: Column, bins: int = 10) -> DataFrame:
+    """Per tenth of the score: documents, mean score and share of right ones; ``guess`` is a column of identified()."""
+    score = F.col("guess.score")
+    at = F.least(F.floor(score * bins), F.lit(bins - 1)).cast("int")
+    return guessed.filter(truth.isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg((F.col("guess.lang") == truth).cast("double")).alias("right"))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 500) -> dict | None:
-    """The model of some labelled documents: languages, table (bucket by language), bias, temperature and bar."""
+    """The model of some labelled documents: languages, table (bucket by language), bias, temperature, bars by length (bar: of long texts) and the held-out log loss."""
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     drawn_by = F.xxhash64(F.col(doc_id), F.col(text), F.lit("sample"))
     by_language = sorted(labelled.groupBy(F.col(lang).alias("lang")).agg(F.approx_count_distinct(drawn_by).alias("n")).limit(MOST_LANGUAGES + 1).collect())
@@ -180,29 +204,49 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()
         for b in batches:
-            rows = [counts([t], letters) for t in b.column(0).to_pylist()]
-            x = [unit(c[0] * idf) for c, _ in rows]
-            at = [np.flatnonzero(v) for v in x]
-            yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([v[a].tobytes() for v, a in zip(x, at, strict=True)], pa.binary()), b.column(1), b.column(2)], names=["at", "x", "l", "h"])
+            rows = []
+            for t, l, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                texts = [(0, t)]
+                if h == 0:
+                    at = zlib.crc32(t.encode(errors="replace"))
+                    texts += [(n, t[(lo := at % (len(t) - n + 1)) : lo + n]) for n in CUTS if len(t) > n]
+                for size, x in texts:
+                    found, some = counts([x], letters)
+                    if some[0] or not size:  # a piece without letters says nothing
+                        v = unit(found[0] * idf)
+                        held = np.flatnonzero(v)
+                        rows.append((held.astype(np.int32).tobytes(), v[held].tobytes(), l, h, size))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["at", "x", "l", "h", "size"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], []
         for b in batches:
             for r in b.to_pylist():
-                (held if r["h"] == 0 else rows).append((np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32), names.index(r["l"])))
+                x = (np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32), names.index(r["l"]))
+                if r["h"]:
+                    rows.append(x)
+                else:
+                    held.append((*x, r["size"]))
         rows.sort(key=lambda r: (r[2], r[0].tobytes()))
+        held.sort(key=lambda r: (r[2], r[3], r[0].tobytes()))
         w = ftrl(rows, len(names))
-        held = held or rows
-        logits = np.array([x @ w[at] + w[-1] for at, x, _ in held]).reshape(len(held), len(names))
-        y = np.array([y for _, _, y in held], int)
+        held = held or [(*r, 0) for r in rows]
+        logits = np.array([x @ w[at] + w[-1] for at, x, *_ in held], float).reshape(len(held), len(names))
+        y, size = np.array([r[2] for r in held], int), np.array([r[3] for r in held], int)
         t = temperature(logits, y)
-        reached = softmax(logits / t)[np.arange(len(y)), y]
-        bar = max(1 / len(names) + MARGIN, float(np.quantile(reached, BELOW, method="lower"))) if len(names) > 1 else 0.0
-        yield pa.RecordBatch.from_pydict({"w": [w.tobytes()], "t": [t], "bar": [bar]})
-
-    fitted = sample.mapInArrow(sparse, "at binary, x binary, l string, h long").repartition(1).mapInArrow(fit, "w binary, t double, bar double").first()
+        reached = softmax(logits / t).max(axis=1)
+        bars, least = [], min(MOST_BAR, 1 / len(names) + MARGIN) if len(names) > 1 else 0.0
+        for cut in CUTS:  # a longer text's bar is no lower
+            own = reached[(size == cut) | ((size == 0) & (cut == CUTS[-1]))]
+            if len(names) > 1 and len(own):
+                least = max(least, min(MOST_BAR, float(np.quantile(own, BELOW, method="lower"))))
+            bars.append(least)
+        yield pa.RecordBatch.from_pydict({"w": [w.tobytes()], "t": [t], "bars": [bars], "loss": [log_loss(logits / t, y)]})
+
+    fitted = sample.mapInArrow(sparse, "at binary, x binary, l string, h long, size long").repartition(1).mapInArrow(fit, "w binary, t double, bars array<double>, loss double").first()
     w = np.frombuffer(fitted["w"], np.float32).reshape(-1, len(names))
-    return {"names": names, "idf": idf, "table": w[:-1], "bias": w[-1], "temperature": fitted["t"], "bar": fitted["bar"]}
+    return {"names": names, "idf": idf, "table": w[:-1], "bias": w[-1], "temperature": fitted["t"], "bar": fitted["bars"][-1], "bars": list(fitted["bars"]), "log_loss": fitted["loss"]}
 
 
 def identified(df: DataFrame, model: dict | None, text: str = "text") -> Column:
@@ -226,6 +270,14 @@ def identified(df: DataFrame, model: dict | None, text: str = "text") -> Column:
     return guess(F.col(text))
 
 
+def clears(text: Column, guess: Column, model: dict) -> Column:
+    """Whether a guess names a language and reaches the bar of texts of that length."""
+    bar = F.lit(model["bars"][0])
+    for cut, own in zip(CUTS[1:], model["bars"][1:], strict=True):
+        bar = F.when(F.length(text) >= cut, own).otherwise(bar)
+    return (guess["lang"] != "und") & (guess["score"] >= bar)
+
+
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(docs.filter(remainder("doc_id", 4) != 2))

@@ -698,3 +698,58 @@ def test_texts_of_one_id_are_told_apart_by_64_bits(spark):
     assert {t for n, t in spark.createDataFrame([(1, "a")], DOCS).select(*substrings.own("doc_id", "text")).dtypes} == {"bigint"}
     keys = spark.range(60_000).selectExpr("CAST(1 AS LONG) AS doc_id", "CAST(id AS STRING) AS text").select(*substrings.own("doc_id", "text"))
     assert keys.select("_key").distinct().count() == 60_000 and keys.filter("_key > 4294967295 OR _key < 0").count() > 0
+
+
+def textbook_ftrl(rows, classes, epochs, alpha, beta, l1, l2):
+    """Per-coordinate FTRL-proximal with plain dictionaries, written from its published form."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key):
+        if abs(z[key]) <= l1:
+            return 0.0
+        return -(z[key] - math.copysign(l1, z[key])) / ((beta + math.sqrt(n[key])) / alpha + l2)
+
+    for epoch in range(epochs):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            at, x, y = rows[i]
+            features = [*zip(at.tolist(), x.tolist(), strict=True), (language.BUCKETS, 1.0)]
+            scores = [sum(v * weight((f, k)) for f, v in features) for k in range(classes)]
+            top = max(scores)
+            odds = [math.exp(s - top) for s in scores]
+            for k in range(classes):
+                error = odds[k] / sum(odds) - (k == y)
+                old = {f: weight((f, k)) for f, _ in features}
+                for f, v in features:
+                    g = error * v
+                    z[f, k] += g - (math.sqrt(n[f, k] + g * g) - math.sqrt(n[f, k])) / alpha * old[f]
+                    n[f, k] += g * g
+    return {key: weight(key) for key in list(z)}
+
+
+def test_ftrl_equals_its_published_form():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(60, 6, replace=False)).astype(np.int32), rng.random(6).astype(np.float32), int(rng.integers(3))) for _ in range(50)]
+    got = language.ftrl(rows, 3, epochs=2)
+    for (f, k), w in textbook_ftrl(rows, 3, 2, 2.0, 1.0, 0.02, 1e-4).items():
+        assert abs(got[f, k] - w) < 1e-5
+
+
+def test_temperature_is_the_least_log_loss_and_scores_are_calibrated(spark, docs):
+    rng = np.random.default_rng(8)
+    logits = rng.normal(size=(4000, 4)) * 3
+    p = language.softmax(logits / 2.5)
+    y = np.array([rng.choice(4, p=q) for q in p])
+    t = language.temperature(logits, y)
+    assert 2.2 < t < 2.8
+    grid = np.linspace(0.5, 6, 200)
+    assert language.log_loss(logits / t, y) <= min(language.log_loss(logits / g, y) for g in grid) + 1e-9
+    assert language.temperature(logits[:0], y[:0]) == 1.0
+    data = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 3000")
+    model = language.train(data.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    assert 1 / language.STEEP[1] * 1.01 < model["temperature"] < 1 / language.STEEP[0] * 0.99 and model["bar"] < 0.99
+    short = data.filter(F.crc32(F.col("doc_id").cast("string")) % 4 == 2).withColumn("text", F.expr("substring(text, 1 + pmod(hash(doc_id), greatest(1, length(text) - 25)), 25)"))
+    bins = language.reliability(short.select("lang", language.identified(short, model).alias("guess")), F.col("lang")).collect()
+    assert len(bins) > 3 and all(abs(r["right"] - r["mean_score"]) < 0.15 for r in bins if r["n"] >= 40)
+    kept = data.filter("lang IS NOT NULL").select("text", language.identified(data, model).alias("guess"))
+    assert kept.filter(~language.clears(F.col("text"), F.col("guess"), model)).count() <= 0.002 * kept.count()
+    assert list(model["bars"]) == sorted(model["bars"]) and model["bar"] == model["bars"][-1] <= language.MOST_BAR
