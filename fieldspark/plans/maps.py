@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..operators.labels import PRIORITY, point_along, ranked_labels
 from ..operators.rings import stitched
 from ..operators.spatial import within
+from ..operators.wavefront import filled
 from ..sources.views import view, with_views
 from .field import DIST, LATTICE_SQL, PLACED_SQL, RX_M, lattice, placed
 from .measurement import r, rounded
@@ -258,22 +259,29 @@ def bearing_reach(spark, sf_dir):
     return rounded(t.groupBy(b.alias("bearing_bin")).agg(F.max(F.sqrt(c("px") * c("px") + c("py") * c("py"))).alias("reach_m")))
 
 
-@query(
-    f"""WITH {PLACED_SQL}, g AS (SELECT CAST(floor(px / 150) AS INT) AS i, CAST(floor(py / 150) AS INT) AS j, avg(incident_power_dbm) AS v FROM tp GROUP BY 1, 2), e AS (SELECT i, j FROM (SELECT unnest(range(0, 16)) AS i), (SELECT unnest(range(0, 16)) AS j)),
-n AS (SELECT e.i, e.j, v, sqrt(pow(e.i - g.i, 2) + pow(e.j - g.j, 2)) AS d, row_number() OVER (PARTITION BY e.i, e.j ORDER BY round(sqrt(pow(e.i - g.i, 2) + pow(e.j - g.j, 2)), 6), g.i * 1000 + g.j) AS n FROM e, g)
-SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, {r('v', 'd')} FROM n WHERE n = 1""",
-    "fx_targets",
-    "fx_sites",
-)
-def filled_raster(spark, sf_dir):
-    """AG27: cells without a target take the value of the nearest filled one (by distance between centres, then by place), not of a wave front."""
-    from ..operators.spatial import nearest
+WAVES = 48
+
+
+def _wave_sql() -> str:
+    """Every step as a table of its own; the mask leaves cells out, through which no value passes."""
+    out = f"""g AS (SELECT half, i, j, avg(v) AS v FROM (SELECT target_id % 2 AS half, CAST(floor(py / 60) AS INT) AS i, CAST(floor(px / 60) AS INT) AS j, incident_power_dbm AS v FROM tp) GROUP BY half, i, j),
+w0 AS MATERIALIZED (SELECT half, i, j, v FROM (SELECT * FROM (SELECT unnest(range(0, 2)) AS half), (SELECT unnest(range(0, 72)) AS i), (SELECT unnest(range(0, 72)) AS j)) LEFT JOIN g USING (half, i, j) WHERE (i * 7 + j * 5 + half) % 11 <> 0 AND i <> 40)"""
+    side = lambda k, n, di, dj: f"LEFT JOIN w{k} {n} ON c.half = {n}.half AND {n}.i = c.i + ({di}) AND {n}.j = c.j + ({dj})"
+    for k in range(WAVES):
+        out += f""", w{k + 1} AS MATERIALIZED (SELECT c.half, c.i, c.j, coalesce(c.v, e.v, w.v, s.v, n.v) AS v FROM w{k} c {side(k, 'n', -1, 0)} {side(k, 's', 1, 0)} {side(k, 'w', 0, -1)} {side(k, 'e', 0, 1)})"""
+    return out
 
+
+@query(f"WITH {PLACED_SQL}, {_wave_sql()} SELECT half, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, {r(v='coalesce(v, avg(v) OVER (PARTITION BY half))')} FROM w{WAVES}", "fx_targets", "fx_sites")
+def filled_raster(spark, sf_dir):
+    """AG27, AG25: two rasters under a mask whose empty cells are filled by wave fronts; a wall that nothing passes."""
     t, _ = placed(spark, sf_dir)
-    at = lambda p: F.floor(c(p) / 150).cast("int")
-    g = t.groupBy(at("px").alias("gi"), at("py").alias("gj")).agg(F.avg("incident_power_dbm").alias("v")).select((c("gi") * 1000 + c("gj")).alias("cell"), c("gi").cast("double").alias("sx"), c("gj").cast("double").alias("sy"), "v")
-    e = spark.range(256).select("id", (c("id") / 16).cast("int").alias("i"), (c("id") % 16).cast("int").alias("j")).withColumns({"px": c("i").cast("double"), "py": c("j").cast("double")})
-    return rounded(nearest(e, g, "id", "cell", radius_m=2.0).select("i", "j", "v", c("d_m").alias("d")))
+    at = lambda p: F.floor(c(p) / 60).cast("int")
+    g = t.groupBy((c("target_id") % 2).alias("half"), at("py").alias("i"), at("px").alias("j")).agg(F.avg("incident_power_dbm").alias("v"))
+    cell = c("id") % (72 * 72)
+    e = spark.range(2 * 72 * 72).select(F.floor(c("id") / (72 * 72)).alias("half"), F.floor(cell / 72).cast("int").alias("i"), (cell % 72).cast("int").alias("j"))
+    there = ((c("i") * 7 + c("j") * 5 + c("half")) % 11 != 0) & (c("i") != 40)
+    return rounded(filled(e.filter(there).join(g, ["half", "i", "j"], "left"), ["half"]))
 
 
 @query(

@@ -148,3 +148,42 @@ def test_clusters_are_the_same_however_rows_lie(spark):
     assert clustered(spark.createDataFrame([(1.0, 2.0)] * 4, "latitude double, longitude double"), 3).collect()[0]["n"] == 4
     none = spark.createDataFrame([], "severity string")
     assert [(r["kind"], r["n_high"]) for r in report(none, none, none).collect()] == [("none", 0)]
+
+
+@pytest.mark.parametrize(("tile", "border"), [(4, 2), (16, 4), (64, 16)])
+def test_wave_fronts_over_tiles_equal_whole_rasters(spark, tile, border):
+    import numpy as np
+
+    from fieldspark.operators.wavefront import filled
+
+    rng = np.random.default_rng(tile)
+    rasters = {}
+    for k in range(2):
+        v, there = np.full((23, 31), np.nan), rng.random((23, 31)) > 0.15
+        there[:, 15] = False  # a wall
+        for _ in range(3):
+            v[rng.integers(23), rng.integers(15)] = rng.integers(100)
+        v[3, 3] = np.inf
+        there[3, 3] = True
+        rasters[k] = np.where(there, v, np.nan), there
+
+    def whole(v, there, most):
+        for _ in range(most):
+            new = v.copy()
+            for i, j in zip(*np.nonzero(np.isnan(v) & there), strict=True):
+                for di, dj in ((-1, 0), (1, 0), (0, -1), (0, 1)):
+                    y, x = i + di, j + dj
+                    if 0 <= y < 23 and 0 <= x < 31 and there[y, x] and np.isfinite(v[y, x]):
+                        new[i, j] = v[y, x]
+            v = new
+        return np.where(np.isnan(v) & there, np.mean(v[np.isfinite(v) & there]), v)
+
+    rows = [(k, int(i) - 5, int(j) - 7, None if np.isnan(v[i, j]) else float(v[i, j])) for k, (v, there) in rasters.items() for i, j in zip(*np.nonzero(there), strict=True)]
+    df = spark.createDataFrame(rows, "k int, i int, j int, v double")
+    for most in (256, 8):
+        want = {k: whole(v, there, most) for k, (v, there) in rasters.items()}
+        got = filled(df, ["k"], tile=tile, border=border, most_steps=most).collect()
+        assert len(got) == len(rows)
+        assert all(math.isclose(r["v"], want[r["k"]][r["i"] + 5, r["j"] + 7]) for r in got)
+    assert filled(df.limit(0), ["k"]).count() == 0
+    assert {r["v"] for r in filled(df.filter("v IS NULL").limit(5), ["k"]).collect()} == {None}
