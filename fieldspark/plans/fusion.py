@@ -59,7 +59,7 @@ def sample_states(spark, sf_dir):
 def states(samples_: DataFrame, obstacles: DataFrame, sites: DataFrame, mhz: float = MHZ) -> DataFrame:
     """A sample inside an obstacle has its penetration and no shadow; behind obstacles those that linger."""
     held = obstacles.withColumn("_loss", penetration_db(c("material"), F.lit(mhz), less=0.5))
-    x = swept(samples_, held, ["site_id", "bearing_bin"], "obstacle_id", penetration=c("_loss"), losses={"_shadow": SHADOW, "_diffraction": DIFFRACTION}, recovery_db=RECOVERY_DB)
+    x = swept(samples_, held, ["site_id", "bearing_bin"], "obstacle_id", penetration=c("_loss"), losses={"_shadow": SHADOW, "_diffraction": DIFFRACTION}, recovery_db=RECOVERY_DB, tell=("material",))
     inside = c("penetration_db") > 1e-9  # sums of what came and went
     x = x.withColumn("is_los", ~inside).withColumn("shadow_db", F.when(inside, 0.0).otherwise(c("_shadow"))).withColumn("diffraction_db", F.when(inside, 0.0).otherwise(c("_diffraction")))
     x = x.withColumn("open_gap_m", F.when(~inside & c("last_exit_m").isNotNull(), F.greatest(F.lit(0.0), c("distance_m") - c("last_exit_m"))).otherwise(0.0))
@@ -82,11 +82,42 @@ z AS (SELECT *, 43 - 10 * log10(12 * 273) + 17 - scenario - extra - CASE WHEN of
 )
 def obstructed_coverage(spark, sf_dir):
     """JOB3: the serving sector and its power at every sample, with the losses of the obstacles on the way."""
+    best = coverage_states(spark, sf_dir).groupBy("site_id", "bearing_bin", "distance_m").agg(F.max_by(F.struct("sector_no", "p", "is_los"), F.struct(F.round("p", 6), -c("sector_no"))).alias("b"))
+    return rounded(best.select("site_id", "bearing_bin", "distance_m", "b.sector_no", c("b.p").alias("rsrp_dbm"), "b.is_los"))
+
+
+def coverage_states(spark, sf_dir) -> DataFrame:
+    """Sample states with the power (p) of each sector of the site."""
     x = states(samples(spark, sf_dir), view(spark, sf_dir, "fx_obstacles"), view(spark, sf_dir, "fx_sites")).join(view(spark, sf_dir, "fx_sectors"), "site_id")
     lost = R.horizontal_loss_db(c("bearing_bin") * 5.0, c("azimuth_deg"), c("beamwidth_h_deg")) + R.vertical_loss_db(c("distance_m"), c("tx_height_m"), RX_M, c("beamwidth_v_deg"))
-    x = x.withColumn("p", R.reference_eirp_dbm(F.lit(TX_DBM), c("tx_antenna_gain_dbi")) - c("path_loss_db") - c("extra_loss_db") - lost)
-    best = x.groupBy("site_id", "bearing_bin", "distance_m").agg(F.max_by(F.struct("sector_no", "p", "is_los"), F.struct(F.round("p", 6), -c("sector_no"))).alias("b"))
-    return rounded(best.select("site_id", "bearing_bin", "distance_m", "b.sector_no", c("b.p").alias("rsrp_dbm"), "b.is_los"))
+    return x.withColumn("p", R.reference_eirp_dbm(F.lit(TX_DBM), c("tx_antenna_gain_dbi")) - c("path_loss_db") - c("extra_loss_db") - lost)
+
+
+MODES = "CASE WHEN pen > 0 THEN 'inside' WHEN extra > 0 THEN 'shadowed' ELSE 'open' END"
+
+
+@query(
+    f"""WITH {OBSTRUCTED_SQL}, o AS (SELECT site_id, bearing_bin, distance_m, max(p) AS p FROM z GROUP BY 1, 2, 3),
+a AS (SELECT w.*, o.p - (-174 + 10 * log10(100000000) + 7) AS snr, {MODES} AS mode FROM w JOIN o USING (site_id, bearing_bin, distance_m)),
+first AS (SELECT site_id, bearing_bin, distance_m, min_by(material, (start_m, obstacle_id)) AS material FROM j WHERE end_m > distance_m + 0.000001 GROUP BY 1, 2, 3),
+m AS (SELECT a.*, coalesce(first.material, 'none') AS material, CASE WHEN snr >= 28 THEN '1024QAM' WHEN snr >= 20 THEN '256QAM' WHEN snr >= 12 THEN '64QAM' WHEN snr >= 5 THEN '16QAM' ELSE 'QPSK' END AS modulation FROM a LEFT JOIN first USING (site_id, bearing_bin, distance_m)),
+ks AS (SELECT unnest([{{'what': 'material', 'name': material}}, {{'what': 'mode', 'name': mode}}, {{'what': 'modulation', 'name': modulation}}]) AS x, extra, is_los FROM m)
+SELECT x.what AS what, x.name AS name, count(*) AS n, {r(extra_share='100.0 * count(*) FILTER (extra > 0.000001) / count(*)', mean_extra_db='avg(extra)', los_share='100.0 * count(*) FILTER (is_los) / count(*)')} FROM ks GROUP BY 1, 2""",
+    "fx_obstacles",
+    "fx_sites",
+    "fx_sectors",
+)
+def lattice_summary(spark, sf_dir):
+    """AG22, AG33: samples by material, by mode of propagation and by modulation: how many lose power to obstacles, how much on average, how many are in sight."""
+    x = coverage_states(spark, sf_dir)
+    best = x.groupBy("site_id", "bearing_bin", "distance_m").agg(F.max("p").alias("p"), F.first("penetration_db").alias("pen"), F.first("extra_loss_db").alias("extra"), F.first("is_los").alias("is_los"), F.first("first_active").getField("material").alias("material"))
+    modulation, _ = R.modulation(c("p") - R.thermal_noise_dbm(100.0, 7.0))
+    mode = F.when(~c("is_los"), "inside").when(c("extra") > 1e-6, "shadowed").otherwise("open")
+    told = [("material", F.coalesce("material", F.lit("none"))), ("mode", mode), ("modulation", modulation)]
+    each = best.select("extra", "is_los", F.explode(F.array(*[F.struct(F.lit(what).alias("what"), name.alias("name")) for what, name in told])).alias("x"))
+    share = lambda ok: 100.0 * F.count_if(ok) / F.count("*")
+    out = each.groupBy("x.what", "x.name").agg(F.count("*").alias("n"), share(c("extra") > 1e-6).alias("extra_share"), F.avg("extra").alias("mean_extra_db"), share(c("is_los")).alias("los_share"))
+    return rounded(out)
 
 
 # The fused channel ---------------------------------------------------------------------------

@@ -259,13 +259,13 @@ def bearing_reach(spark, sf_dir):
     return rounded(t.groupBy(b.alias("bearing_bin")).agg(F.max(F.sqrt(c("px") * c("px") + c("py") * c("py"))).alias("reach_m")))
 
 
-WAVES = 48
+WAVES, CELL_M, ROWS, COLUMNS = 96, 110, 52, 36
 
 
 def _wave_sql() -> str:
     """Every step as a table of its own; the mask leaves cells out, through which no value passes."""
-    out = f"""g AS (SELECT half, i, j, avg(v) AS v FROM (SELECT target_id % 2 AS half, CAST(floor(py / 60) AS INT) AS i, CAST(floor(px / 60) AS INT) AS j, incident_power_dbm AS v FROM tp) GROUP BY half, i, j),
-w0 AS MATERIALIZED (SELECT half, i, j, v FROM (SELECT * FROM (SELECT unnest(range(0, 2)) AS half), (SELECT unnest(range(0, 72)) AS i), (SELECT unnest(range(0, 72)) AS j)) LEFT JOIN g USING (half, i, j) WHERE (i * 7 + j * 5 + half) % 11 <> 0 AND i <> 40)"""
+    out = f"""g AS (SELECT half, i, j, avg(v) AS v FROM (SELECT target_id % 2 AS half, CAST(floor(py / {CELL_M}) AS INT) AS i, CAST(floor(px / {CELL_M}) AS INT) AS j, incident_power_dbm AS v FROM tp) GROUP BY half, i, j),
+w0 AS MATERIALIZED (SELECT half, i, j, v FROM (SELECT * FROM (SELECT unnest(range(0, 2)) AS half), (SELECT unnest(range(0, {ROWS})) AS i), (SELECT unnest(range(0, {COLUMNS})) AS j)) LEFT JOIN g USING (half, i, j) WHERE (i * 7 + j * 5 + half) % 11 <> 0 AND i <> 22)"""
     side = lambda k, n, di, dj: f"LEFT JOIN w{k} {n} ON c.half = {n}.half AND {n}.i = c.i + ({di}) AND {n}.j = c.j + ({dj})"
     for k in range(WAVES):
         out += f""", w{k + 1} AS MATERIALIZED (SELECT c.half, c.i, c.j, coalesce(c.v, e.v, w.v, s.v, n.v) AS v FROM w{k} c {side(k, 'n', -1, 0)} {side(k, 's', 1, 0)} {side(k, 'w', 0, -1)} {side(k, 'e', 0, 1)})"""
@@ -276,11 +276,11 @@ w0 AS MATERIALIZED (SELECT half, i, j, v FROM (SELECT * FROM (SELECT unnest(rang
 def filled_raster(spark, sf_dir):
     """AG27, AG25: two rasters under a mask whose empty cells are filled by wave fronts; a wall that nothing passes."""
     t, _ = placed(spark, sf_dir)
-    at = lambda p: F.floor(c(p) / 60).cast("int")
+    at = lambda p: F.floor(c(p) / CELL_M).cast("int")
     g = t.groupBy((c("target_id") % 2).alias("half"), at("py").alias("i"), at("px").alias("j")).agg(F.avg("incident_power_dbm").alias("v"))
-    cell = c("id") % (72 * 72)
-    e = spark.range(2 * 72 * 72).select(F.floor(c("id") / (72 * 72)).alias("half"), F.floor(cell / 72).cast("int").alias("i"), (cell % 72).cast("int").alias("j"))
-    there = ((c("i") * 7 + c("j") * 5 + c("half")) % 11 != 0) & (c("i") != 40)
+    cell = c("id") % (ROWS * COLUMNS)
+    e = spark.range(2 * ROWS * COLUMNS).select(F.floor(c("id") / (ROWS * COLUMNS)).alias("half"), F.floor(cell / COLUMNS).cast("int").alias("i"), (cell % COLUMNS).cast("int").alias("j"))
+    there = ((c("i") * 7 + c("j") * 5 + c("half")) % 11 != 0) & (c("i") != 22)
     return rounded(filled(e.filter(there).join(g, ["half", "i", "j"], "left"), ["half"]))
 
 

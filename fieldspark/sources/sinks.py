@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,14 +72,44 @@ def write_profiles(df: DataFrame, folder: str) -> None:
 
 
 def write_product(df: DataFrame, metadata: DataFrame, folder: str) -> None:
-    """A product's points by product_id, layers as floats, its metadata and its manifest; other products in the folder stay."""
+    """A product's points by product_id, layers as floats, its metadata and its manifest; other products in the folder stay.
+
+    All parts go to a folder of a new version; then one small file, renamed into place, tells readers which version each
+    product has.  Whatever fails before that leaves the products as they were.
+    """
     if df.select("product_id").distinct().join(metadata, "product_id", "left_anti").limit(1).count():
         raise ValueError("a product without metadata")
     layers = [F.col(f.name).cast("float").alias(f.name) if f.dataType == T.DoubleType() and not f.name.endswith("_deg") else F.col(f.name) for f in df.schema]
-    points = df.select(layers)
+    points, version = df.select(layers), uuid.uuid4().hex
     for part, name in ((points, "points"), (metadata, "metadata"), (manifest(points), "manifest")):
-        # Spark's committer moves finished files in at the end of the job, so readers see the old product or the new one.
-        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("product_id").parquet(f"{folder}/{name}")
+        part.write.partitionBy("product_id").parquet(f"{folder}/versions/{version}/{name}")
+    spark = df.sparkSession
+    new = {str(r[0]): version for r in spark.read.parquet(f"{folder}/versions/{version}/manifest").select("product_id").collect()}
+    switch(spark, folder, versions_of(spark, folder) | new)
+
+
+def versions_of(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The version of each product in a folder (one line a product: the file of this name, or none)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/current")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return {}
+    return {r["product_id"]: r["version"] for r in spark.read.schema("product_id string, version string").json(f"{folder}/current").collect()}
+
+
+def switch(spark: SparkSession, folder: str, versions: dict[str, str]) -> None:
+    """Replaces the file of versions by a new one in one step."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    draft, at = path(f"{folder}/.current-{uuid.uuid4().hex}"), path(f"{folder}/current")
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    out.write(bytearray("".join(json.dumps({"product_id": p, "version": v}) + "\n" for p, v in sorted(versions.items())).encode()))
+    out.close()
+    option = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = option
+    context.rename(draft, at, options)
 
 
 def manifest(df: DataFrame) -> DataFrame:

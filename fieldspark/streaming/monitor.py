@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -113,5 +114,33 @@ def alerts(stream: DataFrame) -> DataFrame:
 
 
 def late_rows(query) -> int:
-    """ST8: rows that a running query's watermark has dropped so far."""
+    """ST8: rows that a query's watermark has dropped, of the last reports that it holds; LateRows counts all."""
     return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
+class LateRows(StreamingQueryListener):
+    """ST8: counts the rows that watermarks drop, by query, from every report of every trigger.
+
+    Register it with ``spark.streams.addListener`` before the query starts: a query itself keeps its last reports only.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        self.dropped[str(progress.id)] = self.dropped.get(str(progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query) -> int:
+        """Rows of a query dropped so far."""
+        return self.dropped.get(str(query.id), 0)

@@ -1,12 +1,14 @@
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from fieldspark.operators.rings import stitched
 from fieldspark.functions import text
 from fieldspark.operators.asof import nearest_in_time
+from fieldspark.operators.rings import stitched
 from fieldspark.plans.measurement import motion_events
-from fieldspark.sources import telemetry
+from fieldspark.sources import sinks, telemetry
 from fieldspark.sources.views import view
 from fieldspark.streaming import monitor
 
@@ -100,6 +102,50 @@ def test_nearest_match_and_late_rows_of_streams(spark, tmp_path):
     assert monitor.late_rows(q) >= 0
 
 
+def test_late_rows_are_counted_over_more_reports_than_a_query_holds(spark, tmp_path):
+    late, n = monitor.LateRows(), 115
+    (tmp_path / "in").mkdir()
+    for i in range(n):
+        (tmp_path / "in" / f"{i:04}.json").write_text('{"t": "2024-01-01T%s:00:00Z"}' % ("12" if i == 0 else "01"))
+    spark.streams.addListener(late)
+    try:
+        rows = spark.readStream.schema("t timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        counts = rows.withWatermark("t", "1 minute").groupBy(F.window("t", "1 minute")).count().coalesce(1)
+        q = counts.writeStream.outputMode("update").format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        taken = spark.table("late").groupBy("window").agg(F.max("count").alias("n")).agg(F.sum("n")).first()[0]
+        for _ in range(100):
+            if late.of(q) >= n - taken:
+                break
+            time.sleep(0.1)
+        assert late.of(q) == n - taken > 100 and monitor.late_rows(q) < late.of(q)
+    finally:
+        spark.streams.removeListener(late)
+
+
+def test_a_product_is_switched_as_a_whole(spark, tmp_path, monkeypatch):
+    folder = f"{tmp_path}/p"
+    frame = lambda p, v: (spark.createDataFrame([(p, 1.0, v)], "product_id string, latitude_deg double, snr_db double"), spark.createDataFrame([(p, "x")], "product_id string, note string"))
+    read = lambda p=None: {r["product_id"]: r["snr_db"] for r in telemetry.read_product(spark, folder, ["snr_db"], p).collect()}
+    sinks.write_product(*frame("a", 4.0), folder)
+    sinks.write_product(*frame("b", 5.0), folder)
+    assert read() == {"a": 4.0, "b": 5.0}
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "manifest", lambda df: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sinks.write_product(*frame("a", 6.0), folder)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "switch", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sinks.write_product(*frame("a", 7.0), folder)
+    assert read() == {"a": 4.0, "b": 5.0} and read("a") == {"a": 4.0}
+    sinks.write_product(*frame("a", 8.0), folder)
+    assert read() == {"a": 8.0, "b": 5.0}
+    with pytest.raises(ValueError, match="no such product"):
+        telemetry.read_product(spark, folder, ["snr_db"], "c")
+
+
 def test_other_readers(spark, tmp_path):
     (tmp_path / "g.csv").write_text("latitude,longitude,time,velocity.x,velocity.y,velocity.z\n38.1,-121.2,2024-01-01T00:00:02Z,3,4,0\n")
     row = telemetry.read_gps(spark, str(tmp_path / "g.csv")).first()
