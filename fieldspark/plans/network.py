@@ -462,16 +462,28 @@ def cluster_placement(t: DataFrame, k: int = 3) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("pci").orderBy("e"))
     centres = first.withColumn("cluster", rank).filter(c("cluster") <= k).select("pci", "cluster", c("latitude").alias("cla"), c("longitude").alias("clo"))
     for _ in range(5):
-        far = F.pow(c("latitude") - c("cla"), 2) + F.pow(c("longitude") - c("clo"), 2)
+        far = apart(c("latitude"), c("longitude"), c("cla"), c("clo"))
         held = rows.join(centres, "pci").groupBy("pci", "event_id").agg(F.min(F.struct(far.alias("d"), "cluster")).alias("x"), *[F.first(n).alias(n) for n in rows.columns if n not in ("pci", "event_id")]).withColumn("cluster", c("x.cluster")).drop("x")
         centres = cut(held.groupBy("pci", "cluster").agg(F.avg("latitude").alias("cla"), F.avg("longitude").alias("clo")))
     a = held.groupBy("pci", "cluster").agg(F.count("*").alias("n"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.avg("altitude").alias("altitude"), (F.avg("llr_energy") * (F.avg("level") + 100) / 1000).alias("q"))
     enough = rows.groupBy("pci").count().filter("count >= 3").select("pci")
-    best = a.join(enough, "pci").groupBy("pci").agg(F.max_by(F.struct("latitude", "longitude", "altitude", "n", "q"), F.struct("q", -c("cluster"))).alias("b")).select("pci", "b.*")
+    best = a.join(enough, "pci").groupBy("pci").agg(F.max_by(F.struct("latitude", "longitude", "altitude", "n", "q"), F.struct(F.round("q", 9), -c("cluster"))).alias("b")).select("pci", "b.*")
     return best.withColumn("confidence", F.least(c("q"), F.lit(1.0))).withColumn("quality", F.when(c("confidence") > 0.5, "good").otherwise("fair")).drop("q")
 
 
-@query()
+def _cluster_placements_sql(rounds: int = 5) -> str:
+    out = f"""{ROWS_SQL}, x AS (SELECT pci, event_id, latitude, longitude, altitude, llr_energy, CASE WHEN len(ok) > 0 THEN list_sum(ok) / len(ok) END AS level FROM l),
+f AS (SELECT pci, latitude, longitude, min(event_id) AS e FROM x GROUP BY pci, latitude, longitude), k0 AS (SELECT pci, row_number() OVER (PARTITION BY pci ORDER BY e) AS cluster, latitude AS la, longitude AS lo FROM f QUALIFY cluster <= 3)"""
+    for i in range(rounds):
+        near = "round((pow(x.latitude - k.la, 2) + pow(x.longitude - k.lo, 2)) * 100000000, 6)"
+        out += f""", d{i} AS (SELECT x.pci, x.event_id, min_by(k.cluster, ({near}, k.cluster)) AS cluster FROM x JOIN k{i} k ON x.pci = k.pci GROUP BY x.pci, x.event_id),
+k{i + 1} AS (SELECT pci, cluster, avg(latitude) AS la, avg(longitude) AS lo FROM x JOIN d{i} USING (pci, event_id) GROUP BY pci, cluster)"""
+    return out + f""", a AS (SELECT pci, cluster, count(*) AS n, avg(latitude) AS latitude, avg(longitude) AS longitude, avg(altitude) AS altitude, avg(llr_energy) * (avg(level) + 100) / 1000 AS q FROM x JOIN d{rounds - 1} USING (pci, event_id) GROUP BY pci, cluster),
+b AS (SELECT *, row_number() OVER (PARTITION BY pci ORDER BY round(q, 9) DESC, cluster) AS i FROM a WHERE pci IN (SELECT pci FROM x GROUP BY pci HAVING count(*) >= 3))
+SELECT pci, {r('latitude', 'longitude', 'altitude', confidence='least(q, 1)')}, n, CASE WHEN least(q, 1) > 0.5 THEN 'good' ELSE 'fair' END AS quality FROM b WHERE i = 1"""
+
+
+@query(f"WITH {_cluster_placements_sql()}", "fx_telemetry")
 def cluster_placements(spark, sf_dir):
     """AG19: see cluster_placement."""
-    return cluster_placement(telemetry(spark, sf_dir))
+    return rounded(cluster_placement(telemetry(spark, sf_dir)))
