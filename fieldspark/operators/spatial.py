@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,35 +23,37 @@ def local_latlon(x: Column, y: Column, lat0: float, lon0: float) -> tuple[Column
     return lat0 + F.degrees(y / RADIUS_M), lon0 + F.degrees(x / (RADIUS_M * F.cos(F.radians(F.lit(lat0)))))
 
 
-def within(points: DataFrame, sites: DataFrame, radius_m: float) -> DataFrame:
+def within(points: DataFrame, sites: DataFrame, radius_m: float, distance: Column | None = None) -> DataFrame:
     """Pairs of points (px, py) and sites (sx, sy) at most radius_m apart, with d_m.
 
-    Cells are as wide as the radius; a point looks into its own and the eight around it.
+    Cells are as wide as the radius; a point looks into its own and the eight around it.  Another distance than the plane's
+    may be given, if it is nowhere shorter.
     """
     cell = lambda c: F.floor(c / radius_m)
     around = F.expr("transform(sequence(-1, 1), d -> d)")
     p = points.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumn("_cx", cell(F.col("px")) + F.col("_dx")).withColumn("_cy", cell(F.col("py")) + F.col("_dy"))
     s = sites.withColumn("_cx", cell(F.col("sx"))).withColumn("_cy", cell(F.col("sy")))
-    d = F.sqrt(F.pow(F.col("px") - F.col("sx"), 2) + F.pow(F.col("py") - F.col("sy"), 2))
+    d = F.sqrt(F.pow(F.col("px") - F.col("sx"), 2) + F.pow(F.col("py") - F.col("sy"), 2)) if distance is None else distance
     return p.join(s, ["_cx", "_cy"]).withColumn("d_m", d).filter(F.col("d_m") <= radius_m).drop("_cx", "_cy", "_dx", "_dy")
 
 
-def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, k: int = 1, radius_m: float = 500.0, most_rounds: int = 16) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, k: int = 1, radius_m: float = 500.0, most_rounds: int = 16, distance: Column | None = None, longest: float = 1.0) -> DataFrame:
     """The k nearest sites of each point, ties (to a micrometre) to the smaller site, with d_m and n (from 1).
 
     The radius grows fourfold for points that have found fewer than k; each round joins only
-    those left.  All sites count as found once the radius spans the whole map.
+    those left.  All sites count as found once the radius spans the whole map.  A ``distance`` of one's own may be up to
+    ``longest`` times the plane's, and no shorter.
     """
     extent = sites.agg(F.min("sx").alias("a"), F.max("sx").alias("b"), F.min("sy").alias("c"), F.max("sy").alias("d")).first()
     reach = points.agg(F.min("px").alias("a"), F.max("px").alias("b"), F.min("py").alias("c"), F.max("py").alias("d")).first()
     if extent["a"] is None or reach["a"] is None:
-        return within(points, sites, radius_m).withColumn("n", F.lit(1))
-    span = 1 + ((max(extent["b"], reach["b"]) - min(extent["a"], reach["a"])) ** 2 + (max(extent["d"], reach["d"]) - min(extent["c"], reach["c"])) ** 2) ** 0.5
+        return within(points, sites, radius_m, distance).withColumn("n", F.lit(1))
+    span = 1 + longest * ((max(extent["b"], reach["b"]) - min(extent["a"], reach["a"])) ** 2 + (max(extent["d"], reach["d"]) - min(extent["c"], reach["c"])) ** 2) ** 0.5
     order = Window.partitionBy(point_id).orderBy(F.round("d_m", 6), site_id)
     found, left = None, points
     for _ in range(most_rounds):
         last = radius_m >= span
-        hit = within(left, sites, radius_m).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
+        hit = within(left, sites, radius_m, distance).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
         if last:
             return hit if found is None else found.unionByName(hit)
         hit = cut(hit)
@@ -83,3 +87,20 @@ def within_sphere(points: DataFrame, sites: DataFrame, km: float, point: tuple[s
     for n in names:
         s = s.withColumn(n, F.explode(F.sequence(F.col(n) - 1, F.col(n) + 1)))
     return p.join(s, names).filter(haversine_km(*map(F.col, (*point, *site))) < km).drop(*names)
+
+
+def probed(product: DataFrame, probes: DataFrame, probe_id: str, row_id: str) -> DataFrame:
+    """JN18: for each probe (latitude, longitude) the nearest row of a product, with all its columns and query_distance_m.
+
+    Distances are on a flat map at the probe's own latitude.  The grid lies on the map of the probe farthest from the
+    equator, on which no distance is longer.  Ties go to the smaller row.
+    """
+    far = probes.agg(F.max(F.abs("latitude")).alias("a"), F.min(F.abs("latitude")).alias("b")).first()
+    cos = math.cos(math.radians(far["a"] or 0.0))
+    flat = lambda lat, lon: (F.radians(lon) * cos * RADIUS_M, F.radians(lat) * RADIUS_M)
+    p = probes.select(F.col(probe_id).alias("_probe"), F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), *[e.alias(n) for e, n in zip(flat(F.col("latitude"), F.col("longitude")), ("px", "py"), strict=True)])
+    s = product.select(F.col(row_id).alias("_row"), F.col("latitude").alias("_sla"), F.col("longitude").alias("_slo"), *[e.alias(n) for e, n in zip(flat(F.col("latitude"), F.col("longitude")), ("sx", "sy"), strict=True)])
+    own = F.sqrt(F.pow(F.radians(F.col("_slo") - F.col("_lo")) * RADIUS_M * F.cos(F.radians("_la")), 2) + F.pow(F.radians(F.col("_sla") - F.col("_la")) * RADIUS_M, 2))
+    longest = math.cos(math.radians(far["b"] or 0.0)) / max(cos, 1e-9)
+    found = nearest(p, s, "_probe", "_row", distance=own, longest=longest).select(F.col("_probe").alias(probe_id), F.col("_row").alias(row_id), F.col("d_m").alias("query_distance_m"))
+    return found.join(product, row_id)

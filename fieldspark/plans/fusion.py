@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import radio as R
 from ..functions.broadcast import penetration_db
 from ..operators.intervals import swept
+from ..operators.spatial import probed
 from ..sources.views import view, with_views
-from .field import MATERIALS_SQL, RX, RX_M, SAMPLES_SQL, TX, _ecef_sql, _far, samples
+from .field import MATERIALS_SQL, RX, RX_M, SAMPLES_SQL, TX, _ecef_sql, _far, near, samples
 from .measurement import r, rounded
 
 Q, SQL = {}, {}
@@ -352,6 +353,26 @@ def fused_summary(spark, sf_dir):
     return rounded(a, 5)
 
 
+PROBED = ("doppler_hz", "return_loss_db", "echo_dbm", "post_snr_db", "rcs_margin_db")
+
+
+@query(
+    f"""WITH {_channel_sql(CHANNEL)}, d AS (SELECT s.site_id, t.target_id, sqrt(pow(radians(t.longitude - s.longitude) * 6371000.0::DOUBLE * cos(radians(s.latitude)), 2) + pow(radians(t.latitude - s.latitude) * 6371000.0::DOUBLE, 2)) AS query_distance_m FROM fx_sites s, fx_targets t),
+nr AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY round(query_distance_m, 6), target_id) AS i FROM d)
+SELECT site_id, target_id, {near(query_distance_m='query_distance_m')}, {_digits(PROBED)}, detectable, failure_code FROM nr JOIN c USING (target_id) WHERE i = 1""",
+    "fx_targets",
+    "fx_illumination",
+    "fx_returns",
+    "fx_sites",
+)
+def probe_values(spark, sf_dir):
+    """JN18: the sensing layers at the target nearest to each site, as a click there would show them."""
+    places = view(spark, sf_dir, "fx_targets").select("target_id", "latitude", "longitude")
+    x = probed(places, view(spark, sf_dir, "fx_sites").select("site_id", "latitude", "longitude"), "site_id", "target_id").drop("latitude", "longitude")
+    x = x.join(fused_of(spark, sf_dir), "target_id")
+    return x.select("site_id", "target_id", (F.round("query_distance_m", 4) + F.lit(0.0)).alias("query_distance_m"), *layers(*PROBED), "detectable", "failure_code")
+
+
 @query(
     f"WITH {_channel_sql(CHANNEL)} SELECT failure_code, return_state, count(*) AS n, round(avg(snr_margin_db), 5) + 0.0 AS mean_margin_db FROM c GROUP BY failure_code, return_state",
     *FIELDS,

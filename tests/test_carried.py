@@ -187,3 +187,17 @@ def test_wave_fronts_over_tiles_equal_whole_rasters(spark, tile, border):
         assert all(math.isclose(r["v"], want[r["k"]][r["i"] + 5, r["j"] + 7]) for r in got)
     assert filled(df.limit(0), ["k"]).count() == 0
     assert {r["v"] for r in filled(df.filter("v IS NULL").limit(5), ["k"]).collect()} == {None}
+
+
+def test_probes_measure_at_their_own_latitude(spark):
+    from fieldspark.operators.spatial import probed
+
+    random.seed(4)
+    rows = [(i, random.uniform(10, 70), random.uniform(0, 30), f"v{i}") for i in range(120)]
+    probes = [(i, random.uniform(10, 70), random.uniform(0, 30)) for i in range(25)]
+    product = spark.createDataFrame(rows, "row_id long, latitude double, longitude double, v string")
+    got = {r["probe_id"]: r for r in probed(product, spark.createDataFrame(probes, "probe_id long, latitude double, longitude double"), "probe_id", "row_id").collect()}
+    for p, la, lo in probes:
+        d = {i: math.hypot(math.radians(y - lo) * math.cos(math.radians(la)), math.radians(x - la)) * 6_371_000 for i, x, y, _ in rows}
+        best = min(d, key=d.get)
+        assert got[p]["row_id"] == best and got[p]["v"] == f"v{best}" and math.isclose(got[p]["query_distance_m"], d[best])
