@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,19 @@ def versions_of(spark: SparkSession, folder: str) -> dict[str, str]:
     return {r["product_id"]: r["version"] for r in spark.read.schema("product_id string, version string").json(f"{folder}/current").collect()}
 
 
+def product_part(spark: SparkSession, folder: str, name: str, product_id: str | None = None) -> DataFrame:
+    """The points, metadata or manifest of all products of a folder, or of one, each of its version."""
+    asked = {p: v for p, v in versions_of(spark, folder).items() if product_id is None or str(product_id) == p}
+    if not asked:
+        raise ValueError(f"no such product: {product_id}")
+    parts = []
+    for version in sorted(set(asked.values())):
+        rows = spark.read.parquet(f"{folder}/versions/{version}/{name}")
+        # what a later version has replaced is left out
+        parts.append(rows.filter(F.col("product_id").cast("string").isin([p for p, v in asked.items() if v == version])))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def switch(spark: SparkSession, folder: str, versions: dict[str, str]) -> None:
     """Replaces the file of versions by a new one in one step."""
     path = spark._jvm.org.apache.hadoop.fs.Path

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import arfcn_mhz, other_tags
-from .sinks import versions_of
+from .sinks import product_part
 
 MISSING_DB = -999.0
 _WHOLE = ("timestamp_ms", "timing_measurement_timestamp_ms", "dl_carrier_freq", "sample_rate")
@@ -96,16 +94,7 @@ def read_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def read_product(spark: SparkSession, folder: str, columns: list[str], product_id: str | None = None) -> DataFrame:
     """The asked columns of stored products; only these, and only one product's partition, are read."""
-    versions = versions_of(spark, folder)
-    asked = {p: v for p, v in versions.items() if product_id is None or str(product_id) == p}
-    if not asked:
-        raise ValueError(f"no such product: {product_id}")
-    parts = []
-    for version in sorted(set(asked.values())):
-        points = spark.read.parquet(f"{folder}/versions/{version}/points")
-        # what a later version has replaced is left out
-        parts.append(points.filter(F.col("product_id").cast("string").isin([p for p, v in asked.items() if v == version])).select("product_id", *columns))
-    return reduce(DataFrame.unionByName, parts)
+    return product_part(spark, folder, "points", product_id).select("product_id", *columns)
 
 
 GEOJSON = "type string, features array<struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>, id string, properties map<string,string>, geometry struct<type:string,coordinates:string>"

@@ -64,8 +64,8 @@ def test_sinks(spark, tmp_path):
     meta = spark.createDataFrame([("a", "{}"), ("b", "{}")], "product_id string, j string")
     sinks.write_product(df.drop("levels"), meta, str(tmp_path / "p"))
     sinks.write_product(df.drop("levels").filter("id = 2"), meta.filter("product_id = 'b'"), str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p/points")).count() == 2
-    held = {r["product_id"]: (r["n"], [(x["name"], x["type"]) for x in r["layers"]]) for r in spark.read.parquet(str(tmp_path / "p/manifest")).collect()}
+    assert sinks.product_part(spark, str(tmp_path / "p"), "points").count() == 2
+    held = {r["product_id"]: (r["n"], [(x["name"], x["type"]) for x in r["layers"]]) for r in sinks.product_part(spark, str(tmp_path / "p"), "manifest").collect()}
     assert held == {k: (1, [("id", "bigint"), ("v_x", "float")]) for k in "ab"}
     audit = {r["name"]: r for r in sinks.audit_product(df, ["id", "levels", "gone"]).collect()}
     assert audit["id"]["numeric"] and audit["levels"]["missing"] == 1 and not audit["gone"]["present"]
