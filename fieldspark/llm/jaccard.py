@@ -21,7 +21,7 @@ others: no pair is lost.
 
 Sets that share a signature are not paired with each other.  First all are tied
 to one hub (the least node) per signature, each node is compared with the hub it
-shares most with, and links give components.  Then, for signatures whose sets lie
+shares most with, each hub with such a node, and links give components.  Then, for signatures whose sets lie
 in different components, neighbours in a random order are compared, each node
 with its nearest by parity sketch.  What still differs is settled exactly: blocks
 of a signature's sets are compared by size and sketch (a distance of sketches never
@@ -213,6 +213,13 @@ def tied(sigs: DataFrame, partitions: int) -> DataFrame:
     return sigs.repartition(partitions, "sig").sortWithinPartitions("sig", "node").mapInArrow(go, "hub long, node long")
 
 
+def closest(counts: DataFrame) -> DataFrame:
+    """Pairs (a < b) of each node and the hub it shares most with, and of each hub and the node: a hub that all its nodes pass over for another one stays in sight."""
+    ends = F.array(F.struct(F.col("node").alias("x"), F.col("hub").alias("y"), "count"), F.struct(F.col("hub").alias("x"), F.col("node").alias("y"), "count"))
+    best = counts.select(F.explode(ends).alias("e")).groupBy("e.x").agg(F.max(F.struct("e.count", "e.y")).alias("best"))
+    return best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """Adds ``linked`` to pairs (a, b) of nodes."""
     first = pairs.join(sets.selectExpr("node AS b", "elements AS eb"), "b")
@@ -264,7 +271,7 @@ def jaccard_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     clashed = spark.sparkContext.broadcast(np.sort(twice.view(np.uint64)))
     listed = listed.withColumn("set_id", F.when(F.col("set_id").isin(*map(int, twice)), F.col("second")).otherwise(F.col("set_id"))).drop("second") if len(twice) else listed.drop("second")
     edges = tied(batched(df, cols, words, "sig long, node long", emit, clashed), per_sig)
-    stars = written(edges.groupBy("hub", "node").count().groupBy("node").agg(F.max(F.struct("count", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("node").alias("b")))
+    stars = written(closest(edges.groupBy("hub", "node").count()))
     wanted = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     shared = spark.sparkContext.broadcast(slot_filter(wanted, "node"))
 

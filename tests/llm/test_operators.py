@@ -124,6 +124,16 @@ def test_jaccard_of_mutated_copies(spark):
 # 3 packing
 
 
+def test_the_hub_of_a_signature_that_its_sets_share_more_with_another_hub(spark):
+    rows = []
+    for t in range(300):
+        middle = [f"t{t}w{i}" for i in range(30)]
+        for side, text in enumerate((middle, ["x", "y", *middle[2:]], [*middle[:-2], "x", "y"])):
+            rows.append((3 * t + side, " ".join(text)))
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, DOCS), words=4, p=85).select("doc_id", "component_id").collect()
+    assert {d: c for d, c in got} == {i: i // 3 * 3 for i in range(900)}
+
+
 def test_packing_round_trip(spark, docs, edge):
     import public_tokenizers as P
     from tokenizers import Tokenizer
