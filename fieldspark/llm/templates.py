@@ -18,9 +18,11 @@ A leaf of more than ``leaf_lines`` distinct lines (or ``LEAF_WORDS`` words) is l
 rounds: cut into parts of that size by a hash, each part is grouped, and the templates
 found stand for their lines in the next round, cut by another hash, until one part holds
 all or little joins any more.  What is still too much then is dealt by every two neighbouring
-words: lines that agree in SHARE of all places have two neighbours in common somewhere, so
-each pair of them meets; only lines of more than ``leaf_lines`` different templates with
-the same two words there meet by the hash alone.  A line may so belong to several templates.
+words (by every word, where ``share`` is a half or less): lines that agree in SHARE of all places
+have two neighbours in common somewhere.  Where too many lines have the same two words, these
+are cut into blocks, and every two blocks are looked at together, so each pair of lines meets
+whatever their number; that work grows with the square of the lines of two such words.  The
+templates found are dealt likewise, until no new ones turn up.  A line may so belong to several templates.
 
 Scale: a task sends one row per distinct line of its batch.  Parts are streamed in
 sorted order, one at a time.  Documents are counted exactly, by distinct (id, text),
@@ -218,6 +220,20 @@ def cut_to_size(lines: DataFrame, leaf_lines: int, salt: int) -> DataFrame:
     return held.withColumn("leaf", F.col("node")).withColumn("node", F.when(F.col("_parts") > 1, F.xxhash64("node", F.pmod(F.xxhash64("h1", "h2", F.lit(salt)), "_parts"))).otherwise(F.col("node")))
 
 
+def in_pairs(lines: DataFrame, leaf_lines: int) -> DataFrame:
+    """Every two lines of a node together in some part of about leaf_lines lines (and LEAF_WORDS words): blocks of half the size, every two of them."""
+    size = lines.groupBy("node").agg(F.count("*").alias("_size"), F.first("n").alias("_n"))
+    blocks = F.greatest(F.ceil(F.col("_size") * 2 / leaf_lines), F.ceil(F.col("_size") * F.col("_n") * 2 / LEAF_WORDS))
+    whole = (F.col("_size") <= leaf_lines) & (F.col("_size") * F.col("_n") <= LEAF_WORDS)
+    held = lines.join(size.select("node", F.when(whole, 1).otherwise(F.least(blocks, "_size")).alias("_blocks")), "node")
+    own = held.withColumn("_own", F.pmod(F.xxhash64("h1", "h2", F.lit(ROUNDS)), "_blocks"))
+    # with two blocks or more, the part of a block with itself lies in its parts with others
+    others = F.when(F.col("_blocks") == 1, F.array("_own")).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda x: x != F.col("_own")))
+    tiles = own.withColumn("_other", F.explode(others))
+    tile = F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return tiles.withColumn("node", F.when(F.col("_blocks") > 1, tile).otherwise(F.col("node"))).drop("_blocks", "_own", "_other")
+
+
 def memberships(lines: DataFrame, leaf_lines: int, share: float, constants: int) -> DataFrame:
     """h1, h2, docs and the general templates (t1, t2) of lines that share one."""
     held = lines.withColumn("node", F.xxhash64("n", F.substring("words", 1, 4)))
@@ -245,17 +261,29 @@ def memberships(lines: DataFrame, leaf_lines: int, share: float, constants: int)
         if n > before * (1 - SHRINK):
             break
     joined = stands.filter((F.col("r1") != F.col("h1")) | (F.col("r2") != F.col("h2"))).select(*LINE, "docs", F.col("r1").alias("t1"), F.col("r2").alias("t2"))
-    # what is still too many for one look: lines that agree in SHARE of all places agree in two neighbours somewhere
-    still = written(reps.groupBy("node").count().filter(F.col("count") > leaf_lines).select("node"))
+    # what is still too many for one look: lines that agree in SHARE of all places agree in two neighbours somewhere (in one word at least, whatever the share)
+    too_many = (F.col("size") > leaf_lines) | (F.col("size") * F.col("k") > LEAF_WORDS)
+    still = written(reps.groupBy("node").agg(F.count("*").alias("size"), F.first("n").alias("k")).filter(too_many).select("node"))
+    found = found.unionByName(joined)
     if still.isEmpty():
-        return found.unionByName(joined).distinct()
-    places = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 2).cast("int"))
-    pair = F.substring("words", F.col("place") * 8 + 1, F.lit(8))
-    whole = (F.substring(pair, 1, 4) != NO_WORD) & (F.substring(pair, -4, 4) != NO_WORD)
-    again = reps.join(still, "node", "left_semi").withColumn("place", F.explode(places)).filter(whole).withColumn("node", F.xxhash64("node", "place", pair)).drop("place")
-    more = settled(cut_to_size(again, leaf_lines, ROUNDS).drop("_parts"), share, constants).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "t1", "t2").distinct()
-    late = stands.withColumn("salt", F.pmod("h1", F.lit(SALTS)).cast("int")).join(salted(more), ["r1", "r2", "salt"]).select(*LINE, "docs", "t1", "t2")
-    return found.unionByName(joined).unionByName(late).distinct()
+        return found.distinct()
+    near = 2 if share > 0.5 else 1
+    places = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / near).cast("int"))
+    words = F.substring("words", F.col("place") * 4 * near + 1, F.lit(4 * near))
+    whole = (F.substring(words, 1, 4) != NO_WORD) & (F.substring(words, -4, 4) != NO_WORD)
+    now = known = reps.join(still, "node", "left_semi")
+    while True:
+        dealt = now.withColumn("place", F.explode(places)).filter(whole).withColumn("node", F.xxhash64("node", "place", words)).drop("place")
+        joins = written(settled(in_pairs(dealt, leaf_lines), share, constants).select(*LINE, "n", "t1", "t2", "template").distinct())
+        step = salted(joins.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "t1", "t2").distinct())
+        late = written(stands.withColumn("salt", F.pmod("h1", F.lit(SALTS)).cast("int")).join(step, ["r1", "r2", "salt"]).select(*LINE, "docs", F.col("t1").alias("r1"), F.col("t2").alias("r2")).distinct())
+        found = found.unionByName(late.select(*LINE, "docs", F.col("r1").alias("t1"), F.col("r2").alias("t2")))
+        # a new template has fewer words that are no field than each of its lines, so this ends; the leading word stays
+        new = joins.select(F.xxhash64("n", F.substring("template", 1, 4)).alias("node"), "n", F.col("t1").alias("h1"), F.col("t2").alias("h2"), F.lit(0).cast("long").alias("docs"), F.col("template").alias("words"))
+        now = written(new.dropDuplicates(LINE).join(known.select(*LINE), LINE, "left_anti"))
+        if now.isEmpty():
+            return found.distinct()
+        known, stands = known.unionByName(now), late.join(now.select(F.col("h1").alias("r1"), F.col("h2").alias("r2")), ["r1", "r2"], "left_semi").select(*LINE, "docs", "r1", "r2")
 
 
 def candidates(lines: DataFrame, min_docs: int, long_words: int | None, leaf_lines: int, share: float, constants: int) -> DataFrame:

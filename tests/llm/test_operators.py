@@ -121,6 +121,17 @@ def test_jaccard_of_mutated_copies(spark):
     assert jaccard.jaccard_classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, few):
+    from fieldspark.llm import components
+
+    monkeypatch.setattr(components, "FEW", few)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, 200 + i) for i in range(20)] + [(7, 7), (300, 299), (-5, 300)]
+    got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in (100, *range(200, 220))} | {i: -5 for i in (-5, 299, 300)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # 3 packing
 
 
@@ -545,6 +556,17 @@ def test_a_rare_template_in_a_large_leaf(spark):
     assert {d for d, n in got.items() if n} == set(range(2001, 2015))
 
 
+def test_templates_among_many_lines_with_the_same_two_words_everywhere(spark):
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    rows = [(i, " ".join(["go", "on", *(word() for _ in range(8))])) for i in range(600)]
+    # no two neighbours in common but the first two: each line of a kind has its own words at the odd or the even places
+    kinds = [[word() for _ in range(5)] for _ in range(30)]
+    rows += [(1000 + 20 * k + i, " ".join(["go", "on", x[0], word(), x[1], word(), x[2], word(), x[3], word()])) for k, x in enumerate(kinds) for i in range(12)]
+    got = {r["doc_id"]: r["n_dropped"] for r in templates.drop_templates(spark.createDataFrame(rows, DOCS), leaf_lines=40).collect()}
+    assert {d for d, n in got.items() if n} == {1000 + 20 * k + i for k in range(30) for i in range(1, 12)}
+
+
 def test_pipeline_drops_long_lines_from_two_documents_on(spark):
     import corpus_pipeline as P
 
