@@ -7,6 +7,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,32 @@ def test_words_beyond_the_head_are_folded_where_they_lie(spark, library, monkeyp
             assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(r["text"])
 
 
+def test_no_task_of_encoding_keeps_two_python_steps(spark):
+    df = spark.createDataFrame([(1, "qzvvx wkkjq"), (2, None)], DOCS)
+    plan = bpe.encode(df, back="back")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # counted: a second one would keep a process of its own
+
+
+def test_known_words_of_equal_hashes_are_told_apart():
+    known, own = pa.array([b"a", b"b", b"c"]), np.sort(bpe.hashes(["a", "b", "c"]))
+    order = np.argsort(bpe.hashes(known.to_pylist()))
+    words = ["c", "x", "a", "b", "\u00e9", ""]
+    at = bpe.place_of(words, pa.array(words).cast(pa.binary()), known.take(pa.array(order)), own)
+    assert [None if i < 0 else "abc"[order[i]] for i in at] == ["c", None, "a", "b", None, None]
+    same = np.full(3, bpe.hashes(["b"])[0])  # all hashes meet
+    assert bpe.place_of(["b", "a"], pa.array([b"b", b"a"]), known, same).tolist() == [-1, -1]
+    assert bpe.place_of([], pa.array([], pa.binary()), known, own).tolist() == []
+
+
+def test_ids_outside_the_vocabulary_are_errors():
+    pieces = bpe.pieces_of({b"a": 0, b"bc": 2})
+    run = lambda *ids: np.array(ids, "<u4").tobytes()
+    assert bpe.joined(pieces, [run(), run(0, 2, 2), run(2)]) == [b"", b"abcbc", b"bc"] and bpe.joined(pieces, [run()]) == [b""] and bpe.joined(pieces, []) == []
+    for x in (1, 3, 1 << 31):
+        with pytest.raises((ValueError, IndexError)):
+            bpe.joined(pieces, [run(0, x)])
+
+
 def test_bpe_query_equals_the_library(spark, data, library):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
     rows = bpe.op12_byte_bpe(spark, data).collect()
