@@ -56,13 +56,23 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The context and byte (depth + 1 bytes, the latest lowest) of each symbol, and each text's symbols."""
     whole = [b" ".join(t.translate(ASCII_LOWER).split()) for t in texts]
     lens = np.fromiter(map(len, whole), np.int64, len(whole)) + 1
-    buf = np.frombuffer(b"\n" * depth + (b"\n" * depth).join(whole) + b"\n", np.uint8).astype(np.uint64)
-    start = depth + np.cumsum(np.r_[0, lens[:-1] + depth - 1])
-    at = np.repeat(start - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-    code = np.zeros(len(buf) - depth, np.uint64)
-    for j in range(depth + 1):
-        code = code << np.uint64(8) | buf[j : j + len(code)]
-    return code[at - depth], lens
+    gap = max(depth, 1)  # line feeds between texts: an end and what stands before a start
+    data = b"\n" * 7 + (b"\n" * gap).join(whole) + b"\n"
+    # the eight bytes that end at each place, the latest lowest
+    code = np.ndarray(len(data) - 7, ">u8", data, strides=(1,)).astype(np.uint64)
+    if depth < 7:
+        code &= np.uint64((1 << (8 * depth + 8)) - 1)
+    start = np.cumsum(lens + gap - 1) - (lens + gap - 1)
+    at = np.repeat(start - (np.cumsum(lens) - lens), lens)
+    at += np.arange(len(at))
+    return code[at], lens
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, rising, and where each one's run starts; faster than np.unique, which hashes."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+    return x[first], first
 
 
 def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -200,8 +210,8 @@ class Tally:
         self.kind, self.most, self.parts, self.size = kind, most, [], 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        code, found = pd.factorize(keys)
-        self.parts.append((found, np.bincount(code, minlength=len(found))))
+        found, first = distinct(keys)
+        self.parts.append((found, np.diff(first, append=len(keys))))
         self.size += len(found)
         if self.size > self.most:
             yield from self.flush()
@@ -343,15 +353,16 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
         for table in gathered(batches, "_text", BATCH_BYTES):
             texts, found, columns = utf8(table.column("_text")), [], []
             for lo, hi in chunk_bounds(texts, 1 << 20):
-                found.append(pd.unique(grams(texts[lo:hi], depth)[0]))
+                found.append(distinct(grams(texts[lo:hi], depth)[0])[0])
                 c = Chunk(texts[lo:hi], space, powers, ASCII_LOWER)
-                pos, known = find(key, c.hash.view(np.int64))
-                own = np.where(known, np.log10((n[pos] + 0.1) / bottom), 0.0) if len(n) else np.zeros(len(c.hash))
-                sums = [np.bincount(c.doc_of_word(), x, hi - lo) for x in (own, known)]
+                word, h = pd.factorize(c.hash.view(np.int64))
+                pos, known = find(key, h)
+                own = np.where(known, np.log10((n[pos] + 0.1) / bottom), 0.0) if len(n) else np.zeros(len(h))
+                sums = [np.bincount(c.doc_of_word(), x[word], hi - lo) for x in (own, known)]
                 columns.append((np.diff(c.bound) + 1, np.rint(sums[1]).astype(np.int64) + end_known, sums[0] + end_score))
             if not texts:
                 continue
-            code = np.unique(np.concatenate(found))
+            code = distinct(np.concatenate(found))[0]
             order, own, start = by_bucket(code, stem, buckets)
             parts = np.split(code[order], start[1:])
             data = pickle.dumps((table.column("_id").to_numpy(), table.column("_key").to_numpy(), *map(np.concatenate, zip(*columns, strict=True)), texts))
@@ -375,11 +386,15 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
         for lo, hi in chunk_bounds(texts, 1 << 20):
             code, symbols = grams(texts[lo:hi], depth)
             chunks.append((*pd.factorize(code), symbols))
-        code = np.unique(np.concatenate([c[1] for c in chunks]))
+        place, code = pd.factorize(np.concatenate([c[1] for c in chunks]))
+        rising = np.argsort(code)
         values = np.zeros(len(code), np.float32)
         found = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist(), strict=True))
-        values[by_bucket(code, stem, buckets)[0]] = np.frombuffer(b"".join(found[x] for x in sorted(found)), np.float32)
-        scores = [np.add.reduceat(values[find(code, own)[0]].astype(float)[at], np.cumsum(symbols) - symbols) for at, own, symbols in chunks]
+        values[rising[by_bucket(code[rising], stem, buckets)[0]]] = np.frombuffer(b"".join(found[x] for x in sorted(found)), np.float32)
+        own, scores = values[place].astype(float), []
+        for at, codes, symbols in chunks:
+            scores.append(np.add.reduceat(own[: len(codes)][at], np.cumsum(symbols) - symbols))
+            own = own[len(codes) :]
         score, symbols = np.concatenate(scores), np.concatenate([c[2] for c in chunks])
         return pa.table([*map(pa.array, (ids, keys, n_tokens, n_known, base, score, -score * np.log2(10) / symbols))], names=["_id", "_key", "n_tokens", "n_known", "base", "score", "bits_per_byte"])
 
@@ -392,7 +407,8 @@ def score_texts(docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", te
             for lo, hi in chunk_bounds(texts, 1 << 20):
                 c = Chunk(texts[lo:hi], space, powers, ASCII_LOWER)
                 h = c.hash.view(np.int64)
-                out = ~find(key, h)[1]
+                word, distinct_h = pd.factorize(h)
+                out = ~find(key, distinct_h)[1][word]
                 h, doc = h[out], c.doc_of_word()[out] + lo
                 order = np.lexsort((h, doc))
                 h, doc = h[order], doc[order]

@@ -452,6 +452,26 @@ def test_every_context_of_the_training_texts_scores(spark):
     assert all(math.isclose(got[i], want[i], rel_tol=1e-5) for i in want)
 
 
+def test_grams_and_distinct_codes_equal_plain_loops():
+    rng = np.random.default_rng(80)
+    texts = [b"", b"x", b"  A b\n\tC ", "\u00e9\u00c9 Z".encode(), bytes(rng.integers(97, 100, 300, np.uint8))]
+    for depth in (0, 1, 2, 5, 7):
+        want, symbols = [], []
+        for t in texts:
+            data = b"\n" * depth + b" ".join(t.translate(textkit.ASCII_LOWER).split()) + b"\n"
+            want += [int.from_bytes(data[i : i + depth + 1]) for i in range(len(data) - depth)]
+            symbols.append(len(data) - depth)
+        code, lens = ctw.grams(texts, depth)
+        assert code.tolist() == want and lens.tolist() == symbols
+        found, first = ctw.distinct(code)
+        assert found.tolist() == sorted(set(want)) and np.diff(first, append=len(code)).tolist() == [n for _, n in sorted(Counter(want).items())]
+        tally = ctw.Tally(0)
+        batches = [b for part in (code, code[:50], code[:0]) for b in tally.add(part)] + list(tally.flush())
+        counts = {k: n for b in batches for k, n in zip(b.column(1).to_numpy().view(np.uint64).tolist(), b.column(2).to_pylist(), strict=True)}
+        assert counts == Counter(want) + Counter(want[:50])
+    assert [len(x) for x in ctw.distinct(np.zeros(0, np.uint64))] == [0, 0]
+
+
 # 9 line templates
 
 
