@@ -111,6 +111,13 @@ def test_words_beyond_the_head_are_folded_where_they_lie(spark, library, monkeyp
             assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode_ordinary(r["text"])
 
 
+def test_encoding_keeps_void_columns(spark):
+    df = spark.createDataFrame([(1, "a qzvvx"), (2, None)], DOCS).withColumn("void", F.lit(None))
+    got = bpe.encode(df)
+    assert got.columns == ["doc_id", "text", "void", "ids"] and got.dtypes[2][1] == "void"
+    assert [(r["doc_id"], r["text"], r["void"]) for r in got.orderBy("doc_id").collect()] == [(1, "a qzvvx", None), (2, None, None)]
+
+
 def test_no_task_of_encoding_keeps_two_python_steps(spark):
     df = spark.createDataFrame([(1, "qzvvx wkkjq"), (2, None)], DOCS)
     plan = bpe.encode(df, back="back")._jdf.queryExecution().executedPlan().toString()
