@@ -173,6 +173,11 @@ def distance3(p: tuple[Column, Column, Column], q: tuple[Column, Column, Column]
     return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(p[1:], q[1:], strict=True)), (p[0] - q[0]) * (p[0] - q[0])))
 
 
+def quotient(x: Column, length: Column) -> Column:
+    """x by a length; by one of 0 what floating point has (infinite or no number) and not an error."""
+    return F.when(length == 0, x * float("inf")).otherwise(x / length)
+
+
 def scattering_db(rcs_m2: Column, hz: Column) -> Column:
     return 10 * F.log10(F.greatest(rcs_m2, F.lit(1e-18))) + 10 * math.log10(4 * math.pi) - 20 * F.log10(LIGHT / F.greatest(hz, F.lit(1.0)))
 

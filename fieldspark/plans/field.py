@@ -174,7 +174,8 @@ def bistatic(targets: DataFrame, rcs_m2=None, height_m=None) -> DataFrame:
     at = lambda p: tuple(c(f"_{p}{i}") for i in range(3))
     x = x.withColumn("tx_range_m", R.distance3(at("t"), at("a"))).withColumn("rx_range_m", R.distance3(at("t"), at("b"))).withColumn("direct_m", R.distance3(at("a"), at("b")))
     x = x.withColumn("excess_delay_s", (c("tx_range_m") + c("rx_range_m") - c("direct_m")) / R.LIGHT)
-    cos = (F.pow("tx_range_m", 2) + F.pow("rx_range_m", 2) - F.pow("direct_m", 2)) / (2 * c("tx_range_m") * c("rx_range_m"))
+    # a target may stand where the transmitter or the receiver does
+    cos = R.quotient(F.pow("tx_range_m", 2) + F.pow("rx_range_m", 2) - F.pow("direct_m", 2), 2 * c("tx_range_m") * c("rx_range_m"))
     x = x.withColumn("angle_deg", F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
     back = R.free_space_loss_db(c("rx_range_m"), F.lit(HZ / 1e6))
     x = x.withColumn("echo_dbm", c("incident_power_dbm") - back + RX_GAIN - RX_FEED + R.scattering_db(c("_rcs"), F.lit(HZ)))
