@@ -46,7 +46,8 @@ def sensed(t: DataFrame, rcs=10.0, speed=SPEED, heading=HEADING, climb=CLIMB, ne
         t = t.withColumns({f"{name}{i}": e for i, e in enumerate(p)})
     at = lambda n: tuple(c(f"{n}{i}") for i in range(3))
     t = t.withColumns({"tx_range_m": R.distance3(at("_t"), at("_a")), "rx_range_m": R.distance3(at("_t"), at("_b")), "direct_m": R.distance3(at("_a"), at("_b"))})
-    t = t.withColumns({f"_s{i}": (c(f"_t{i}") - c(f"_a{i}")) / c("tx_range_m") + (c(f"_t{i}") - c(f"_b{i}")) / c("rx_range_m") for i in range(3)})
+    # a target at the transmitter's or the receiver's place has no direction, and no Doppler shift
+    t = t.withColumns({f"_s{i}": R.quotient(c(f"_t{i}") - c(f"_a{i}"), c("tx_range_m")) + R.quotient(c(f"_t{i}") - c(f"_b{i}"), c("rx_range_m")) for i in range(3)})
     a, o = F.radians(lat), F.radians(lon)
     s, k = at("_s"), -HZ / R.LIGHT
     t = t.withColumns(
