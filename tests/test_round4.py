@@ -26,7 +26,7 @@ def folder(data, tmp_path, **queries):
 AT_TRANSMITTER = "SELECT * FROM customer UNION ALL SELECT 2004, 'at the transmitter', 10, 100.0, 'x'"
 
 
-@pytest.mark.parametrize("name", ["bistatic_field", "delay_bins", "whatif_scenarios", "sensing_table", "cell_mates", "sensing_summary"])
+@pytest.mark.parametrize("name", ["bistatic_field", "delay_bins", "whatif_scenarios", "sensing_table", "cell_mates", "sensing_summary", "whatif_layers"])
 def test_a_target_at_the_transmitter(spark, data, tmp_path, name):
     at = folder(data, tmp_path, customer=AT_TRANSMITTER)
     if name == "bistatic_field":
