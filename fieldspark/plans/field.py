@@ -57,7 +57,10 @@ SELECT site_id, CAST(sector_no AS INT) AS sector_no, CAST(bearing_deg AS INT) AS
 )
 def link_budget(spark, sf_dir):
     """JOB1, RF1, RF2, RF5-RF7: losses and received power of every sample and sector."""
-    x = lattice(view(spark, sf_dir, "fx_sites")).join(view(spark, sf_dir, "fx_sectors"), "site_id")
+    # joined before samples are made, as the planner takes an explode's rows for as few as its input's and would send all samples to the driver
+    sectors = view(spark, sf_dir, "fx_sites").join(view(spark, sf_dir, "fx_sectors").hint("merge"), "site_id")
+    # dealt to as many tasks as asked for: the rows of sectors are few, those of samples are not
+    x = lattice(sectors.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "site_id", "sector_no"))
     d3 = F.sqrt(c("distance_m") * c("distance_m") + F.pow(c("tx_height_m") - RX_M, 2))
     loss = lambda los: R.street_canyon_loss_db(c("distance_m"), d3, c("freq_mhz"), c("tx_height_m"), RX_M, F.lit(los))
     x = x.withColumn("los_db", loss(True)).withColumn("nlos_db", loss(False)).withColumn("free_db", R.free_space_loss_db(c("distance_m"), c("freq_mhz")))

@@ -32,3 +32,17 @@ def test_a_target_at_the_transmitter(spark, data, tmp_path, name):
     if name == "bistatic_field":
         assert [r["tx_range_m"] for r in QUERIES[name](spark, at).filter("target_id = 2004").collect()] == [0.0]
     check(spark, at, QUERIES[name], SQL[name])
+
+
+def joins(df) -> list[str]:
+    """The plan's joins, by the nodes that stand on each one's small side."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Join" in line or "BroadcastExchange" in line or "Generate" in line]
+
+
+@pytest.mark.parametrize("name", ["link_budget"])
+def test_no_exploded_samples_are_broadcast(spark, data, name):
+    lines = joins(QUERIES[name](spark, data))
+    sent = [i for i, line in enumerate(lines) if "BroadcastExchange" in line]
+    below = lambda i: [x for x in lines[i + 1 :] if len(x) - len(x.lstrip(" :+-*")) > len(lines[i]) - len(lines[i].lstrip(" :+-*"))]
+    assert not [x for i in sent for x in below(i) if "Generate" in x]
