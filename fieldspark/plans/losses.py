@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -136,14 +136,21 @@ def terrain_states(points: DataFrame, keys: list[str], rx_m: float, mhz: float,
     """WIN9, RF13: of each sample (a point of its own profile, of columns u and z, transmitter at tx_height_m), by the points up to it:
     the least clearance in Fresnel radii, the worst obstruction, whether it lies in sight, the state and the loss.
 
-    Points meet the samples of their bearing only; their number is that of a profile, not of the table.
+    A profile is gathered in one row, of which each of its samples takes what lies before it: the profile's length is bounded, not the table's.
     """
     wave = 299_792_458.0 / (mhz * 1e6)
-    end = points.select(*keys, "tx_height_m", c("u").alias("d"))
-    x = end.join(points.select(*keys, "u", "z"), keys).filter(c("u") <= c("d") + 1e-6)
-    h = c("z") + R.earth_bulge_m(c("u"), c("d"), k) + clutter_m - (c("tx_height_m") + c("u") / c("d") * (rx_m - c("tx_height_m")))
-    x = x.withColumn("h", h).withColumn("f1", R.fresnel_radius_m(c("u"), c("d"), wave)).withColumn("alpha", (c("z") + R.earth_bulge_m(c("u"), c("d"), k) + clutter_m - c("tx_height_m")) / c("u"))
-    a = x.groupBy(*keys, "tx_height_m", "d").agg(F.min(F.when(c("f1") > 1e-6, c("h") / c("f1"))).alias("q"), F.max(F.when(c("u") > 1, c("alpha"))).alias("alpha"), F.max(F.struct("h", (-c("u")).alias("back"))).alias("worst"))
+    whole = points.filter(" AND ".join(f"{n} IS NOT NULL" for n in (*keys, "u")))
+    held = whole.groupBy(*keys).agg(F.collect_list(F.struct("tx_height_m", "u", "z")).alias("_points"))
+    ends = F.array_distinct(F.transform("_points", lambda p: F.struct(p["tx_height_m"].alias("tx_height_m"), p["u"].alias("d"))))
+    x = held.select(*keys, "_points", F.inline(ends))
+
+    def seen(p: Column) -> Column:
+        ground = p["z"] + R.earth_bulge_m(p["u"], c("d"), k) + clutter_m
+        h = ground - (c("tx_height_m") + p["u"] / c("d") * (rx_m - c("tx_height_m")))
+        return F.struct(h.alias("h"), (-p["u"]).alias("back"), R.fresnel_radius_m(p["u"], c("d"), wave).alias("f1"), F.when(p["u"] > 1, (ground - c("tx_height_m")) / p["u"]).alias("alpha"))
+
+    x = x.withColumn("_seen", F.transform(F.filter("_points", lambda p: p["u"] <= c("d") + 1e-6), seen))
+    a = x.select(*keys, "tx_height_m", "d", F.array_min(F.transform("_seen", lambda s: F.when(s["f1"] > 1e-6, s["h"] / s["f1"]))).alias("q"), F.array_max(F.transform("_seen", lambda s: s["alpha"])).alias("alpha"), F.array_max("_seen").alias("worst"))
     a = a.withColumn("q", F.coalesce("q", F.lit(1e9))).withColumn("d1", -c("worst.back")).withColumn("wh", c("worst.h"))
     shadow = (rx_m - c("tx_height_m")) / c("d") <= c("alpha") + eta * wave / c("d")
     state = F.when(c("q") >= eta, "los").when(c("q") >= 0, "fresnel_partial").when(shadow, "terrain_shadow").otherwise("terrain_diffraction")

@@ -40,7 +40,7 @@ def joins(df) -> list[str]:
     return [line for line in plan.splitlines() if "Join" in line or "BroadcastExchange" in line or "Generate" in line]
 
 
-@pytest.mark.parametrize("name", ["link_budget"])
+@pytest.mark.parametrize("name", ["link_budget", "terrain_losses"])
 def test_no_exploded_samples_are_broadcast(spark, data, name):
     lines = joins(QUERIES[name](spark, data))
     sent = [i for i, line in enumerate(lines) if "BroadcastExchange" in line]
