@@ -93,15 +93,18 @@ def pairs_made(spark, make) -> int:
     return most
 
 
-#: Four times as many rows at the same places.
+#: Four times as many rows at the same places (or of the same outlines, streets and regions).
 COPIES = {
-    "customer": "SELECT c.* REPLACE (c_custkey + 7700 * i AS c_custkey) FROM customer c, range(4) r(i)",
+    "customer": "SELECT c.* REPLACE (c_custkey + 23100 * i AS c_custkey) FROM customer c, range(4) r(i)",
+    "part": "SELECT p.* REPLACE (p_partkey + 18000 * i AS p_partkey) FROM part p, range(4) r(i)",
+    "supplier": "SELECT s.* REPLACE (s_suppkey + 126000 * i AS s_suppkey) FROM supplier s, range(4) r(i)",
 }
+GROWN = {"selected_states": ["customer"], "probe_values": ["customer"], "stored_regions": ["customer", "supplier"], "snapped_targets": ["customer", "supplier"], "target_reach": ["customer", "supplier"]}
 
 
-@pytest.mark.parametrize("name, times", [("selected_states", 5), ("probe_values", 2)])
+@pytest.mark.parametrize("name, times", [("selected_states", 5), ("probe_values", 2), ("clutter_nearby", 5)])
 def test_rows_at_one_place_are_looked_up_once(spark, data, tmp_path, name, times):
-    at = folder(data, tmp_path, **COPIES)
+    at = folder(data, tmp_path, **{t: COPIES[t] for t in GROWN.get(name, ["customer", "part"])})
     check(spark, at, QUERIES[name], SQL[name])
     few, many = pairs_made(spark, lambda: QUERIES[name](spark, data)), pairs_made(spark, lambda: QUERIES[name](spark, at))
     assert few > 0 and many <= times * few
