@@ -371,12 +371,13 @@ SELECT target_id, n, CASE WHEN park OR density < 5 THEN 'open' WHEN density < 50
     "fx_sites",
 )
 def clutter_classes(spark, sf_dir):
-    """AG28: class of the surroundings by outlines a square kilometre, their mean known height, and open land."""
+    """AG28: class of the surroundings by outlines a square kilometre, their mean known height, and open land; for distinct places and centres."""
     t, _ = placed(spark, sf_dir)
     i = c("building_id")
     b = buildings(spark, sf_dir).select(i, c("cx").alias("sx"), c("cy").alias("sy"), F.when(i % 4 == 0, 30.0).when(i % 4 == 1, 9.0).alias("height_m"))
-    n = within(t.select("target_id", "px", "py"), b, 200.0).groupBy("target_id").agg(F.count("*").alias("n"), F.coalesce(F.avg("height_m"), F.lit(0.0)).alias("h"))
-    x = t.select("target_id").join(n, "target_id", "left").fillna(0, ["n", "h"])
+    b = b.groupBy("sx", "sy").agg(F.count("*").alias("n"), F.count("height_m").alias("known"), F.sum("height_m").alias("height_m"))
+    n = within(t.select("px", "py").distinct(), b, 200.0).groupBy("px", "py").agg(F.sum("n").alias("n"), F.coalesce(F.try_divide(F.sum("height_m"), F.sum("known")), F.lit(0.0)).alias("h"))
+    x = t.select("target_id", "px", "py").join(n, ["px", "py"], "left").fillna(0, ["n", "h"])
     density = c("n") / (math.pi * 0.04)
     kind = F.when((c("target_id") % 50 == 0) | (density < 5), "open").when(density < 50, "suburban").when((c("h") > 20) | (density > 200), "dense_urban").otherwise("urban")
     return x.select("target_id", "n", kind.alias("clutter"))
