@@ -406,6 +406,10 @@ def region_keys(spark, sf_dir):
 def target_reach(spark, sf_dir):
     """AG38: the greatest distance of each site's targets (here those of its last digit), 500 m at least."""
     t, s = placed(spark, sf_dir)
-    x = t.withColumn("j", c("target_id") % 10).join(s.withColumn("j", c("site_id") % 10), "j")
+    # of the targets on one line north or east only the two at its ends can be the farthest
+    ends = t.select((c("target_id") % 10).alias("j"), "px", "py")
+    for a, b in (("py", "px"), ("px", "py")):
+        ends = ends.groupBy("j", a).agg(F.min(b).alias("lo"), F.max(b).alias("hi")).select("j", a, F.explode(F.array("lo", "hi")).alias(b)).distinct()
+    x = s.withColumn("j", c("site_id") % 10).join(ends, "j")
     d = F.sqrt(F.pow(c("px") - c("sx"), 2) + F.pow(c("py") - c("sy"), 2))
     return rounded(x.groupBy("site_id").agg(F.max(F.greatest(d, F.lit(500.0))).alias("reach_m")))

@@ -102,7 +102,7 @@ COPIES = {
 GROWN = {"selected_states": ["customer"], "probe_values": ["customer"], "stored_regions": ["customer", "supplier"], "snapped_targets": ["customer", "supplier"], "target_reach": ["customer", "supplier"]}
 
 
-@pytest.mark.parametrize("name, times", [("selected_states", 5), ("probe_values", 2), ("clutter_nearby", 5), ("link_obstruction", 2), ("stored_regions", 5), ("buildings_at", 13), ("clutter_classes", 5), ("snapped_targets", 5)])
+@pytest.mark.parametrize("name, times", [("selected_states", 5), ("probe_values", 2), ("clutter_nearby", 5), ("link_obstruction", 2), ("stored_regions", 5), ("buildings_at", 13), ("clutter_classes", 5), ("snapped_targets", 5), ("target_reach", 5)])
 def test_rows_at_one_place_are_looked_up_once(spark, data, tmp_path, name, times):
     at = folder(data, tmp_path, **{t: COPIES[t] for t in GROWN.get(name, ["customer", "part"])})
     check(spark, at, QUERIES[name], SQL[name])
