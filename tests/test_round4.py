@@ -115,3 +115,13 @@ def test_outlines_of_one_area_go_by_id(spark, data, tmp_path):
     near = "abs(p_partkey * 37 % 2000 - 657) < 80 AND abs(p_partkey * 91 % 1800 - 834) < 80"
     at = folder(data, tmp_path, part=f"SELECT * FROM '/root/testdata/sf0.1/part.parquet' WHERE {near}", customer="SELECT * REPLACE (15 + 7700 * c_custkey AS c_custkey) FROM customer WHERE c_custkey < 3")
     check(spark, at, QUERIES["buildings_at"], SQL["buildings_at"])
+
+
+def test_roads_of_one_course_in_many_blocks(spark, data, tmp_path, monkeypatch):
+    """Roads of 40 courses, in blocks of about two; joins pair courses and blocks, not roads."""
+    from fieldspark.plans import rays
+
+    at = folder(data, tmp_path, part="SELECT p.* REPLACE (p_partkey + 1000 * i AS p_partkey) FROM part p, range(4) r(i)")
+    assert pairs_made(spark, lambda: QUERIES["road_meetings"](spark, at)) < QUERIES["road_meetings"](spark, at).count() / 5
+    monkeypatch.setattr(rays, "ROADS_A_BLOCK", 2, raising=False)
+    check(spark, at, QUERIES["road_meetings"], SQL["road_meetings"])
