@@ -125,3 +125,15 @@ def test_roads_of_one_course_in_many_blocks(spark, data, tmp_path, monkeypatch):
     assert pairs_made(spark, lambda: QUERIES["road_meetings"](spark, at)) < QUERIES["road_meetings"](spark, at).count() / 5
     monkeypatch.setattr(rays, "ROADS_A_BLOCK", 2, raising=False)
     check(spark, at, QUERIES["road_meetings"], SQL["road_meetings"])
+
+
+def test_what_each_process_holds_of_known_words_is_narrow(spark):
+    """op12: four bytes a word for where its ids begin, two for an id of a vocabulary of fewer than 65,536."""
+    from fieldspark.llm import bpe
+
+    path, pattern = bpe.public_bpe()
+    ranks = bpe.read_ranks(path)
+    docs = spark.createDataFrame([(" ".join(f"qz{i}vv" for i in range(300)),)] * 2, "_text string")
+    words, hashes, *rest = bpe.head_of(docs, ranks, pattern, bpe.rank_map(ranks))
+    assert len(words) == len(hashes) > len(ranks)
+    assert sum(x.nbytes for x in rest) <= 4 * (len(words) + 1) + 2 * len(rest[-1])
